@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.plans import cleaning
+from gustline.plans import cleaning, features, monitoring, summaries
 from gustline.plans.frames import Query
 
-ALL: list[Query] = [*cleaning.QUERIES]
+ALL: list[Query] = [*cleaning.QUERIES, *features.QUERIES, *summaries.QUERIES, *monitoring.QUERIES]
 
 
 def _prepared(query: Query) -> Callable[[SparkSession, str], DataFrame]:

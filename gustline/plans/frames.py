@@ -15,6 +15,7 @@ from gustline.operators.windows import add_window_features
 from gustline.spec import FeatureSpec
 
 SERIES = ["series"]
+DIGITS = 8      # of rolling features: equal windows give equal values, whatever the order of the sum
 SPEC = FeatureSpec()
 MODEL_FEATURES = ["pm10", "co", "temperature", "humidity", "pm25_lag_1", "pm25_lag_3", "pm25_lag_6",
                   "pm25_lag_12", "pm25_lag_24", "pm25_roll_mean_6", "pm25_roll_mean_12",
@@ -34,11 +35,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """The pollutant side: one row per event type and hour."""
+    """The pollutant side: one row per event type and hour.
+
+    Readings have two decimals, so the mean is taken over whole hundredths: the sum is exact
+    and does not depend on the order of the rows.
+    """
     events = table(spark, sf, "events").select(
         F.col("event_type").alias("series"), hour_floor("ts").alias("datetime"), "value")
     return events.groupBy("series", "datetime").agg(
-        F.round(F.avg("value"), 6).alias("pm25"), F.max("value").alias("pm10"),
+        (F.sum(F.round(F.col("value") * 100).cast("bigint")) / (F.count(F.lit(1)) * 100)).alias("pm25"), F.max("value").alias("pm10"),
         F.min("value").alias("co"), F.count(F.lit(1)).alias("n"))
 
 
@@ -48,7 +53,7 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select(
         F.col("event_type").alias("series"), hour_floor("ts").alias("datetime"), k.alias("k"))
     return (events.where(F.hour("datetime") != 3).groupBy("series", "datetime")
-            .agg(F.round(F.avg("k"), 6).alias("temperature"), F.max("k").alias("humidity")))
+            .agg(F.avg("k").alias("temperature"), F.max("k").alias("humidity")))
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +65,7 @@ def features(spark: SparkSession, sf: str, spec: FeatureSpec = SPEC) -> DataFram
     stay equal whatever the order of the additions."""
     df = add_time_features(add_window_features(merged(spark, sf), spec, SERIES))
     noisy = [c for c in spec.columns if "roll" in c] + ["hour_sin", "hour_cos"]
-    return df.withColumns({c: F.round(c, 6) for c in noisy}).na.drop("any")
+    return df.withColumns({c: F.round(c, DIGITS) for c in noisy}).na.drop("any")
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,12 +101,12 @@ def _feature_sql() -> str:
     lags = ", ".join(f"lag(pm25, {n}) OVER w AS pm25_lag_{n}" for n in SPEC.lags)
     rolls = ", ".join(
         f"CASE WHEN count(pm25) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) = {n} "
-        f"THEN round(avg(pm25) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) END AS pm25_roll_mean_{n}"
+        f"THEN round(avg(pm25) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 8) END AS pm25_roll_mean_{n}"
         for n in SPEC.means)
     calendar = ("CAST(hour(datetime) AS INTEGER) AS hour, CAST(isodow(datetime) - 1 AS INTEGER) AS day_of_week, "
                 "CAST(month(datetime) AS INTEGER) AS month, CAST(day(datetime) AS INTEGER) AS day, "
-                "round(sin(2 * pi() * hour(datetime) / 24), 6) + 0.0 AS hour_sin, "
-                "round(cos(2 * pi() * hour(datetime) / 24), 6) + 0.0 AS hour_cos")
+                "round(sin(2 * pi() * hour(datetime) / 24), 8) + 0.0 AS hour_sin, "
+                "round(cos(2 * pi() * hour(datetime) / 24), 8) + 0.0 AS hour_cos")
     return (f"SELECT * FROM (SELECT *, {lags}, {rolls}, {calendar} FROM merged "
             f"WINDOW w AS (PARTITION BY series ORDER BY datetime)) "
             f"WHERE pm25_lag_24 IS NOT NULL AND pm25_roll_mean_24 IS NOT NULL")
@@ -109,10 +114,10 @@ def _feature_sql() -> str:
 
 _CTES: dict[str, tuple[list[str], str]] = {
     "hourly": ([], """SELECT event_type AS series, date_trunc('hour', ts) AS datetime,
-        round(avg(value), 6) AS pm25, max(value) AS pm10, min(value) AS co, count(*) AS n
+        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS pm25, max(value) AS pm10, min(value) AS co, count(*) AS n
         FROM events GROUP BY 1, 2"""),
     "weather": ([], """SELECT event_type AS series, date_trunc('hour', ts) AS datetime,
-        round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS temperature,
+        avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS temperature,
         max(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS humidity
         FROM events WHERE hour(ts) <> 3 GROUP BY 1, 2"""),
     "merged": (["hourly", "weather"], "SELECT * FROM hourly JOIN weather USING (series, datetime)"),
