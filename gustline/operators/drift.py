@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gustline.functions.kolmogorov import asymptotic_p, ks_method, ks_pvalue
 from gustline.operators.blocks import null_safe_join, salted_lookup
 from gustline.operators.order_stats import cumulate, quantiles, value_counts
+from gustline.session import materialise
 
 KS_THRESHOLD = 0.05
 PSI_WARN = 0.10
@@ -110,7 +111,7 @@ def drift_report(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     ``p_column`` "ks_pvalue" is the exact or large-sample value, "p_asymptotic" the limit
     distribution, without any Python worker.
     """
-    samples = both_samples(df, cols, by)
+    samples = materialise(both_samples(df, cols, by), "samples")
     ks = ks_statistic(samples, by)
     ks = with_p_value(ks) if p_column == "ks_pvalue" else with_asymptotic_p(ks)
     joined = ks.join(psi(samples, by, buckets).select(*by, "feature", "psi"), [*by, "feature"])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.operators.blocks import null_safe_join, salted_lookup
+from gustline.session import materialise
 
 CELLS = 128
 
@@ -35,8 +36,9 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weights: dict[s
 
     Repeated values are counted before the shuffle, and distinct ones spread over all tasks.
     """
-    return (df.where(F.col(value).isNotNull() & ~F.isnan(value))
-            .groupBy(*keys, value).agg(*[F.sum(w).alias(n) for n, w in weights.items()]))
+    counts = (df.where(F.col(value).isNotNull() & ~F.isnan(value))
+              .groupBy(*keys, value).agg(*[F.sum(w).alias(n) for n, w in weights.items()]))
+    return materialise(counts, "value-counts")      # every level of cells reads it again
 
 
 def cumulate(counts: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str],

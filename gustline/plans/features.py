@@ -12,7 +12,8 @@ from gustline.operators.clean import validate
 from gustline.operators.feeds import merge_feeds
 from gustline.operators.windows import (add_timed_features, add_window_features, build_features,
                                         recompute_features, trailing_mean)
-from gustline.plans.frames import (DIGITS, SERIES, SPEC, Query, add_cte, features, hourly, merged, sql, table, weather)
+from gustline.plans.frames import (DIGITS, SERIES, SPEC, Query, features, hourly, merged, sql,
+                                    stored_features, table, weather)
 from gustline.spec import FORECAST_SPEC, FeatureSpec
 
 KEYS = [*SERIES, "datetime"]
@@ -101,15 +102,15 @@ def enough_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.holdout(features(spark, sf), SERIES).select(*KEYS, "role")
+    return splits.holdout(stored_features(spark, sf), SERIES).select(*KEYS, "role")
 
 
 def holdout_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.holdout(features(spark, sf), SERIES, fixed=splits.FIXED_HOLDOUT).select(*KEYS, "role")
+    return splits.holdout(stored_features(spark, sf), SERIES, fixed=splits.FIXED_HOLDOUT).select(*KEYS, "role")
 
 
 def timeseries_folds(spark: SparkSession, sf: str) -> DataFrame:
-    dev = splits.development(features(spark, sf), SERIES)
+    dev = splits.development(stored_features(spark, sf), SERIES)
     return splits.fold_summary(splits.ts_folds(dev, SERIES), SERIES)
 
 
@@ -148,14 +149,6 @@ _CALENDAR = ("CAST(hour(datetime) AS INTEGER) AS hour, CAST(isodow(datetime) - 1
              "round(sin(2 * pi() * hour(datetime) / 24), 8) + 0.0 AS hour_sin, "
              "round(cos(2 * pi() * hour(datetime) / 24), 8) + 0.0 AS hour_cos")
 
-add_cte("held", ["positions"], """SELECT *, greatest(CAST(floor(CAST(0.15 AS DOUBLE) * size) AS BIGINT), 24) AS test_size
-    FROM positions""")
-add_cte("dev", ["held"], "SELECT * EXCLUDE (size), size - test_size AS size FROM held WHERE idx <= size - test_size")
-add_cte("folds", ["dev"], """SELECT * FROM (SELECT dev.*, CAST(f AS INTEGER) AS fold,
-    CASE WHEN idx <= size - (4 - f) * (size // 4) THEN 'train'
-         WHEN idx <= size - (3 - f) * (size // 4) THEN 'val' END AS role
-    FROM dev, range(1, 4) t(f)) WHERE role IS NOT NULL""")
-
 QUERIES = [
     Query("feature_table", feature_table, sql("features", """
         SELECT *, CASE WHEN pm25 >= 0 AND pm25 < 12 THEN 'Good' WHEN pm25 >= 12 AND pm25 < 35 THEN 'Moderate'

@@ -12,6 +12,7 @@ from gustline.functions.clock import add_time_features, hour_floor
 from gustline.operators.feeds import merge_feeds
 from gustline.operators.splits import split_recent
 from gustline.operators.windows import add_window_features
+from gustline.session import materialise
 from gustline.spec import FeatureSpec
 
 SERIES = ["series"]
@@ -68,8 +69,13 @@ def features(spark: SparkSession, sf: str, spec: FeatureSpec = SPEC) -> DataFram
     return df.withColumns({c: F.round(c, DIGITS) for c in noisy}).na.drop("any")
 
 
+def stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table as written: splits, training and monitoring read it more than once."""
+    return materialise(features(spark, sf), "features")
+
+
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return split_recent(features(spark, sf), SERIES)
+    return split_recent(stored_features(spark, sf), SERIES)
 
 
 def dirty(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,6 +132,14 @@ _CTES: dict[str, tuple[list[str], str]] = {
         count(*) OVER (PARTITION BY series) AS size FROM features"""),
     "samples": (["positions"], """SELECT * EXCLUDE (idx, size),
         CASE WHEN idx > size - 72 THEN 'recent' ELSE 'reference' END AS role FROM positions"""),
+    "held": (["positions"], """SELECT *,
+        greatest(CAST(floor(CAST(0.15 AS DOUBLE) * size) AS BIGINT), 24) AS test_size FROM positions"""),
+    "dev": (["held"], """SELECT * EXCLUDE (size), size - test_size AS size FROM held
+        WHERE idx <= size - test_size"""),
+    "folds": (["dev"], """SELECT * FROM (SELECT dev.*, CAST(f AS INTEGER) AS fold,
+        CASE WHEN idx <= size - (4 - f) * (size // 4) THEN 'train'
+             WHEN idx <= size - (3 - f) * (size // 4) THEN 'val' END AS role
+        FROM dev, range(1, 4) t(f)) WHERE role IS NOT NULL"""),
     "bad": (["hourly"], """SELECT series, datetime, pm25,
         CASE WHEN hour(datetime) <> 7 THEN pm10 END AS pm10,
         CASE WHEN hour(datetime) = 5 THEN -co ELSE co END AS co, n, CAST(NULL AS DOUBLE) AS no2,

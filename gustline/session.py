@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -35,24 +35,37 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables, below the cluster's checkpoint folder.
+_LOCAL_BASE: list[str] = []
 
-    The folder comes from ``spark.checkpoint.dir``; only where nothing is set (tests on one
-    machine) is a folder made here.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="gustline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def _shared_base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    if not _LOCAL_BASE:     # tests on one machine
+        _LOCAL_BASE.append(tempfile.mkdtemp(prefix="gustline-"))
+    return _LOCAL_BASE[0]
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``."""
+    return f"{_shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let ``DataFrame.checkpoint`` work, in the folder the session names."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+        spark.sparkContext.setCheckpointDir(_shared_base(spark))
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that later steps read several times, and continue from the written one.
+
+    The steps after it start from a plain scan: nothing before is planned or computed again,
+    also not when an executor is lost.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
