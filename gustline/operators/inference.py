@@ -37,12 +37,13 @@ def score_linear(df: DataFrame, model: LinearModel, name: str = "predicted") ->
     return df.withColumn(name, _linear(model, F.col))
 
 
-def backtest(df: DataFrame, model: LinearModel, series_cols: Sequence[str], n: int = HORIZON) -> DataFrame:
-    """Actual and predicted value of the last ``n`` rows per series, rounded to 2 places."""
+def backtest(df: DataFrame, model: LinearModel, series_cols: Sequence[str], n: int = HORIZON,
+             digits: int = 2) -> DataFrame:
+    """Actual and predicted value of the last ``n`` rows per series, rounded."""
     recent = score_linear(latest_rows(df, series_cols, n), model)
     return recent.select(*series_cols, "datetime",
-                         F.round(model.contract.target, 2).alias("actual_pm25"),
-                         F.round("predicted", 2).alias("predicted_pm25"))
+                         F.round(model.contract.target, digits).alias("actual_pm25"),
+                         F.round("predicted", digits).alias("predicted_pm25"))
 
 
 def last_values(history: DataFrame, series_cols: Sequence[str], n: int, target: str) -> DataFrame:
@@ -151,17 +152,15 @@ def forecast_with_model(history: DataFrame, future: DataFrame, predict: Callable
              .withColumn("_out", F.array().cast("array<double>"))).checkpoint()
     for step in range(1, horizon + 1):
         row = F.get("_ahead", F.lit(step - 1))
-        inputs = state.withColumns({**_from_history(F.col("history"), spec),
-                                    **{c: row[c] for c in carried}})
-        live = inputs.where(row.isNotNull())
-        scored = predict(live).select(*state.columns, F.col("predicted").alias("yhat"))
-        done = inputs.where(row.isNull()).select(*state.columns) if step > 1 else None
-        moved = scored.select(
+        live = row.isNotNull()      # a series may have fewer future rows than the horizon
+        values = {**_from_history(F.col("history"), spec), **{c: row[c] for c in carried}}
+        inputs = state.withColumns({c: F.when(live, v).otherwise(F.lit(0.0)) for c, v in values.items()})
+        yhat = F.array("predicted")
+        state = predict(inputs).select(
             *series_cols, "_ahead",
-            F.slice(F.concat("history", F.array("yhat")),
-                    F.greatest(F.size("history") + 2 - keep, F.lit(1)), F.lit(keep)).alias("history"),
-            F.concat("_out", F.array("yhat")).alias("_out"))
-        state = moved if done is None else moved.unionByName(done)
+            F.when(live, F.slice(F.concat("history", yhat), F.greatest(F.size("history") + 2 - keep, F.lit(1)),
+                                 F.lit(keep))).otherwise(F.col("history")).alias("history"),
+            F.when(live, F.concat("_out", yhat)).otherwise(F.col("_out")).alias("_out"))
         if step % CHECKPOINT_EVERY == 0:
             state = state.checkpoint()
     rows = state.select(*series_cols, F.inline(F.arrays_zip(

@@ -41,18 +41,21 @@ def _std(spec: FeatureSpec, view: Ordered, n: int) -> Column:
     return F.when(seen >= 1, F.coalesce(value, F.lit(0.0)))
 
 
+def window_columns(view: Ordered, spec: FeatureSpec) -> dict[str, Column]:
+    """All features of a specification over one window, so that Spark sorts once."""
+    lag, mean, std = spec.prefixes
+    return {**{f"{lag}{n}": _lag(spec, view, n) for n in spec.lags},
+            **{f"{mean}{n}": _mean(spec, view, n) for n in spec.means},
+            **{f"{std}{n}": _std(spec, view, n) for n in spec.stds}}
+
+
 def add_window_features(df: DataFrame, spec: FeatureSpec, series_cols: Sequence[str],
                         order_cols: Sequence[str] = ("datetime",),
                         buckets: Sequence[Column] | None = None,
                         block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Lags, rolling means and rolling standard deviations of ``spec``, row based."""
     view = ordered(df, series_cols, spec.lookback, order_cols, buckets, block_rows)
-    lag, mean, std = spec.prefixes
-    view.df = view.df.withColumns({
-        **{f"{lag}{n}": _lag(spec, view, n) for n in spec.lags},
-        **{f"{mean}{n}": _mean(spec, view, n) for n in spec.means},
-        **{f"{std}{n}": _std(spec, view, n) for n in spec.stds},
-    })
+    view.df = view.df.withColumns(window_columns(view, spec))
     return view.finish()
 
 

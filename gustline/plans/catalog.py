@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.plans import cleaning, features, models, monitoring, summaries
+from gustline.plans import cleaning, features, models, monitoring, streams, summaries
 from gustline.plans.frames import Query
 
 ALL: list[Query] = [*cleaning.QUERIES, *features.QUERIES, *summaries.QUERIES, *monitoring.QUERIES,
-                    *models.QUERIES]
+                    *models.QUERIES, *streams.QUERIES]
 
 
 def _prepared(query: Query) -> Callable[[SparkSession, str], DataFrame]:

@@ -220,11 +220,11 @@ def score_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def backtest_72(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.backtest(stored_features(spark, sf), SCORER, SERIES)
+    return inference.backtest(stored_features(spark, sf), SCORER, SERIES, digits=6)
 
 
 def backtest_mae(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inference.backtest(stored_features(spark, sf), SCORER, SERIES)
+    rows = inference.backtest(stored_features(spark, sf), SCORER, SERIES, digits=6)
     return rows.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("n_hours"),
         F.round(F.avg(F.abs(F.col("actual_pm25") - F.col("predicted_pm25"))), 4).alias("mae"))
@@ -321,7 +321,7 @@ add_cte("entries", ["features"], f"""SELECT *, CAST(row_number() OVER (PARTITION
 _SCORE = " + ".join(["50.0"] + [
     f"({c}) * (({f} - ({m})) / {s})" for f, c, m, s in
     zip(SCORER.contract.features, SCORER.coefs, SCORER.means, SCORER.stds)])
-add_cte("backtests", ["positions"], f"""SELECT series, datetime, round(pm25, 2) AS actual_pm25, round({_SCORE}, 2) AS predicted_pm25
+add_cte("backtests", ["positions"], f"""SELECT series, datetime, round(pm25, 6) AS actual_pm25, round({_SCORE}, 6) AS predicted_pm25
     FROM positions WHERE idx > size - 72""")
 _STEP = ("6.0 + 0.4 * h[len(h)] + 0.2 * h[len(h) - 23] + 0.25 * list_avg(h[len(h) - 5:]) "
          "+ 0.05 * list_stddev_samp(h[len(h) - 2:]) + 0.02 * f.temperature + 1.5 * sin(2 * pi() * hour(f.datetime) / 24)")
