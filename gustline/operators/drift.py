@@ -53,13 +53,11 @@ def with_p_value(ks: DataFrame) -> DataFrame:
                            "ks_method": ks_method(F.col("n_ref"), F.col("n_rec"))})
 
 
-def _bin(value: Column, edges: Column, buckets: int) -> Column:
+def _bin(value: str, edges: str, buckets: int) -> Column:
     """Bin number from 1; the last bin is closed, values outside the edges have none."""
-    passed = sum((F.when(value >= F.get(edges, F.lit(i)), 1).otherwise(0) for i in range(buckets + 1)),
-                 F.lit(0))
-    last = F.size(edges) - 1
-    inside = (value >= F.get(edges, F.lit(0))) & (value <= F.get(edges, last))
-    return F.when(inside, F.least(passed, last))
+    passed = " + ".join(f"CAST(coalesce({value} >= get({edges}, {i}), false) AS INT)" for i in range(buckets + 1))
+    return F.expr(f"CASE WHEN {value} >= get({edges}, 0) AND {value} <= get({edges}, size({edges}) - 1) "
+                  f"THEN least({passed}, size({edges}) - 1) END")
 
 
 def psi(samples: DataFrame, by: Sequence[str] = (), buckets: int = PSI_BUCKETS) -> DataFrame:
@@ -73,13 +71,16 @@ def psi(samples: DataFrame, by: Sequence[str] = (), buckets: int = PSI_BUCKETS)
              .select(*keys, F.array_sort(F.array_distinct("q")).alias("edges")))
     with_edges = (salted_lookup(samples, edges, keys, how="left") if by
                   else null_safe_join(samples, F.broadcast(edges), keys, "left"))
-    at = _bin(F.col("value"), F.col("edges"), buckets)
-    per_bin = [F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col(w))), F.lit(0))
-               for w in ("ref", "rec") for i in range(1, buckets + 1)]
+    at = _bin("value", "edges", buckets)
+
+    def per_bin(w: str) -> Column:
+        return F.expr("array(" + ", ".join(f"coalesce(sum(CASE WHEN _bin = {i} THEN {w} END), 0)"
+                                           for i in range(1, buckets + 1)) + ")")
+
     counted = with_edges.withColumn("_bin", at).groupBy(*keys).agg(
         F.max("total_ref").alias("n_ref"), F.max("total_rec").alias("n_rec"),
         F.coalesce(F.max(F.size("edges")), F.lit(0)).alias("n_edges"),
-        F.array(*per_bin[:buckets]).alias("ref_bins"), F.array(*per_bin[buckets:]).alias("rec_bins"))
+        per_bin("ref").alias("ref_bins"), per_bin("rec").alias("rec_bins"))
 
     def share(bins: str) -> Column:
         used = F.slice(F.col(bins), 1, F.greatest(F.col("n_edges") - 1, F.lit(1)))

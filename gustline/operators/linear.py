@@ -62,10 +62,11 @@ def gram_blocks(df: DataFrame, y: str, cols: Sequence[str], series_cols: Sequenc
         *[(F.col(f"_tot_{c}") / F.col(SIZE)).alias(f"_mean_{c}") for c in names],
         *[(F.col(c) - F.col(f"_tot_{c}") / F.col(SIZE)).alias(f"_x{i}") for i, c in enumerate(names)])
     p = len(names)
-    sums = [F.sum(f"_x{i}") for i in range(p)]
-    cross = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(p) for j in range(i, p)]
+    # as text: a wide table has hundreds of products
+    sums = ", ".join(f"sum(_x{i})" for i in range(p))
+    cross = ", ".join(f"sum(_x{i} * _x{j})" for i in range(p) for j in range(i, p))
     return centred.groupBy(*series_cols, "n_rows", "n_dev", "upto").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums"), F.array(*cross).alias("cross"),
+        F.count(F.lit(1)).alias("n"), F.expr(f"array({sums}) AS sums"), F.expr(f"array({cross}) AS cross"),
         F.array(*[F.first(f"_mean_{c}") for c in names]).alias("offsets"))
 
 

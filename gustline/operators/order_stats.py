@@ -78,20 +78,22 @@ def quantiles(cumulated: DataFrame, keys: Sequence[str], value: str, weight: str
 
     Only the rows that hold one of the wanted positions leave the scan.
     """
-    upto, n = F.col(f"cum_{weight}"), F.col(f"total_{weight}")
-    wanted = []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (n - 1)
-        for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
-                                   index.alias("index"), (at - F.floor(at)).alias("frac")))
-    hits = cumulated.where(F.col(weight) > 0).select(
-        *keys, F.col(value).alias("_v"),
-        F.inline(F.filter(F.array(*wanted),
-                          lambda s: (s["index"] < upto) & (s["index"] >= upto - F.col(weight)))))
+    upto, n, w = F.col(f"cum_{weight}"), F.col(f"total_{weight}"), F.col(weight)
+    levels = F.array(*[F.lit(float(p)) for p in probs])
+    wanted = F.transform(levels, lambda p, i: F.struct(
+        i.alias("i"), F.floor(p * (n - 1)).alias("lo"), F.ceil(p * (n - 1)).alias("hi"),
+        (p * (n - 1) - F.floor(p * (n - 1))).alias("frac")))
+
+    def here(index: Column) -> Column:
+        return (index < upto) & (index >= upto - w)
+
+    hits = cumulated.where(w > 0).select(
+        *keys, F.col(value).alias("_v"), upto.alias("_upto"), w.alias("_w"),
+        F.inline(F.filter(wanted, lambda s: here(s["lo"]) | here(s["hi"]))))
+    inside = "(_upto > {0} AND {0} >= _upto - _w)"
     picked = hits.groupBy(*keys, "i").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("hi"), F.max("frac").alias("frac"))
+        F.expr(f"max(CASE WHEN {inside.format('lo')} THEN _v END) AS lo"),
+        F.expr(f"max(CASE WHEN {inside.format('hi')} THEN _v END) AS hi"), F.max("frac").alias("frac"))
     point = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
     return (picked.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("i", point.alias("v")))).alias("_q"))

@@ -12,8 +12,9 @@ from gustline.operators.clean import validate
 from gustline.operators.feeds import merge_feeds
 from gustline.operators.windows import (add_timed_features, add_window_features, build_features,
                                         recompute_features, trailing_mean)
-from gustline.plans.frames import (DIGITS, SERIES, SPEC, Query, features, hourly, merged, sql,
+from gustline.plans.frames import (DIGITS, SERIES, SPEC, Query, features, hourly, merged, sql, stored_hours,
                                     stored_features, table, weather)
+from gustline.session import materialise
 from gustline.spec import FORECAST_SPEC, FeatureSpec
 
 KEYS = [*SERIES, "datetime"]
@@ -25,7 +26,7 @@ def rounded(df: DataFrame, cols: list[str], digits: int = DIGITS) -> DataFrame:
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """The whole chain: hourly means, validation, join, features, warm-up dropped, band."""
-    clean = merge_feeds(validate(hourly(spark, sf)), validate(weather(spark, sf)), SERIES)
+    clean = materialise(merge_feeds(validate(hourly(spark, sf)), validate(weather(spark, sf)), SERIES), "hours")
     out = build_features(clean, SPEC, SERIES).withColumn("category", pm25_category("pm25"))
     return rounded(out, [c for c in SPEC.columns if "roll" in c] + ["hour_sin", "hour_cos"])
 
@@ -36,26 +37,26 @@ def _window(df: DataFrame, spec: FeatureSpec, cols: list[str]) -> DataFrame:
 
 def lag_features(spark: SparkSession, sf: str) -> DataFrame:
     spec = FeatureSpec(means=())
-    return _window(merged(spark, sf), spec, spec.columns)
+    return _window(stored_hours(spark, sf), spec, spec.columns)
 
 
 def roll_mean_strict(spark: SparkSession, sf: str) -> DataFrame:
     spec = FeatureSpec(lags=())
-    return _window(merged(spark, sf), spec, spec.columns)
+    return _window(stored_hours(spark, sf), spec, spec.columns)
 
 
 def roll_mean_inclusive(spark: SparkSession, sf: str) -> DataFrame:
     spec = FeatureSpec(lags=(), means=(3, 6, 12, 24), mode="inclusive")
-    return _window(merged(spark, sf), spec, spec.columns)
+    return _window(stored_hours(spark, sf), spec, spec.columns)
 
 
 def roll_std_inclusive(spark: SparkSession, sf: str) -> DataFrame:
     spec = FeatureSpec(lags=(), means=(), stds=(3, 6, 12, 24), mode="inclusive")
-    return _window(merged(spark, sf), spec, spec.columns)
+    return _window(stored_hours(spark, sf), spec, spec.columns)
 
 
 def roll_past_expanding(spark: SparkSession, sf: str) -> DataFrame:
-    return _window(merged(spark, sf), FORECAST_SPEC, FORECAST_SPEC.columns)
+    return _window(stored_hours(spark, sf), FORECAST_SPEC, FORECAST_SPEC.columns)
 
 
 def recompute_layout(spark: SparkSession, sf: str) -> DataFrame:

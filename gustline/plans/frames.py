@@ -61,10 +61,15 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
     return merge_feeds(hourly(spark, sf), weather(spark, sf), SERIES)
 
 
+def stored_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """The joined feeds as written: far smaller than the events, and read more than once."""
+    return materialise(merged(spark, sf), "hours")
+
+
 def features(spark: SparkSession, sf: str, spec: FeatureSpec = SPEC) -> DataFrame:
     """The feature table, warm-up rows dropped; derived columns rounded so that equal values
     stay equal whatever the order of the additions."""
-    df = add_time_features(add_window_features(merged(spark, sf), spec, SERIES))
+    df = add_time_features(add_window_features(stored_hours(spark, sf), spec, SERIES))
     noisy = [c for c in spec.columns if "roll" in c] + ["hour_sin", "hour_cos"]
     return df.withColumns({c: F.round(c, DIGITS) for c in noisy}).na.drop("any")
 
