@@ -84,7 +84,10 @@ def explode_hourly(df: DataFrame, fields: dict[str, str], series_cols: Sequence[
     """One row per hour out of parallel arrays, with the canonical column names."""
     present = df.select(f"{hourly}.*").columns
     used = {f: c for f, c in fields.items() if f in present}
-    zipped = F.arrays_zip(*[F.col(f"{hourly}.{f}").alias(f) for f in ["time", *used]])
+    # a field the payload lacks is a null array, which would leave no rows at all
+    absent = F.array().cast("array<double>")
+    zipped = F.arrays_zip(F.col(f"{hourly}.time").alias("time"),
+                          *[F.coalesce(F.col(f"{hourly}.{f}"), absent).alias(f) for f in used])
     rows = df.select(*series_cols, F.inline(zipped))
     return rows.select(*series_cols, F.col("time").cast("timestamp_ntz").alias("datetime"),
                        *[F.col(f).alias(c) for f, c in used.items()])
