@@ -19,7 +19,7 @@ from gustline.functions.clock import month_floor
 
 BLOCK_ROWS = 8192
 IDX, SIZE = "_idx", "_n"
-_BLOCK, _HALO = "_block", "_halo"
+_BLOCK, _HALO, _KEY = "_block", "_halo", "_key"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -53,22 +53,22 @@ def with_row_index(df: DataFrame, series_cols: Sequence[str], order_cols: Sequen
     """
     buckets = list(buckets) if buckets is not None else [month_floor(order_cols[0])]
     names = [f"_bucket{i}" for i in range(len(buckets))]
-    keys = [*series_cols, *names]
     totals = totals or {}
-    marked = df.withColumns(dict(zip(names, buckets)))
-    counts = marked.groupBy(*keys).agg(
+    # one struct as the key: nulls in it are equal to each other, and the join and the window
+    # below ask for the same partitioning, so that rows are shuffled once
+    marked = df.withColumn(_KEY, F.struct(*series_cols, *[b.alias(n) for b, n in zip(buckets, names)]))
+    counts = marked.groupBy(_KEY).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(e).alias(f"_part_{k}") for k, e in totals.items()])
-    along = Window.partitionBy(*series_cols).orderBy(*names)
-    whole = Window.partitionBy(*series_cols)
+    whole = Window.partitionBy(*[F.col(_KEY)[c] for c in series_cols])
+    before = whole.orderBy(*[F.col(_KEY)[n] for n in names]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys,
-        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        _KEY, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias(SIZE),
         *[F.sum(f"_part_{k}").over(whole).alias(k) for k in totals])
-    inside = Window.partitionBy(*keys).orderBy(*order_cols)
-    return (null_safe_join(marked, offsets, keys)
+    inside = Window.partitionBy(_KEY).orderBy(*order_cols)
+    return (marked.join(offsets, _KEY)
             .withColumn(IDX, F.row_number().over(inside) + F.col("_before"))
-            .drop("_before", *names))
+            .drop("_before", _KEY))
 
 
 @dataclass
@@ -136,17 +136,15 @@ def fill_forward(df: DataFrame, cols: Sequence[str], series_cols: Sequence[str],
     filled within their own bucket.
     """
     bucket = bucket if bucket is not None else month_floor(order_col)
-    keys = [*series_cols, "_bucket"]
-    marked = df.withColumn("_bucket", bucket)
-    last = marked.groupBy(*keys).agg(
+    marked = df.withColumn(_KEY, F.struct(*series_cols, bucket.alias("_bucket")))
+    last = marked.groupBy(_KEY).agg(
         *[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)),
                    F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_last_{c}") for c in cols])
-    along = (Window.partitionBy(*series_cols).orderBy("_bucket")
+    along = (Window.partitionBy(*[F.col(_KEY)[c] for c in series_cols]).orderBy(F.col(_KEY)["_bucket"])
              .rowsBetween(Window.unboundedPreceding, -1))
-    carried = last.select(*keys, *[F.last(f"_last_{c}", ignorenulls=True).over(along).alias(f"_carry_{c}")
-                                   for c in cols])
-    inside = (Window.partitionBy(*keys).orderBy(order_col)
+    carried = last.select(_KEY, *[F.last(f"_last_{c}", ignorenulls=True).over(along).alias(f"_carry_{c}")
+                                  for c in cols])
+    inside = (Window.partitionBy(_KEY).orderBy(order_col)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carry_{c}")) for c in cols}
-    return (null_safe_join(marked, carried, keys).withColumns(filled)
-            .drop("_bucket", *[f"_carry_{c}" for c in cols]))
+    return marked.join(carried, _KEY).withColumns(filled).drop(_KEY, *[f"_carry_{c}" for c in cols])

@@ -57,19 +57,21 @@ def cumulate(counts: DataFrame, keys: Sequence[str], value: str, weights: Sequen
         cells = (_lookup(cells, span, at, bounded_keys)
                  .withColumn(f"_cell{level}", _cell(value, "_lo", "_hi")).drop("_lo", "_hi"))
         path.append(f"_cell{level}")
-    per_cell = cells.groupBy(*keys, *path).agg(*[F.sum(w).alias(f"_in_{w}") for w in weights])
-    before = (Window.partitionBy(*keys).orderBy(*path)
+    # one struct as the key, so that the join and the window share one shuffle
+    cells = cells.withColumn("_key", F.struct(*keys, *path)).drop(*path)
+    per_cell = cells.groupBy("_key").agg(*[F.sum(w).alias(f"_in_{w}") for w in weights])
+    whole = Window.partitionBy(*[F.col("_key")[k] for k in keys])
+    before = (whole.orderBy(*[F.col("_key")[c] for c in path])
               .rowsBetween(Window.unboundedPreceding, -1))
-    whole = Window.partitionBy(*keys)
     offsets = per_cell.select(
-        *keys, *path,
+        "_key",
         *[F.coalesce(F.sum(f"_in_{w}").over(before), F.lit(0)).alias(f"_before_{w}") for w in weights],
         *[F.sum(f"_in_{w}").over(whole).alias(f"total_{w}") for w in weights])
-    inside = (Window.partitionBy(*keys, *path).orderBy(value)
+    inside = (Window.partitionBy("_key").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (null_safe_join(cells, offsets, [*keys, *path])
+    return (cells.join(offsets, "_key")
             .withColumns({f"cum_{w}": F.sum(w).over(inside) + F.col(f"_before_{w}") for w in weights})
-            .drop(*path, *[f"_before_{w}" for w in weights]))
+            .drop("_key", *[f"_before_{w}" for w in weights]))
 
 
 def quantiles(cumulated: DataFrame, keys: Sequence[str], value: str, weight: str,

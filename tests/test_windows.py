@@ -116,3 +116,10 @@ def test_spec_from_columns():
     assert base == ["datetime", "pm25", "pm10"] and "hour" in derived
     with pytest.raises(ValueError):
         FeatureSpec(mode="other")
+
+
+def test_rows_without_a_series_name_form_their_own_series(spark, ar_series):
+    pdf = ar_series.copy()
+    pdf["series"] = pdf["series"].where(pdf["series"] == "a", None)
+    got = add_window_features(to_spark(spark, pdf), FeatureSpec(means=()), ["series"], block_rows=50).toPandas()
+    assert len(got) == len(pdf) and got["pm25_lag_1"].isna().sum() == 2
