@@ -17,10 +17,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from gustline.plans import catalog  # noqa: E402
 from gustline.session import build_session  # noqa: E402
 
-HEADLINE = ["merge_feeds", "lag_features", "roll_mean_strict", "feature_table", "long_series_features",
-            "timed_features", "upsert_latest", "validate_clean", "diurnal_boxplot", "ks_statistic", "psi",
-            "drift_classify", "cv_rollup", "select_best_model", "ridge_cv", "lasso_cv", "score_linear",
-            "recursive_forecast", "backtest_72"]
+HEADLINE = ["merge_feeds", "lag_features", "roll_mean_strict", "long_series_features", "timed_features",
+            "upsert_latest", "validate_clean", "diurnal_boxplot", "ks_statistic", "psi", "cv_rollup", "ridge_cv",
+            "score_linear", "recursive_forecast"]
 RUNS = 3      # after one run to warm up
 
 

@@ -103,10 +103,10 @@ def recompute_features(df: DataFrame, series_cols: Sequence[str], columns: Seque
     return fresh.select(*layout, *[c for c in fresh.columns if c not in layout])
 
 
-def out_of_order(df: DataFrame, arrival_col: str, ts: str, series_cols: Sequence[str],
+def out_of_order(df: DataFrame, arrival_cols: Sequence[str], ts: str, series_cols: Sequence[str],
                  buckets: Sequence[Column]) -> DataFrame:
     """Rows whose time is not after that of the row that arrived before them, per series."""
-    view = ordered(df, series_cols, 1, (arrival_col,), buckets)
+    view = ordered(df, series_cols, 1, arrival_cols, buckets)
     view.df = view.df.withColumn("_late", F.lag(ts).over(view.window) >= F.col(ts))
     return (view.finish().groupBy(*series_cols)
             .agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("_late").alias("n_out_of_order")))

@@ -102,7 +102,8 @@ def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], order_cols
         touched = fresh.select(part).distinct()
         stored = spark.read.parquet(path).join(touched, part, "left_semi")
         fresh = upsert_latest(stored, fresh, keys, order_cols)
-    (fresh.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # few files per date, but a date with very many rows is split over several tasks
+    (fresh.hint("rebalance", F.col(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(path))
 
 
@@ -112,7 +113,8 @@ def append_history(row: DataFrame, path: str) -> None:
 
 def save_snapshot(df: DataFrame, path: str, ts: str = "datetime") -> None:
     """Append-only snapshots, one folder per ingest date."""
-    df.withColumn("ingest_date", F.to_date(ts)).write.mode("append").partitionBy("ingest_date").parquet(path)
+    dated = df.withColumn("ingest_date", F.to_date(ts))
+    dated.hint("rebalance", F.col("ingest_date")).write.mode("append").partitionBy("ingest_date").parquet(path)
 
 
 # -- exports and reports --------------------------------------------------------------------
