@@ -93,6 +93,14 @@ def restore(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     return keep_last(df, keys, order_cols).orderBy(*sort_by)
 
 
+def _by_date(df: DataFrame, part: str, salts: int = 8) -> DataFrame:
+    """Few files per date, while a date with very many rows is split over several tasks."""
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", F.col(part))
+    # stateful streams run without adaptive execution, which the hint needs
+    return df.repartition(F.col(part), F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+
+
 def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], order_cols: Sequence[str],
                       ts: str = "datetime", part: str = "date") -> None:
     """Upsert into a table partitioned by date; only the dates in ``new`` are read and rewritten."""
@@ -102,8 +110,7 @@ def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], order_cols
         touched = fresh.select(part).distinct()
         stored = spark.read.parquet(path).join(touched, part, "left_semi")
         fresh = upsert_latest(stored, fresh, keys, order_cols)
-    # few files per date, but a date with very many rows is split over several tasks
-    (fresh.hint("rebalance", F.col(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_by_date(fresh, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(path))
 
 
@@ -114,7 +121,7 @@ def append_history(row: DataFrame, path: str) -> None:
 def save_snapshot(df: DataFrame, path: str, ts: str = "datetime") -> None:
     """Append-only snapshots, one folder per ingest date."""
     dated = df.withColumn("ingest_date", F.to_date(ts))
-    dated.hint("rebalance", F.col("ingest_date")).write.mode("append").partitionBy("ingest_date").parquet(path)
+    _by_date(dated, "ingest_date").write.mode("append").partitionBy("ingest_date").parquet(path)
 
 
 # -- exports and reports --------------------------------------------------------------------
