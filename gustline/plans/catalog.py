@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gustline.plans import cleaning, features, models, monitoring, streams, summaries
 from gustline.plans.frames import Query
+from gustline.session import ship_package
 
 ALL: list[Query] = [*cleaning.QUERIES, *features.QUERIES, *summaries.QUERIES, *monitoring.QUERIES,
                     *models.QUERIES, *streams.QUERIES]
@@ -17,6 +18,7 @@ def _prepared(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # hours are wall-clock hours; truncation goes through the session time zone
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return query.run(spark, sf_dir)
 
     run.__name__ = query.name

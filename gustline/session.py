@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,29 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once; they may start in any folder."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="gustline-package-"), "gustline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(folder):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(at, name)
+                    out.write(file, os.path.join(os.path.basename(folder), os.path.relpath(file, folder)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(application)
 
 
 _LOCAL_BASE: list[str] = []
