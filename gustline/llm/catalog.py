@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.llm import decontamination, quality, sharding, sql, url_rules
+from gustline.llm import decontamination, main_text, quality, repeats, sharding, sql, token_files, url_rules
 from gustline.llm.common import table
+from gustline.session import ship_package
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary that the token queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _utc(run: Run) -> Run:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return run(spark, sf_dir)
 
     return query
@@ -23,7 +31,10 @@ def _utc(run: Run) -> Run:
 QUERIES: dict[str, Run] = {
     "op1_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op2_url_rules": lambda spark, d: url_rules.judged_urls(table(spark, d, "pages"), url_rules.rule_table(spark)),
+    "op3_repeated_strings": lambda spark, d: repeats.report(table(spark, d, "documents")),
     "op5_hilbert_shards": lambda spark, d: sharding.shard_report(table(spark, d, "documents")),
+    "op7_token_files": lambda spark, d: token_files.report(table(spark, d, "documents"), tokenizer_path()),
+    "op8_main_text": lambda spark, d: main_text.extract(table(spark, d, "pages")),
     "op9_quality_cascade": lambda spark, d: quality.report(table(spark, d, "documents")),
 }
 
