@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.llm import decontamination, main_text, quality, repeats, sharding, sql, token_files, url_rules
+from gustline.llm import decontamination, main_text, ngram_join, quality, repeats, sharding, sql, token_files, url_rules
 from gustline.llm.common import table
 from gustline.session import ship_package
 
@@ -32,6 +32,7 @@ QUERIES: dict[str, Run] = {
     "op1_decontamination": lambda spark, d: decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op2_url_rules": lambda spark, d: url_rules.judged_urls(table(spark, d, "pages"), url_rules.rule_table(spark)),
     "op3_repeated_strings": lambda spark, d: repeats.report(table(spark, d, "documents")),
+    "op4_ngram_join": lambda spark, d: ngram_join.report(table(spark, d, "documents")),
     "op5_hilbert_shards": lambda spark, d: sharding.shard_report(table(spark, d, "documents")),
     "op7_token_files": lambda spark, d: token_files.report(table(spark, d, "documents"), tokenizer_path()),
     "op8_main_text": lambda spark, d: main_text.extract(table(spark, d, "pages")),
