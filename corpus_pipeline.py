@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.llm import decontamination, quality, sharding
+from gustline.llm import decontamination, mixing, ngram_join, quality, sharding
 from gustline.llm.common import table
-from gustline.session import materialise
+from gustline.session import materialise, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,20 +18,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
+    ship_package(spark)
+    return ngram_join.one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in target weights; a document comes once for each epoch that reaches it."""
+    return mixing.corpus_mix(spark, docs).drop("epoch")
+
+
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and its place in it."""
     return sharding.hilbert_shards(docs, keep=list(docs.columns))
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality_rules), ("decontamination", decontaminated), ("sharding", sharded)]
+    ("quality_rules", quality_rules), ("ngram_join", near_duplicates), ("decontamination", decontaminated),
+    ("source_mix", mixed), ("sharding", sharded)]
 
-#: Mixing deals documents by running token sums in a seeded order; tests compare the stages with brute force.
+#: The mix and the shards follow seeded hashes that SQL lacks; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
 

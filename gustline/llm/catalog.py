@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.llm import decontamination, main_text, ngram_join, quality, repeats, sharding, sql, token_files, url_rules
+from gustline.llm import decontamination, main_text, mixing, ngram_join, quality, repeats, sharding, sql, token_files, toxicity, url_rules
 from gustline.llm.common import table
 from gustline.session import ship_package
 
@@ -34,9 +34,11 @@ QUERIES: dict[str, Run] = {
     "op3_repeated_strings": lambda spark, d: repeats.report(table(spark, d, "documents")),
     "op4_ngram_join": lambda spark, d: ngram_join.report(table(spark, d, "documents")),
     "op5_hilbert_shards": lambda spark, d: sharding.shard_report(table(spark, d, "documents")),
+    "op6_toxicity": lambda spark, d: toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_token_files": lambda spark, d: token_files.report(table(spark, d, "documents"), tokenizer_path()),
     "op8_main_text": lambda spark, d: main_text.extract(table(spark, d, "pages")),
     "op9_quality_cascade": lambda spark, d: quality.report(table(spark, d, "documents")),
+    "op10_source_mix": lambda spark, d: mixing.report(spark, table(spark, d, "documents")),
 }
 
 SQL: dict[str, str] = {
