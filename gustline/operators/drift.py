@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.functions.kolmogorov import asymptotic_p, ks_method, ks_pvalue
+from gustline.functions.kolmogorov import asymptotic_p, exact_p
 from gustline.operators.blocks import null_safe_join, salted_lookup
 from gustline.operators.order_stats import cumulate, quantiles, value_counts
 from gustline.session import materialise
@@ -47,10 +47,14 @@ def with_asymptotic_p(ks: DataFrame) -> DataFrame:
     return ks.withColumn("p_asymptotic", asymptotic_p(F.col("d"), F.col("n_ref"), F.col("n_rec")))
 
 
-def with_p_value(ks: DataFrame) -> DataFrame:
-    """p-value, exact for samples up to 10,000 values, with the method used."""
-    return ks.withColumns({"ks_pvalue": ks_pvalue("d", "n_ref", "n_rec"),
-                           "ks_method": ks_method(F.col("n_ref"), F.col("n_rec"))})
+def with_p_value(ks: DataFrame, method: str = "asymptotic") -> DataFrame:
+    """p-value by one method for all rows: "asymptotic", a column expression, or "exact", whose cost
+    is the product of the sample sizes. ``ks_method`` names it."""
+    if method not in ("asymptotic", "exact"):
+        raise ValueError(f"unknown method {method!r}")
+    value = (exact_p("d", "n_ref", "n_rec") if method == "exact"
+             else asymptotic_p(F.col("d"), F.col("n_ref"), F.col("n_rec")))
+    return ks.withColumns({"ks_pvalue": value, "ks_method": F.lit(method)})
 
 
 def _bin(value: str, edges: str, buckets: int) -> Column:
@@ -109,11 +113,11 @@ def drift_report(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
                  buckets: int = PSI_BUCKETS, p_column: str = "ks_pvalue") -> DataFrame:
     """KS, PSI and status per feature of rows with a ``role``.
 
-    ``p_column`` "ks_pvalue" is the exact or large-sample value, "p_asymptotic" the limit
-    distribution, without any Python worker.
+    ``p_column`` "ks_pvalue" is the exact value, "p_asymptotic" the limit distribution, without any
+    Python worker.
     """
     samples = materialise(both_samples(df, cols, by), "samples")
     ks = ks_statistic(samples, by)
-    ks = with_p_value(ks) if p_column == "ks_pvalue" else with_asymptotic_p(ks)
-    joined = ks.join(psi(samples, by, buckets).select(*by, "feature", "psi"), [*by, "feature"])
+    ks = with_p_value(ks, "exact") if p_column == "ks_pvalue" else with_asymptotic_p(ks)
+    joined = null_safe_join(ks, psi(samples, by, buckets).select(*by, "feature", "psi"), [*by, "feature"])
     return joined.withColumns({"status": classify(p_column, "psi"), p_column: F.round(p_column, 6)})

@@ -1,9 +1,9 @@
 """Exact order statistics of large groups: cumulated counts, quantiles.
 
-Sorting a whole group in one task does not scale, so the value axis of a group is cut into
-cells, twice: first into equal widths between its minimum and maximum, then each cell again
-between the minimum and maximum it really holds (so a far outlier does not leave all rows in
-one cell). Counts per cell give each cell its offset, and rows are ordered inside their cell.
+Sorting a whole group in one task does not scale, so the value axis of a group is cut into cells
+at approximate quantiles of its distinct values. The borders only say how the work is
+split, the results stay exact: counts per cell give each cell its offset, and rows are ordered inside
+their cell. Whatever the spread of the values, cells hold nearly equal numbers of them.
 """
 
 from __future__ import annotations
@@ -25,12 +25,6 @@ def _lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], bounded: bool)
     return salted_lookup(df, table, keys)
 
 
-def _cell(value: str, lo: str, hi: str) -> Column:
-    # every step is monotone in the value, also in floating point
-    at = F.floor((F.col(value) - F.col(lo)) / (F.col(hi) - F.col(lo)) * CELLS)
-    return F.when(F.col(hi) > F.col(lo), F.least(at, F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("int")
-
-
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weights: dict[str, Column]) -> DataFrame:
     """Distinct values per group with summed weights; nulls and NaN are left out.
 
@@ -41,6 +35,14 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weights: dict[s
     return materialise(counts, "value-counts")      # every level of cells reads it again
 
 
+def in_cells(counts: DataFrame, keys: Sequence[str], value: str, bounded_keys: bool = False) -> DataFrame:
+    """Adds ``_cell``, a monotone function of the value whose cells hold nearly equal numbers of values."""
+    parts = F.array(*[F.lit(k / CELLS) for k in range(1, CELLS)])
+    borders = counts.groupBy(*keys).agg(F.percentile_approx(value, parts, F.lit(20 * CELLS)).alias("_borders"))
+    return (_lookup(counts, borders, keys, bounded_keys)
+            .withColumn("_cell", F.size(F.filter("_borders", lambda b: b < F.col(value)))).drop("_borders"))
+
+
 def cumulate(counts: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str],
              bounded_keys: bool = False) -> DataFrame:
     """Add ``cum_<w>`` (weight up to and including the value) and ``total_<w>`` per group.
@@ -49,14 +51,8 @@ def cumulate(counts: DataFrame, keys: Sequence[str], value: str, weights: Sequen
     the day), so that the cell tables may be broadcast.
     """
     keys = list(keys)
-    cells = counts
-    path: list[str] = []
-    for level in (1, 2):
-        at = [*keys, *path]
-        span = cells.groupBy(*at).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        cells = (_lookup(cells, span, at, bounded_keys)
-                 .withColumn(f"_cell{level}", _cell(value, "_lo", "_hi")).drop("_lo", "_hi"))
-        path.append(f"_cell{level}")
+    cells = in_cells(counts, keys, value, bounded_keys)
+    path = ["_cell"]
     # one struct as the key, so that the join and the window share one shuffle
     cells = cells.withColumn("_key", F.struct(*keys, *path)).drop(*path)
     per_cell = cells.groupBy("_key").agg(*[F.sum(w).alias(f"_in_{w}") for w in weights])

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gustline.functions.kolmogorov import exact_two_sample, large_sample
-from gustline.operators import alerts, drift
+from gustline.functions.kolmogorov import exact_two_sample
+from gustline.operators import alerts, drift, order_stats
 from gustline.operators.order_stats import group_quantiles
 
 
@@ -87,7 +87,10 @@ def test_exact_p_by_enumeration(m, n):
 
 
 def test_p_values_agree_for_large_samples():
-    assert exact_two_sample(0.05, 2000, 3000) == pytest.approx(large_sample(0.05, 2000, 3000), abs=2e-3)
+    # the limit distribution at d = 0.05 for 2000 and 3000 values
+    z2 = 0.05 ** 2 * 2000 * 3000 / 5000
+    limit = 2 * sum((-1) ** (k - 1) * np.exp(-2.0 * k * k * z2) for k in range(1, 101))
+    assert exact_two_sample(0.05, 2000, 3000) == pytest.approx(limit, abs=5e-3)
     assert exact_two_sample(0.0, 10, 10) == 1.0
 
 
@@ -135,7 +138,7 @@ def test_rollup_and_message(spark):
     got = {r["series"]: r for r in alerts.alert_message(alerts.alert_rollup(data, model, ["series"])).collect()}
     assert got["a"]["overall_status"] == "DRIFT" and not got["a"]["retrain_recommended"] and got["a"]["fraction"] == 0.7
     assert got["b"]["retrain_recommended"] and got["b"]["total"] == 0
-    assert "OVERALL STATUS: DRIFT" in got["a"]["message"] and "(7/10 features drifted)" in got["a"]["message"]
+    assert "Monitoring run: DRIFT" in got["a"]["message"] and "7 of 10 features moved" in got["a"]["message"]
 
 
 def test_consecutive_runs(spark):
@@ -147,3 +150,24 @@ def test_consecutive_runs(spark):
     assert [got[s]["retrain_sustained"] for s in "abc"] == [False, True, False]
     assert [got[s]["retrain_single_run"] for s in "abc"] == [True, True, False]
     assert got["b"]["progress"] == 1.0
+
+
+def test_p_value_method_is_asked_for(spark):
+    ks = spark.createDataFrame([("x", 8, 9, 0.5), ("y", 20_000, 30_000, 0.01)], "feature string, n_ref long, n_rec long, d double")
+    got = drift.with_p_value(ks).collect()
+    assert {r.ks_method for r in got} == {"asymptotic"} and all(0 < r.ks_pvalue <= 1 for r in got)
+    exact = drift.with_p_value(ks.where("feature = 'x'"), "exact").first()
+    assert exact.ks_method == "exact" and exact.ks_pvalue == pytest.approx(exact_two_sample(0.5, 8, 9))
+    with pytest.raises(ValueError):
+        drift.with_p_value(ks, "auto")
+
+
+def test_cells_are_balanced_on_log_spread_values(spark):
+    rng = np.random.default_rng(3)
+    values = 10.0 ** rng.uniform(-6, 6, 20_000)
+    df = spark.createDataFrame(pd.DataFrame({"f": "x", "v": values}))
+    counts = order_stats.value_counts(df, ["f"], "v", {"w": F.lit(1)})
+    cells = order_stats.in_cells(counts, ["f"], "v", True).groupBy("_cell").count().toPandas()["count"]
+    assert len(cells) > 100 and cells.max() < 4 * cells.mean()
+    got = order_stats.group_quantiles(df, ["f"], "v", [0.1, 0.5, 0.93], True).first()["q"]
+    assert np.allclose(got, np.quantile(values, [0.1, 0.5, 0.93]))
