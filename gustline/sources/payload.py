@@ -93,8 +93,9 @@ def explode_hourly(df: DataFrame, fields: dict[str, str], series_cols: Sequence[
                        *[F.col(f).alias(c) for f, c in used.items()])
 
 
-def quarantine_reason(payload: Column | None = None, expect_status: bool = True) -> Column:
-    """Null for a good payload, else why it is refused."""
+def quarantine_reason(payload: Column | None = None, expect_status: bool = False) -> Column:
+    """Null for a good payload, else why it is refused. Hourly payloads have no status; where a source
+    sends one, ``expect_status`` refuses all but "ok"."""
     get = (lambda name: payload[name]) if payload is not None else F.col
     bad_status = F.coalesce(get("status"), F.lit("")) != "ok" if expect_status else F.lit(False)
     no_rows = F.coalesce(F.size(get("hourly")["time"]), F.lit(0)) <= 0
@@ -102,7 +103,7 @@ def quarantine_reason(payload: Column | None = None, expect_status: bool = True)
             .when(bad_status, "status").when(no_rows, "empty"))
 
 
-def split_quarantine(df: DataFrame, payload: Column | None = None, expect_status: bool = True
+def split_quarantine(df: DataFrame, payload: Column | None = None, expect_status: bool = False
                      ) -> tuple[DataFrame, DataFrame]:
     """(valid payloads, refused payloads with ``reason``)."""
     marked = df.withColumn("reason", quarantine_reason(payload, expect_status))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from datetime import date, datetime
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustline.operators.blocks import null_safe_join
+from gustline.session import materialise
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -31,13 +34,21 @@ def date_range_scan(spark: SparkSession, path: str, first: date | datetime, last
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """The table at ``path``, or an empty frame of that schema where it is missing or unreadable."""
+    """The table at ``path``, or an empty frame of that schema where it is missing or any of it unreadable.
+
+    For small optional tables such as reports: it is read once to see whether all of it can be read.
+    """
+    empty = spark.createDataFrame([], schema)
+    if not path_exists(spark, path):
+        return empty
+    df = spark.read.format(fmt).option("mode", "FAILFAST").schema(schema).load(path)
     try:
-        if not path_exists(spark, path):
-            return spark.createDataFrame([], schema)
-        return spark.read.format(fmt).schema(schema).load(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+        df.write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError) as error:
+        if not re.search("(?i)malformed|corrupt|not a parquet|footer|FAILED_READ_FILE|cannot be read", str(error)):
+            raise
+        return empty
+    return df
 
 
 # -- versions -------------------------------------------------------------------------------
@@ -103,13 +114,18 @@ def _by_date(df: DataFrame, part: str, salts: int = 8) -> DataFrame:
 
 def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], order_cols: Sequence[str],
                       ts: str = "datetime", part: str = "date") -> None:
-    """Upsert into a table partitioned by date; only the dates in ``new`` are read and rewritten."""
+    """Upsert into a table partitioned by date; only the dates in ``new`` are read and rewritten.
+
+    Rows without a time have a partition of their own. The new state of the dates is written beside the table
+    first, so the stored rows are not replaced before their successors are safe.
+    """
     spark = new.sparkSession
     fresh = new.withColumn(part, F.to_date(ts))
     if path_exists(spark, path):
-        touched = fresh.select(part).distinct()
-        stored = spark.read.parquet(path).join(touched, part, "left_semi")
-        fresh = upsert_latest(stored, fresh, keys, order_cols)
+        touched = fresh.select(F.col(part).alias("_touched")).distinct()
+        stored = spark.read.parquet(path)
+        stored = stored.join(touched, stored[part].eqNullSafe(touched["_touched"]), "left_semi")
+        fresh = materialise(upsert_latest(stored, fresh, keys, order_cols), "upsert")
     (_by_date(fresh, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(path))
 
@@ -174,16 +190,15 @@ def read_importance(spark: SparkSession, paths: Sequence[str]) -> DataFrame | No
     return None
 
 
-def freshness(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> DataFrame:
+def freshness(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Newest file time per table; a missing table has a null time."""
     out = None
     for name, path in paths.items():
         if path_exists(spark, path):
-            # the time comes with the file listing; one row per file is enough
-            files = (spark.read.format(fmt).load(path)
-                     .select(F.col("_metadata.file_path").alias("f"),
-                             F.col("_metadata.file_modification_time").alias("t")))
-            row = files.agg(F.max("t").alias("last_modified"), F.count_distinct("f").alias("n_files"))
+            # one row per file, from the listing alone: no file is opened
+            files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+                     .select("path", "modificationTime"))
+            row = files.agg(F.max("modificationTime").alias("last_modified"), F.count("path").alias("n_files"))
         else:
             row = spark.range(1).select(F.lit(None).cast("timestamp").alias("last_modified"),
                                         F.lit(0).cast("bigint").alias("n_files"))
@@ -226,7 +241,11 @@ def unseen(fetched: DataFrame, existing: DataFrame, keys: Sequence[str], latest_
     ``not_after`` drops hours that lie in the future.
     """
     rows = fetched if not_after is None else fetched.where(F.col(ts) <= F.lit(not_after))
-    rows = rows.join(existing.select(*keys), [*keys], "left_anti")
+    stored = existing.select(*[F.col(k).alias(f"_s_{k}") for k in keys])
+    known = F.lit(True)
+    for k in keys:
+        known = known & rows[k].eqNullSafe(stored[f"_s_{k}"])
+    rows = rows.join(stored, known, "left_anti")
     if not latest_only:
         return rows
     series = [k for k in keys if k != ts]

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gustline.operators.blocks import null_safe_join, ordered
+from gustline.operators.blocks import null_safe_join, ordered, salted_lookup
 from gustline.operators.windows import window_columns
 from gustline.sources.tables import keep_last, path_exists, upsert_partitions
 from gustline.spec import FeatureSpec
@@ -22,11 +22,10 @@ def hourly_means(readings: DataFrame, series_cols: Sequence[str], ts: str = "ts"
                  watermark: str = "2 hours") -> DataFrame:
     """Tumbling hourly aggregation; state of hours behind the watermark is dropped."""
     hour = F.window(ts, "1 hour")
-    cents = F.sum(F.round(F.col(value) * 100).cast("bigint"))
     # watermarks need a zoned type; the session time zone is UTC, so the clock stays the same
     return (readings.withColumn(ts, F.col(ts).cast("timestamp"))
             .withWatermark(ts, watermark).groupBy(hour, *series_cols)
-            .agg((cents / (F.count(F.lit(1)) * 100)).alias("pm25"), F.max(value).alias("pm10"),
+            .agg(F.avg(value).alias("pm25"), F.max(value).alias("pm10"),
                  F.min(value).alias("co"), F.count(F.lit(1)).alias("n"))
             .select(*series_cols, F.col("window.start").cast("timestamp_ntz").alias("datetime"), "pm25", "pm10", "co", "n"))
 
@@ -80,22 +79,23 @@ def touched_features(base: DataFrame, new: DataFrame, spec: FeatureSpec, series_
 
 
 def affected_history(base: DataFrame, new: DataFrame, lookback: int, series_cols: Sequence[str],
-                     ts: str = "datetime", part: str = "date", pad_days: int = 7) -> DataFrame:
-    """The part of a table that new rows can touch, by its date partitions.
+                     ts: str = "datetime", part: str = "date") -> DataFrame:
+    """The part of a table that new rows can touch: for each of their series, from the day that holds
+    the ``lookback``-th row before its first new hour.
 
-    A few days before the first new hour normally hold the look-back. Where a touched series
-    has fewer rows there, but older ones outside, the whole history is used.
+    Rows per series and day (counted from two narrow columns) say which day that is, so a series
+    with gaps reaches further back and no series makes another one read more.
     """
-    first = new.agg(F.date_sub(F.to_date(F.min(ts)), pad_days).alias("d")).first()["d"]
-    near, far = base.where(F.col(part) >= F.lit(first)), base.where(F.col(part) < F.lit(first))
     starts = new.groupBy(*series_cols).agg(F.min(ts).alias("_first"))
-    before = null_safe_join(near.select(*series_cols, ts), starts, series_cols) \
-        .where(F.col(ts) < F.col("_first")).groupBy(*series_cols).agg(F.count(F.lit(1)).alias("_older"))
-    short = null_safe_join(starts, before, series_cols, "left") \
-        .where(F.coalesce(F.col("_older"), F.lit(0)) < lookback).select(*series_cols)
-    if far.join(short, [*series_cols], "left_semi").isEmpty():
-        base = near
-    return base.join(starts.select(*series_cols), [*series_cols], "left_semi")
+    days = base.groupBy(*series_cols, part).agg(F.count(F.lit(1)).alias("_rows"))
+    older = null_safe_join(days, starts, series_cols).where(F.col(part) < F.to_date("_first"))
+    back = (Window.partitionBy(*series_cols).orderBy(F.desc(part))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))     # one row per day
+    enough = older.withColumn("_reach", F.sum("_rows").over(back)).where(F.col("_reach") >= lookback)
+    since = enough.groupBy(*series_cols).agg(F.max(part).alias("_since"))
+    wanted = null_safe_join(starts.select(*series_cols), since, series_cols, "left")
+    found = salted_lookup(base, wanted, series_cols)
+    return found.where(F.col("_since").isNull() | F.col(part).isNull() | (F.col(part) >= F.col("_since"))).drop("_since")
 
 
 def stream_features(stream: DataFrame, base_path: str, feature_path: str, checkpoint: str, spec: FeatureSpec,

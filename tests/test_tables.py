@@ -108,7 +108,7 @@ def test_payload_files(spark, tmp_path):
     lines = [json.dumps(good), json.dumps({**good, "status": "error"}), json.dumps({**good, "hourly": {}}), '{"broken": ']
     (tmp_path / "p.json").write_text("\n".join(lines))
     df = payload.read_hourly_payloads(spark, str(tmp_path / "p.json"), payload.AIR_FIELDS, ["series"]).cache()
-    valid, refused = payload.split_quarantine(df)
+    valid, refused = payload.split_quarantine(df, expect_status=True)
     assert sorted(r["reason"] for r in refused.collect()) == ["corrupt", "empty", "status"]
     rows = payload.explode_hourly(valid, payload.AIR_FIELDS, ["series"]).orderBy("datetime").collect()
     assert [(r["pm25"], r["pm10"], r["dust"]) for r in rows] == [(1.5, 3.0, None), (None, 4.0, None)]
@@ -202,3 +202,46 @@ def test_date_filter_reaches_the_scan(spark, folder):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 5 and "PushedFilters: [IsNotNull(datetime), GreaterThanOrEqual" in plan
     assert "ReadSchema: struct<datetime:timestamp_ntz,pm25:double>" in plan
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_corrupt_optional_source(spark, tmp_path, fmt):
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    (tmp_path / f"bad.{fmt}").write_text("{\"a\": 1")
+    assert tables.read_or_empty(spark, str(tmp_path / f"bad.{fmt}"), schema, fmt).count() == 0
+    good = str(tmp_path / "good")
+    spark.createDataFrame([(1,), (2,)], schema).write.format(fmt).save(good)
+    assert tables.read_or_empty(spark, good, schema, fmt).count() == 2
+    part = next(p for p in (tmp_path / "good").iterdir() if p.name.startswith("part-"))
+    part.with_name("part-bad." + fmt).write_text("{\"a\": tru")
+    assert tables.read_or_empty(spark, good, schema, fmt).count() == 0
+
+
+def test_upsert_keeps_rows_without_time_or_series(spark, folder):
+    schema = "s string, datetime timestamp_ntz, v int, t int"
+    hour = datetime(2024, 1, 1, 5)
+    first = spark.createDataFrame([("a", None, 1, 1), (None, hour, 2, 1), ("a", hour, 3, 1)], schema)
+    tables.upsert_partitions(first, folder, ["s", "datetime"], ["t"])
+    second = spark.createDataFrame([("b", None, 4, 2), (None, hour, 5, 2)], schema)
+    tables.upsert_partitions(second, folder, ["s", "datetime"], ["t"])
+    got = {(r.s, r.datetime): r.v for r in spark.read.parquet(folder).collect()}
+    assert got == {("a", None): 1, ("b", None): 4, (None, hour): 5, ("a", hour): 3}
+
+
+def test_null_series_meet(spark):
+    rows = spark.createDataFrame([(None, datetime(2024, 1, 1), 1.0), ("a", datetime(2024, 1, 1), 2.0)],
+                                 "s string, datetime timestamp_ntz, v double")
+    assert tables.unseen(rows, rows, ["s", "datetime"]).count() == 0
+    from gustline.operators.feeds import merge_feeds
+    assert merge_feeds(rows, rows.withColumnRenamed("v", "w"), ["s"]).count() == 2
+
+
+def test_hourly_payload_needs_no_status(spark):
+    from pyspark.sql import functions as F
+
+    from gustline.sources import payload
+    text = '{"latitude": 24.8, "hourly": {"time": ["2024-01-01T00:00"], "pm2_5": [3.5], "pm10": [7.0]}}'
+    df = spark.createDataFrame([(text,)], "t string").select(payload.parse_payload(F.col("t"), payload.AIR_FIELDS).alias("p"))
+    valid, refused = payload.split_quarantine(df, F.col("p"))
+    assert (valid.count(), refused.count()) == (1, 0)
+    assert payload.split_quarantine(df, F.col("p"), expect_status=True)[1].first()["reason"] == "status"
