@@ -106,7 +106,7 @@ def contract_select(df: DataFrame, contract: Contract, keep: Sequence[str] = ())
     """The contract's features, in its order; a missing one is an error."""
     lacking = [c for c in contract.features if c not in df.columns]
     if lacking:
-        raise ValueError(f"Missing required features for '{contract.model_name}': {lacking}")
+        raise ValueError(f"contract {contract.model_name} asks for columns that are not there: {lacking}")
     return df.select(*keep, *[c for c in contract.features if c not in keep])
 
 

@@ -7,22 +7,24 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gustline.operators.blocks import salted_lookup
 from gustline.operators.metrics import metric_columns
 from gustline.operators.splits import latest_rows
 from gustline.spec import LinearModel
 
-SAMPLE_ROWS = 200
+BUCKET_ROWS = 8192
 
 
 def attribution_sample(df: DataFrame, features: Sequence[str], series_cols: Sequence[str],
-                       n: int = SAMPLE_ROWS) -> DataFrame:
-    """The last ``n`` rows per series that have all features."""
-    return latest_rows(df.na.drop("any", subset=list(features)), series_cols, n)
+                       n: int | None = None) -> DataFrame:
+    """The rows that have all features; on request the last ``n`` of each series."""
+    whole = df.na.drop("any", subset=list(features))
+    return whole if n is None else latest_rows(whole, series_cols, n)
 
 
 def linear_attribution(df: DataFrame, model: LinearModel, series_cols: Sequence[str],
-                       n: int = SAMPLE_ROWS) -> DataFrame:
-    """Mean absolute SHAP value per feature of a linear model.
+                       n: int | None = None) -> DataFrame:
+    """Mean absolute SHAP value per feature of a linear model, over all rows or the last ``n`` of each series.
 
     For a linear model it is slope * (x - mean of the sample), so two small aggregations over
     the sample are exact.
@@ -30,7 +32,7 @@ def linear_attribution(df: DataFrame, model: LinearModel, series_cols: Sequence[
     features = model.contract.features
     sample = attribution_sample(df, features, series_cols, n).select(*series_cols, *features)
     centre = sample.groupBy(*series_cols).agg(*[F.avg(c).alias(f"_m_{c}") for c in features])
-    joined = sample.join(centre, [*series_cols]) if series_cols else sample.join(F.broadcast(centre))
+    joined = salted_lookup(sample, centre, series_cols) if series_cols else sample.join(F.broadcast(centre))  # one row
     scale = model.stds if model.contract.requires_scaling else [1.0] * len(features)
     wide = joined.groupBy(*series_cols).agg(*[
         F.avg(F.abs((F.col(c) - F.col(f"_m_{c}")) * F.lit(model.coefs[i] / scale[i]))).alias(c)
@@ -42,12 +44,16 @@ def permutation_importance(df: DataFrame, predict: Callable[[DataFrame], DataFra
                            features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Rise of the RMSE when one feature is taken from another row, per feature.
 
-    The other row is the next one in a fixed pseudo-random order of the sample, which is the
-    bounded attribution sample; all features are scored in one pass.
+    The other row is the next one in a fixed pseudo-random order (by the MD5 of key and time) of the group or,
+    where there are more rows, of a hash bucket of about ``BUCKET_ROWS`` rows of it, so no task gets a whole long
+    series; all features are scored in one pass.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*keys, "datetime"), "datetime")
+    buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    spot = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "datetime")])
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(spot), F.lit(buckets)))
+    order = Window.partitionBy(*keys, "_bucket").orderBy(F.md5(spot.cast("binary")), "datetime")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     other = {f"_o_{c}": F.coalesce(F.lead(c).over(order), F.first(c).over(whole)) for c in features}
     rows = df.withColumns(other).withColumn(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.operators.blocks import fill_forward, salted_lookup, with_row_index
+from gustline.operators.blocks import fill_forward, null_safe_join, salted_lookup, with_row_index
 from gustline.operators.splits import latest_row
 
 
@@ -16,7 +16,7 @@ def merge_feeds(a: DataFrame, b: DataFrame, series_cols: Sequence[str], ts: str
 
     Both sides hold one row per key, so the join neither grows nor has a hot key.
     """
-    return a.join(b, [*series_cols, ts], "inner")
+    return null_safe_join(a, b, [*series_cols, ts])
 
 
 def carry_forward(existing: DataFrame, new: DataFrame, base_cols: Sequence[str],

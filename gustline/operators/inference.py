@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions.bands import pm25_category
 from gustline.functions.clock import add_time_features
-from gustline.operators.blocks import IDX, SIZE, with_row_index
+from gustline.operators.blocks import IDX, SIZE, null_safe_join, with_row_index
 from gustline.operators.clean import contract_select
 from gustline.operators.splits import latest_rows
 from gustline.session import ensure_checkpoint_dir
@@ -25,7 +25,7 @@ def _linear(model: LinearModel, value: Callable[[str], Column]) -> Column:
         x = value(name).cast("double")
         if model.contract.requires_scaling:
             if model.means is None or model.stds is None:
-                raise RuntimeError(f"'{model.contract.model_name}' requires scaling but no scaler was loaded.")
+                raise RuntimeError(f"model {model.contract.model_name} scales its inputs, but has no means and deviations")
             x = (x - F.lit(model.means[i])) / F.lit(model.stds[i])
         out = out + F.lit(model.coefs[i]) * x
     return out
@@ -85,7 +85,7 @@ def _needed(spec: FeatureSpec, features: Sequence[str]) -> FeatureSpec:
                              (spec.stds, own.stds, "std")):
         extra = set(want) - set(have)
         if extra:
-            raise ValueError(f"Cannot build forecast features (missing: {what} {sorted(extra)})")
+            raise ValueError(f"the forecast specification lacks the {what} features {sorted(extra)}")
     return own
 
 
@@ -94,7 +94,7 @@ def _future_with_calendar(future: DataFrame, features: Sequence[str], spec: Feat
     derived = set(spec.columns)
     lacking = [c for c in features if c not in rows.columns and c not in derived]
     if lacking:
-        raise ValueError(f"Cannot build forecast features (missing: {lacking})")
+        raise ValueError(f"the future rows have no columns for {lacking}")
     return rows
 
 
@@ -119,7 +119,7 @@ def forecast_linear(history: DataFrame, future: DataFrame, model: LinearModel, s
     carried = [c for c in features if c not in spec.columns]
     ahead = future.groupBy(*series_cols).agg(       # at most the horizon per series
         F.array_sort(F.collect_list(F.struct("step", "datetime", *carried))).alias("_ahead"))
-    rows = ahead.join(last_values(history, series_cols, spec.lookback, model.contract.target), [*series_cols])
+    rows = null_safe_join(ahead, last_values(history, series_cols, spec.lookback, model.contract.target), series_cols)
 
     def step(past: Column, row: Column) -> Column:
         derived = _from_history(past, spec)
@@ -148,7 +148,7 @@ def forecast_with_model(history: DataFrame, future: DataFrame, predict: Callable
     carried = [c for c in features if c not in spec.columns]
     ahead = future.groupBy(*series_cols).agg(
         F.array_sort(F.collect_list(F.struct("step", "datetime", *carried))).alias("_ahead"))
-    state = (ahead.join(last_values(history, series_cols, keep, target), [*series_cols])
+    state = (null_safe_join(ahead, last_values(history, series_cols, keep, target), series_cols)
              .withColumn("_out", F.array().cast("array<double>"))).checkpoint()
     for step in range(1, horizon + 1):
         row = F.get("_ahead", F.lit(step - 1))

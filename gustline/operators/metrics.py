@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustline.functions.bands import gap_verdict
+from gustline.operators.blocks import null_safe_join
 
 
 def metric_columns(y: Column | str, yhat: Column | str, digits: int | None = 4) -> list[Column]:
@@ -65,7 +66,7 @@ def metrics_record(cv: DataFrame, sides: DataFrame, by: Sequence[str]) -> DataFr
     pick = lambda role: F.max(F.when(F.col("role") == role, F.struct(*fields)))
     parts = sides.groupBy(*by).agg(pick("dev").alias("train"), pick("test").alias("test"))
     block = [c for c in cv.columns if c not in by]
-    return (parts.join(cv.select(*by, F.struct(*block).alias("cv")), [*by], "left")
+    return (null_safe_join(parts, cv.select(*by, F.struct(*block).alias("cv")), by, "left")
             .withColumn("test_r2_gap", F.round(F.col("train.r2") - F.col("test.r2"), 4)))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gustline.operators.blocks import null_safe_join
+
 GAP_LIMIT = 0.05
 # Models whose inputs are standardised.
 SCALED_MODELS = ["ridge"]
@@ -55,7 +57,7 @@ def promote(best: DataFrame, records: DataFrame, by: Sequence[str] = (), target:
     ``records`` needs ``model`` and ``features``; a model without features gets no contract.
     """
     keys = [*by, "model"]
-    return best.join(records.select(*keys, "features"), keys).where(F.col("features").isNotNull()).select(
+    return null_safe_join(best, records.select(*keys, "features"), keys).where(F.col("features").isNotNull()).select(
         *by, F.col("model").alias("model_name"), F.lit(target).alias("target"),
         F.col("model").isin(list(scaled_models)).alias("requires_scaling"), "features",
         F.size("features").alias("n_features"), "selected_by", "cv_val_r2",

@@ -85,6 +85,7 @@ def histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[str] = ())
     by = list(by)
     rows = df.where(~missing(value)).select(*by, value)
     span = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    rows = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rows"))     # equal rows would get one salt
     if by:
         spread = salted_lookup(rows, span, by)
     else:
@@ -93,7 +94,7 @@ def histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[str] = ())
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))
     return (spread.withColumn("bin", F.when(width > 0, at).otherwise(F.lit(0)).cast("int"))
             .groupBy(*by, "bin").agg(
-                F.count(F.lit(1)).alias("n"),
+                F.sum("_rows").alias("n"),
                 F.first(F.col("_lo") + F.col("bin") * width).alias("bin_start"),
                 F.first(F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_end")))
 

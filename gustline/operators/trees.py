@@ -20,7 +20,7 @@ PATIENCE = 50
 # Parameters of the three tree models.
 FOREST_PARAMS = {"numTrees": 400, "maxDepth": 4, "minInstancesPerNode": 20,
                  "featureSubsetStrategy": "0.4", "subsamplingRate": 0.7, "seed": 42}
-BOOST_A_PARAMS = {"maxIter": 200, "stepSize": 0.02, "maxDepth": 2, "minInstancesPerNode": 20,
+BOOST_A_PARAMS = {"stepSize": 0.02, "maxDepth": 2, "minInstancesPerNode": 20,
                   "featureSubsetStrategy": "0.5", "subsamplingRate": 0.6, "seed": 42}
 BOOST_B_PARAMS = {**BOOST_A_PARAMS, "maxDepth": 3}
 
@@ -46,29 +46,36 @@ def best_iteration(losses: Sequence[float], patience: int = PATIENCE) -> int:
 
 
 def fit_boosted(train: DataFrame, val: DataFrame, y: str, cols: Sequence[str], patience: int = PATIENCE,
-                **params) -> tuple[PipelineModel, int]:
-    """Boosted trees with early stopping on ``val``; returns the model and its number of trees.
+                **params) -> tuple[PipelineModel, int, int]:
+    """Boosted trees with early stopping on ``val``: the model, its number of trees, and how many were looked at.
 
-    All trees are fitted once, the loss after each of them is read on the validation rows, and
-    the model is fitted again with the best number (the same seed gives the same first trees).
+    The loss after each tree is read on the validation rows. While the best tree lies within ``patience``
+    of the end, twice as many are fitted; only then the patience has really run out. The same seed gives the
+    same first trees, so the last fit repeats the start of the longest one: in all at most four times the trees
+    that were needed, as the library cannot go on from a fitted model.
     """
     settings = {**BOOST_A_PARAMS, **params}
+    trees = settings.pop("maxIter", 2 * patience)
     assembler = _assembler(cols)
     boost = GBTRegressor(labelCol=y, predictionCol="predicted", featuresCol="features", **settings)
     # the boosting loop passes over the training rows once per tree level
-    rows = assembler.transform(train.select(y, *cols)).persist()
+    rows, held = (assembler.transform(d.select(y, *cols)).persist() for d in (train, val))
     try:
-        full = boost.fit(rows)
-        losses = full.evaluateEachIteration(assembler.transform(val.select(y, *cols)), "squared")
-        best = best_iteration(losses, patience)
-        model = full if best == settings["maxIter"] else boost.copy({boost.maxIter: best}).fit(rows)
+        while True:
+            model = boost.copy({boost.maxIter: trees}).fit(rows)
+            best = best_iteration(model.evaluateEachIteration(held, "squared"), patience)
+            if trees - best >= patience:
+                break
+            trees *= 2
+        model = boost.copy({boost.maxIter: best}).fit(rows)
     finally:
         rows.unpersist()
-    return PipelineModel(stages=[assembler, model]), best
+        held.unpersist()
+    return PipelineModel(stages=[assembler, model]), best, trees
 
 
 def fit_boosted_final(dev: DataFrame, y: str, cols: Sequence[str], series_cols: Sequence[str], **params
-                      ) -> tuple[PipelineModel, int]:
+                      ) -> tuple[PipelineModel, int, int]:
     """Final boosted model: the tail of the development rows decides when to stop."""
     tail = F.col(IDX) > F.col(SIZE) - holdout_size(F.col(SIZE))
     return fit_boosted(dev.where(~tail), dev.where(tail), y, cols, **params)

@@ -27,8 +27,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
         *[F.col(c).alias(f) for f, c in FIELDS.items()])))
     days = hourly(spark, sf).groupBy("series", F.to_date("datetime").alias("day")).agg(rows.alias("r"))
     hours = F.struct(*[F.col(f"r.{f}").alias(f) for f in ("time", *FIELDS)])
-    return days.select("series", "day", F.to_json(F.struct(
-        F.lit("ok").alias("status"), hours.alias("hourly"))).alias("text"))
+    return days.select("series", "day", F.to_json(F.struct(hours.alias("hourly"))).alias("text"))
 
 
 def json_hourly_explode(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,8 +39,8 @@ def payload_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     day = F.dayofmonth("day") % 7
     broken = payloads(spark, sf).withColumn(
         "text", F.when(day == 0, F.substring("text", 1, 40))
-        .when(day == 1, F.regexp_replace("text", '"status":"ok"', '"status":"error"'))
-        .when(day == 2, F.lit('{"status":"ok","hourly":{"time":[]}}')).otherwise(F.col("text")))
+        .when(day == 1, F.lit('{"error":true,"reason":"out of range"}'))
+        .when(day == 2, F.lit('{"hourly":{"time":[]}}')).otherwise(F.col("text")))
     parsed = broken.select("series", "day", payload.parse_payload(F.col("text"), FIELDS).alias("p"))
     valid, refused = payload.split_quarantine(parsed, F.col("p"))
     both = valid.select("series", F.lit("valid").alias("reason")).unionByName(refused.select("series", "reason"))
@@ -210,7 +209,7 @@ QUERIES = [
         SELECT series, unnest(t) AS datetime, unnest(a) AS pm25, unnest(b) AS pm10, unnest(c) AS co FROM p""")),
     Query("payload_quarantine", payload_quarantine, sql("hourly", """,
         d AS (SELECT DISTINCT series, CAST(datetime AS DATE) AS day FROM hourly)
-        SELECT series, CASE day(day) % 7 WHEN 0 THEN 'corrupt' WHEN 1 THEN 'status' WHEN 2 THEN 'empty'
+        SELECT series, CASE day(day) % 7 WHEN 0 THEN 'corrupt' WHEN 1 THEN 'empty' WHEN 2 THEN 'empty'
         ELSE 'valid' END AS reason, count(*) AS n FROM d GROUP BY 1, 2""")),
     Query("json_nested_reading", json_nested_reading, """
         SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN floor(value) END AS aqi, value AS pm25,

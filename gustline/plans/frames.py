@@ -38,13 +38,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     """The pollutant side: one row per event type and hour.
 
-    Readings have two decimals, so the mean is taken over whole hundredths: the sum is exact
-    and does not depend on the order of the rows.
+    The sum is taken over decimals: it is exact and does not depend on the order of the rows.
     """
     events = table(spark, sf, "events").select(
         F.col("event_type").alias("series"), hour_floor("ts").alias("datetime"), "value")
     return events.groupBy("series", "datetime").agg(
-        (F.sum(F.round(F.col("value") * 100).cast("bigint")) / (F.count(F.lit(1)) * 100)).alias("pm25"), F.max("value").alias("pm10"),
+        (F.sum(F.col("value").cast("decimal(20,6)")).cast("double") / F.count(F.lit(1))).alias("pm25"), F.max("value").alias("pm10"),
         F.min("value").alias("co"), F.count(F.lit(1)).alias("n"))
 
 
@@ -125,7 +124,7 @@ def _feature_sql() -> str:
 
 _CTES: dict[str, tuple[list[str], str]] = {
     "hourly": ([], """SELECT event_type AS series, date_trunc('hour', ts) AS datetime,
-        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS pm25, max(value) AS pm10, min(value) AS co, count(*) AS n
+        CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE) / count(*) AS pm25, max(value) AS pm10, min(value) AS co, count(*) AS n
         FROM events GROUP BY 1, 2"""),
     "weather": ([], """SELECT event_type AS series, date_trunc('hour', ts) AS datetime,
         avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS temperature,

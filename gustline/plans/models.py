@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.functions.bands import feature_family
+from gustline.functions.bands import feature_family, gap_verdict
 from gustline.operators import explain, inference, linear, metrics, registry, selection, summary, trees
 from gustline.operators.blocks import IDX, SIZE, with_row_index
 from gustline.operators.feeds import future_horizon
 from gustline.operators.splits import development, holdout, ts_folds
-from gustline.plans.frames import (MODEL_FEATURES, SERIES, Query, add_cte, existing, features, merged, sql,
+from gustline.plans.frames import (CUT, MODEL_FEATURES, SERIES, Query, add_cte, existing, features, merged, sql,
                                    stored_features, weather)
 from gustline.plans.summaries import band_case, family_case, verdict_case
 from gustline.spec import Contract, LinearModel
@@ -81,7 +81,7 @@ def importance_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ridge_cv(spark: SparkSession, sf: str) -> DataFrame:
-    out = linear.ridge_cv(features(spark, sf), "pm25", MODEL_FEATURES, SERIES)
+    out = linear.ridge_cv(stored_features(spark, sf), "pm25", MODEL_FEATURES, SERIES)
     return out.select(*SERIES, "fold", "alpha", "n_train", "n_val", "train_rmse", "val_rmse", "train_r2",
                       "val_r2", "ratio", F.array_join("features", ",").alias("features"))
 
@@ -96,7 +96,7 @@ def ridge_scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lasso_cv(spark: SparkSession, sf: str) -> DataFrame:
-    out = linear.lasso_cv(features(spark, sf), "pm25", MODEL_FEATURES, SERIES)
+    out = linear.lasso_cv(stored_features(spark, sf), "pm25", MODEL_FEATURES, SERIES)
     return linear.coef_ranking(out, [*SERIES, "alpha", "train_r2", "val_r2"], nonzero=True)
 
 
@@ -109,24 +109,43 @@ def random_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _boosted(spark: SparkSession, sf: str, params: dict) -> DataFrame:
+    """Selected features, stopping by patience, final fit; the gap of R² with its verdict on both rows."""
     table = stored_features(spark, sf)
     dev = development(table, SERIES)
-    model, best = trees.fit_boosted_final(dev, "pm25", MODEL_FEATURES, SERIES, **params)
-    return trees.final_metrics(model, table, "pm25", SERIES).withColumn("best_iteration", F.lit(best))
+    cols = [row["feature"] for row in selection.select_tree(dev, "pm25", MODEL_FEATURES, trees.TREE_FEATURES).collect()]
+    model, best, fitted = trees.fit_boosted_final(dev, "pm25", cols, SERIES, **params)
+    out = trees.final_metrics(model, table, "pm25", SERIES)
+    gap = out.agg((F.max(F.when(F.col("role") == "dev", F.col("r2"))) - F.max(F.when(F.col("role") == "test", F.col("r2"))))
+                  .alias("r2_gap"))
+    return out.join(F.broadcast(gap)).withColumns({     # one row
+        "r2_gap": F.round("r2_gap", 4), "verdict": gap_verdict("r2_gap"), "best_iteration": F.lit(best),
+        "trees_fitted": F.lit(fitted), "features": F.lit(",".join(cols))})
 
 
 def boosted_trees_a(spark: SparkSession, sf: str) -> DataFrame:
-    return _boosted(spark, sf, {**trees.BOOST_A_PARAMS, "maxIter": 30})
+    return _boosted(spark, sf, trees.BOOST_A_PARAMS)
 
 
 def boosted_trees_b(spark: SparkSession, sf: str) -> DataFrame:
-    return _boosted(spark, sf, {**trees.BOOST_B_PARAMS, "maxIter": 30})
+    return _boosted(spark, sf, trees.BOOST_B_PARAMS)
+
+
+def _tree_cv(spark: SparkSession, sf: str, fit) -> DataFrame:
+    """Fold rows with the gap of R² and its verdict; features are selected anew in every fold."""
+    out = trees.tree_cv(stored_features(spark, sf), "pm25", MODEL_FEATURES, SERIES, fit)
+    return out.withColumn("r2_gap", F.round(F.col("train_r2") - F.col("val_r2"), 4)).withColumn("verdict", gap_verdict("r2_gap"))
 
 
 def forest_cv(spark: SparkSession, sf: str) -> DataFrame:
-    def fit(train, val, cols):
-        return trees.fit_forest(train, "pm25", cols, numTrees=50)
-    return trees.tree_cv(stored_features(spark, sf), "pm25", MODEL_FEATURES, SERIES, fit)
+    return _tree_cv(spark, sf, lambda train, val, cols: trees.fit_forest(train, "pm25", cols))
+
+
+def boosted_cv_a(spark: SparkSession, sf: str) -> DataFrame:
+    return _tree_cv(spark, sf, lambda train, val, cols: trees.fit_boosted(train, val, "pm25", cols, **trees.BOOST_A_PARAMS)[0])
+
+
+def boosted_cv_b(spark: SparkSession, sf: str) -> DataFrame:
+    return _tree_cv(spark, sf, lambda train, val, cols: trees.fit_boosted(train, val, "pm25", cols, **trees.BOOST_B_PARAMS)[0])
 
 
 # -- comparison -----------------------------------------------------------------------------
@@ -241,12 +260,12 @@ def recursive_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forecast_with_trees(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelve recursive steps with a small forest."""
+    """The whole horizon with a forest that was fitted on the rows before the forecast only."""
     cols = ["pm25_lag_1", "pm25_lag_24", "pm25_roll_mean_6", "temperature", "hour_sin"]
-    model = trees.fit_forest(features(spark, sf), "pm25", cols, numTrees=10)
+    model = trees.fit_forest(features(spark, sf).where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz")), "pm25", cols)
     history = existing(spark, sf)
-    future = future_horizon(weather(spark, sf), history, SERIES, horizon=12)
-    return inference.forecast_with_model(history, future, model.transform, cols, SERIES, horizon=12)
+    future = future_horizon(weather(spark, sf), history, SERIES)
+    return inference.forecast_with_model(history, future, model.transform, cols, SERIES)
 
 
 def forecast_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,7 +281,7 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     names = SCORER.contract.features
     sample = explain.attribution_sample(stored_features(spark, sf), names, SERIES)
     out = explain.permutation_importance(sample, lambda d: inference.score_linear(d, SCORER), "pm25", names, SERIES)
-    return out.withColumn("family", feature_family("feature"))
+    return r(out.withColumn("family", feature_family("feature")), 6, "importance")
 
 
 # -- SQL ------------------------------------------------------------------------------------
@@ -321,6 +340,16 @@ add_cte("entries", ["features"], f"""SELECT *, CAST(row_number() OVER (PARTITION
 _SCORE = " + ".join(["50.0"] + [
     f"({c}) * (({f} - ({m})) / {s})" for f, c, m, s in
     zip(SCORER.contract.features, SCORER.coefs, SCORER.means, SCORER.stds)])
+_RMSE = "sqrt(avg((pm25 - ({0})) * (pm25 - ({0}))))"
+
+
+def _swapped(k: int) -> str:
+    """The score with feature k taken from the other row."""
+    return " + ".join(["50.0"] + [
+        f"({c}) * (({f'other_{i}' if i == k else f} - ({m})) / {s})" for i, (f, c, m, s) in enumerate(
+            zip(SCORER.contract.features, SCORER.coefs, SCORER.means, SCORER.stds))])
+
+
 add_cte("backtests", ["positions"], f"""SELECT series, datetime, round(pm25, 6) AS actual_pm25, round({_SCORE}, 6) AS predicted_pm25
     FROM positions WHERE idx > size - 72""")
 _STEP = ("6.0 + 0.4 * h[len(h)] + 0.2 * h[len(h) - 23] + 0.25 * list_avg(h[len(h) - 5:]) "
@@ -377,6 +406,8 @@ QUERIES = [
     Query("boosted_trees_a", boosted_trees_a),
     Query("boosted_trees_b", boosted_trees_b),
     Query("forest_cv", forest_cv),
+    Query("boosted_cv_a", boosted_cv_a),
+    Query("boosted_cv_b", boosted_cv_b),
     Query("regression_metrics", regression_metrics, sql("sides", "SELECT * FROM sides")),
     Query("fold_metrics", fold_metrics, sql("fold_rows", "SELECT * FROM fold_rows")),
     Query("cv_rollup", cv_rollup, sql("cvs", "SELECT * FROM cvs")),
@@ -409,11 +440,19 @@ QUERIES = [
         d AS (SELECT series, dominant FROM c QUALIFY row_number() OVER (PARTITION BY series ORDER BY n DESC, lo) = 1)
         SELECT series, n_hours, round(m, 6) AS mean_value, max_value, min_value, first_hour, last_hour,
         {band_case('m')} AS mean_category, {band_case('max_value')} AS peak_category, dominant FROM k JOIN d USING (series)""")),
-    Query("linear_shap", linear_shap, sql("positions", """,
-        s AS (SELECT * FROM positions WHERE idx > size - 200)
+    Query("linear_shap", linear_shap, sql("features", """,
+        s AS (SELECT * FROM features)
         """ + " UNION ALL ".join(
         f"SELECT series, '{f}' AS feature, round(avg(abs(({f} - m) * ({c / s}))), 6) AS mean_abs_shap FROM "
         f"(SELECT series, {f}, avg({f}) OVER (PARTITION BY series) AS m FROM s) GROUP BY 1"
         for f, c, s in zip(SCORER.contract.features, SCORER.coefs, SCORER.stds)))),
-    Query("permutation_importance", permutation_importance),
+    Query("permutation_importance", permutation_importance, sql("features", f""",
+        o AS (SELECT *, md5(series || '|' || CAST(datetime AS VARCHAR)) AS spot FROM features),
+        s AS (SELECT *, {', '.join(f"coalesce(lead({f}) OVER w, first_value({f}) OVER w) AS other_{i}"
+                                   for i, f in enumerate(SCORER.contract.features))}
+              FROM o WINDOW w AS (PARTITION BY series ORDER BY spot, datetime)),
+        e AS (SELECT {_RMSE.format(_SCORE)} AS base, {', '.join(
+            f"{_RMSE.format(_swapped(i))} AS rmse_{i}" for i in range(len(SCORER.contract.features)))} FROM s)
+        """ + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(rmse_{i} - base, 6) + 0.0 AS importance, "
+                                 f"{family_case(repr(f))} AS family FROM e" for i, f in enumerate(SCORER.contract.features)))),
 ]

@@ -27,7 +27,7 @@ def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     base = shared_dir(spark, "stream-hourly")
     means = streams.hourly_means(_events(spark, sf), SERIES)
     streams.stream_upsert(means, f"{base}/table", f"{base}/checkpoint", KEYS).awaitTermination()
-    return streams.read_upserted(spark, f"{base}/table")
+    return streams.read_upserted(spark, f"{base}/table").withColumn("pm25", F.round("pm25", 6))
 
 
 def _drop(df: DataFrame, folder: str) -> None:
@@ -99,7 +99,9 @@ _FEATS = f"series, datetime, pm25, lag(pm25, 1) OVER w AS pm25_lag_1, lag(pm25,
 _W = "WINDOW w AS (PARTITION BY series ORDER BY datetime)"
 
 QUERIES = [
-    Query("stream_hourly", stream_hourly, sql("hourly", "SELECT * FROM hourly")),
+    Query("stream_hourly", stream_hourly, """
+        SELECT event_type AS series, date_trunc('hour', ts) AS datetime, round(avg(value), 6) AS pm25, max(value) AS pm10,
+        min(value) AS co, count(*) AS n FROM events GROUP BY 1, 2"""),
     Query("stream_dedupe", stream_dedupe, sql("hourly", "SELECT * FROM hourly")),
     Query("stream_online_features", stream_online_features, sql("hourly", f"SELECT {_FEATS}, false AS late FROM hourly {_W}")),
     Query("stream_feature_upsert", stream_feature_upsert, sql("hourly", f"SELECT {_FEATS} FROM hourly {_W}")),
