@@ -37,12 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import text_key
+from gustline.llm.common import BROADCAST_ROWS, text_key
 from gustline.llm.graph import components
 from gustline.session import materialise
 
-SIGNATURES = ("doc_id long, text_key long, n int, d1 long, d2 long, s1 long, s2 long, s3 long, s4 long, "
-              "signatures array<long>")
+SKETCHES = "doc_id long, text_key long, n int, d1 long, d2 long, s1 long, s2 long, s3 long, s4 long"
 REMEMBERED = 300_000    # word hashes a task keeps; it starts anew beyond
 C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9,
                             0x94D049BB133111EB)]
@@ -194,28 +193,42 @@ def _bytes(text: pa.Scalar) -> bytes:
     return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def _signature_rows(plan: Plan):
+def _sketch_rows(plan: Plan):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(plan.shingle)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                sizes, digests, parities, keys = [], [], [], []
+                sizes, digests, parities = [], [], []
                 for text in some.column("text"):
                     x = shingles(_bytes(text))
                     sizes.append(len(x))
                     digests.append(xxhash.xxh3_128_digest(x.tobytes()))
                     parities.append(_parities(x))
-                    keys.append(signatures(x, plan))
                 digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 parity = np.stack(parities)
-                offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
                 yield pa.record_batch(
                     [some.column("doc_id"), some.column("text_key"), pa.array(sizes, pa.int32()),
                      *[pa.array(np.ascontiguousarray(digest[:, k])) for k in range(2)],
-                     *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)], listed],
-                    names=["doc_id", "text_key", "n", "d1", "d2", "s1", "s2", "s3", "s4", "signatures"])
+                     *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)]],
+                    names=["doc_id", "text_key", "n", "d1", "d2", "s1", "s2", "s3", "s4"])
+
+    return rows
+
+
+def _lists_of(lists: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+
+
+def _key_rows(plan: Plan):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(plan.shingle)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                keys = [signatures(shingles(_bytes(text)), plan) for text in some.column("text")]
+                yield pa.record_batch([some.column("doc_id"), _lists_of(keys)], names=["doc_id", "signatures"])
 
     return rows
 
@@ -227,10 +240,7 @@ def _set_rows(plan: Plan):
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 sets = [shingles(_bytes(text)).view(np.int64) for text in some.column("text")]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                yield pa.record_batch(
-                    [some.column("v"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))],
-                    names=["v", "x"])
+                yield pa.record_batch([some.column("v"), _lists_of(sets)], names=["v", "x"])
 
     return rows
 
@@ -238,7 +248,9 @@ def _set_rows(plan: Plan):
 def _linked(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (u, v) of sets that link, by their whole sets."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct()
-    wanted = wanted.join(firsts.select("v", "first_key"), "v").hint("shuffle_hash")
+    wanted = materialise(wanted.join(firsts.select("v", "first_key"), "v"), "wanted")
+    rows = wanted.count()
+    wanted = F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     texts = texts.join(wanted, (F.col("doc_id") == F.col("v")) & (F.col("text_key") == F.col("first_key")))
     sets = materialise(texts.select("v", "text").mapInArrow(_set_rows(plan), "v long, x array<long>"), "sets")
@@ -259,8 +271,7 @@ def linked_documents(docs: DataFrame, shingle: int, num: int, den: int) -> DataF
     """doc_id, text_key, n_shingles, component_id for every row of ``docs``."""
     plan = Plan(num, den, shingle)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
-    rows = materialise(keyed.mapInArrow(_signature_rows(plan), SIGNATURES), "signatures")
-    sets = rows.drop("signatures")
+    sets = materialise(keyed.mapInArrow(_sketch_rows(plan), SKETCHES), "sketches")
     # equal sets are one class, named by its smallest doc_id; rows of one doc_id are tied together below
     classes = materialise(
         sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(
@@ -269,8 +280,10 @@ def linked_documents(docs: DataFrame, shingle: int, num: int, den: int) -> DataF
         .select("d1", "d2", F.col("first.doc_id").alias("v"), F.col("first.text_key").alias("first_key"),
                 "n", "s1", "s2", "s3", "s4"), "classes")
 
-    keys = rows.where("n > 0 and doc_id is not null").select(F.explode("signatures").alias("key"), "doc_id", "d1", "d2")
-    slim = keys.select("key", "doc_id")
+    # made twice, once to count and once to keep what is met again: storing all keys would take more than the texts
+    slim = (keyed.where("doc_id is not null").select("doc_id", "text")
+            .mapInArrow(_key_rows(plan), "doc_id long, signatures array<long>")
+            .select(F.explode("signatures").alias("key"), "doc_id"))
     several = slim.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     met = materialise(slim.join(several, "key", "left_semi"), "met")
     named = sets.join(classes.select("d1", "d2", "v"), ["d1", "d2"]).select("doc_id", "v").distinct()
