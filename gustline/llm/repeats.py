@@ -11,8 +11,9 @@ suffixes, which would hold eight bytes or more for every byte of text:
    lies in all its windows is a key, and windows whose anchor's key is unique cannot repeat. Only
    one row per anchor (one in about 128 bytes) is shuffled.
 2. Anchors whose windows span equal bytes form one run class; in a class of two or more, every window repeats.
-3. Anchors that share the key but not the whole span are taken apart into their windows, once per class,
-   and grouped by the digest of the window. What no other place shares stays.
+3. Of classes that share the key but not the whole span, one span each is sent to the task of its key, which
+   takes it apart into windows and compares their digests. Keys with more than ``GROUP`` classes send the
+   digests of the windows instead of the spans, so that they spread over all tasks. What no other place shares stays.
 
 ``keep_first`` leaves the first place of each string (smaller ``doc_id``, then smaller offset), which is what the
 longest previous factor alone marks; without it, the next factor counts as well and all places go.
@@ -33,14 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import text_key
 from gustline.session import materialise
 
 LENGTH = 400
-REACH = 256
+REACH = 320
 GRAM = 8
-ANCHORS = "doc_id long, text_key long, lo int, hi int, key long, f1 long, f2 long"
-WINDOWS = "doc_id long, text_key long, place int, alone boolean, w1 long, w2 long"
+GROUP = 1000        # classes of a key that one task compares
+INLINE_SPANS = 400_000      # spans, or documents with cuts, up to which they are sent to the texts, not the texts to them
+ANCHORS = "doc_id long, text_key int, lo int, hi int, key long, f1 long, f2 long"
+SPANS = "doc_id long, text_key int, lo int, hi int, key long, alone boolean, bytes binary"
+WINDOWS = "doc_id long, text_key int, place int, alone boolean, w1 long, w2 long"
+STARTS = "doc_id long, text_key int, lo int, hi int"
 RESULT = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -102,24 +106,85 @@ def _anchor_rows(length: int, reach: int):
     return rows
 
 
-def _window_rows(length: int):
+def _span_rows(length: int):
+    """The bytes of each wanted span, out of its text."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 data = batch.column("text")[k].as_buffer().to_pybytes()
-                places, alone = [], []
-                for span in batch.column("spans")[k].as_py():
-                    places += range(span["lo"], span["hi"] + 1)
-                    alone += [span["alone"]] * (span["hi"] + 1 - span["lo"])
-                for at in range(0, len(places), 100_000):
-                    some = places[at:at + 100_000]
-                    digests = _digests([data[p:p + length] for p in some])
-                    same = pa.array(np.zeros(len(some), np.int32))
-                    yield pa.record_batch(
-                        [batch.column("doc_id").slice(k, 1).take(same), batch.column("text_key").slice(k, 1).take(same),
-                         pa.array(some, pa.int32()), pa.array(alone[at:at + 100_000]),
-                         pa.array(digests[:, 0]), pa.array(digests[:, 1])],
-                        names=["doc_id", "text_key", "place", "alone", "w1", "w2"])
+                spans = batch.column("spans")[k].values
+                lo, hi = (spans.field(c).to_pylist() for c in ("lo", "hi"))
+                same = pa.array(np.zeros(len(spans), np.int32))
+                yield pa.record_batch(
+                    [batch.column("doc_id").slice(k, 1).take(same), batch.column("text_key").slice(k, 1).take(same),
+                     spans.field("lo"), spans.field("hi"), spans.field("key"), spans.field("alone"),
+                     pa.array([data[i:j + length] for i, j in zip(lo, hi, strict=True)], pa.binary())],
+                    names=["doc_id", "text_key", "lo", "hi", "key", "alone", "bytes"])
+
+    return rows
+
+
+def _windows_of(data: bytes, length: int) -> np.ndarray:
+    return _digests([data[p:p + length] for p in range(len(data) - length + 1)])
+
+
+def _window_rows(length: int):
+    """A row for each window of each span."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                digests = [_windows_of(data, length) for data in some.column("bytes").to_pylist()]
+                counts = [len(d) for d in digests]
+                which, all_digests = pa.array(np.repeat(np.arange(len(counts)), counts)), np.concatenate(digests)
+                places = np.repeat(some.column("lo").to_numpy(), counts) + np.concatenate([np.arange(c) for c in counts])
+                yield pa.record_batch(
+                    [some.column("doc_id").take(which), some.column("text_key").take(which),
+                     pa.array(places.astype(np.int32)), some.column("alone").take(which),
+                     pa.array(all_digests[:, 0]), pa.array(all_digests[:, 1])],
+                    names=["doc_id", "text_key", "place", "alone", "w1", "w2"])
+
+    return rows
+
+
+def _group_rows(length: int, keep_first: bool):
+    """Repeated windows among the spans of each key, as ranges of starts; spans come in the order of keys and places."""
+    def found(group: list[tuple]) -> list[tuple]:
+        digests = [_windows_of(span[-1], length) for span in group]
+        whole = np.ascontiguousarray(np.concatenate(digests)).view("V16").ravel()
+        _, first, at, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        again = count[at] > 1
+        if keep_first:
+            again &= first[at] != np.arange(len(whole))
+        out, begin = [], 0
+        for (doc, key, lo, alone, _), d in zip(group, digests, strict=True):
+            mine = np.concatenate(([False], again[begin:begin + len(d)] & alone, [False]))
+            begin += len(d)
+            edges = np.flatnonzero(mine[1:] != mine[:-1])
+            out += [(doc, key, lo + int(i), lo + int(j) - 1) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+        return out
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                               names=["doc_id", "text_key", "lo", "hi"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "text_key", "lo", "alone", "bytes")]
+            for k, *span in zip(*columns, strict=True):
+                if k != key and group:
+                    out += found(group)
+                    group = []
+                key = k
+                if not group or group[-1][:3] != tuple(span[:3]):       # equal rows are one document here
+                    group.append(tuple(span))
+            yield batch_of(out)
+        if group:
+            yield batch_of(found(group))
 
     return rows
 
@@ -154,22 +219,42 @@ def _cut_rows(length: int, with_text: bool):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"),
-                       F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text"))
 
 
-def _beside_text(docs: DataFrame, per_document: DataFrame, how: str) -> DataFrame:
-    """Texts with what is known of each document; the longer side is streamed past the shorter."""
-    texts, known = _keyed(docs).alias("t"), per_document.alias("k").hint("shuffle_hash")
+def _beside_text(docs: DataFrame, per_document: DataFrame, how: str, weight: int) -> DataFrame:
+    """Texts with what is known of each document. A small table, of counted ``weight``, is sent to the texts; else
+    both sides are shuffled and the texts streamed past the table."""
+    texts = _keyed(docs).alias("t")
+    known = F.broadcast(per_document) if weight <= INLINE_SPANS else per_document.hint("shuffle_hash")
+    known = known.alias("k")
     joined = texts.join(known, F.col("t.doc_id").eqNullSafe(F.col("k.doc_id"))
                         & (F.col("t.text_key") == F.col("k.text_key")), how)
     return joined.select("t.doc_id", "t.text_key", "t.text",
                          *[F.col(f"k.{c}") for c in per_document.columns if c not in ("doc_id", "text_key")])
 
 
+def _merged(starts: DataFrame) -> DataFrame:
+    """doc_id, text_key, starts: ranges of each document in order, those that touch made one."""
+    listed = starts.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
+
+    def add(done, r):
+        last = F.element_at(done, -1)
+        longer = F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], r["hi"]).alias("hi")))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["hi"] + 1 >= r["lo"]),
+                      F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(r)))
+
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    return listed.select("doc_id", "text_key", F.aggregate("r", none, add).alias("starts"))
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
-    """doc_id, text_key, starts: for each document with repeats, ranges (lo, hi) of starts of repeated windows."""
-    reach = min(REACH, length // 2)
+    """doc_id, text_key, starts: for each document with repeats, ranges (lo, hi) of starts of repeated windows.
+
+    The ranges of a document are no more than its anchors and windows.
+    """
+    reach = max(1, min(REACH, length - GRAM))
     long_enough = _keyed(docs).where(F.octet_length("text") >= length)
     anchors = materialise(long_enough.mapInArrow(_anchor_rows(length, reach), ANCHORS), "anchors")
     shared = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -181,26 +266,41 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     mixed = classes.groupBy("key").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1")
     if not keep_first:
         mixed = mixed.where("fewest = 1")
-    apart = classes.join(mixed.select("key"), "key", "left_semi").select(
-        "first.doc_id", "first.text_key",
-        F.struct("first.lo", "first.hi", ((F.col("copies") == 1) | F.lit(keep_first)).alias("alone")).alias("span"))
-    apart = apart.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
-    windows = _beside_text(docs, apart, "inner").mapInArrow(_window_rows(length), WINDOWS)
-    windows = materialise(windows.distinct(), "windows") if keep_first else materialise(windows, "windows")
-    spot = F.struct("doc_id", "text_key", "place")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(spot).alias("earliest")).where("n > 1")
-    again = windows.where("alone").join(twice, ["w1", "w2"])
-    if keep_first:
-        again = again.where(~spot.eqNullSafe(F.col("earliest")))
-    again = again.select("doc_id", "text_key", F.col("place").alias("lo"), F.col("place").alias("hi"))
+    mixed = materialise(mixed.select("key", (F.col("n") > GROUP).alias("large")), "mixed-keys")
+    apart = materialise(classes.join(mixed, "key").select(
+        "first.doc_id", "first.text_key", "first.lo", "first.hi", "key", "large",
+        ((F.col("copies") == 1) | F.lit(keep_first)).alias("alone")), "spans")
+    starts = []
+    for large in (False, True):
+        some = apart.where(F.col("large") == large)
+        weight = some.count()
+        if weight == 0:
+            continue
+        listed = some.groupBy("doc_id", "text_key").agg(
+            F.collect_list(F.struct("lo", "hi", "key", "alone")).alias("spans"))
+        spans = _beside_text(docs, listed, "inner", weight)
+        spans = spans.mapInArrow(_span_rows(length), SPANS)
+        if not large:
+            spans = spans.repartition("key").sortWithinPartitions("key", "doc_id", "text_key", "lo")
+            starts.append(spans.mapInArrow(_group_rows(length, keep_first), STARTS))
+            continue
+        windows = materialise(spans.mapInArrow(_window_rows(length), WINDOWS).distinct(), "windows")
+        spot = F.struct("doc_id", "text_key", "place")
+        kept = [F.min(spot).alias("earliest")] if keep_first else []
+        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), *kept).where("n > 1")
+        again = windows.where("alone").join(twice, ["w1", "w2"])
+        if keep_first:
+            again = again.where(~spot.eqNullSafe(F.col("earliest")))
+        starts.append(again.select("doc_id", "text_key", F.col("place").alias("lo"), F.col("place").alias("hi")))
 
     several = classes.where("copies > 1").select("f1", "f2", "first")
     whole = anchors.join(several, ["f1", "f2"])
     if keep_first:
         whole = whole.where(~place.eqNullSafe(F.col("first")))
-    whole = whole.select("doc_id", "text_key", "lo", "hi")
-    return whole.unionByName(again).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    found = whole.select("doc_id", "text_key", "lo", "hi")
+    for some in starts:
+        found = found.unionByName(some)
+    return materialise(_merged(found), "starts")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, with_text: bool = True) -> DataFrame:
@@ -209,7 +309,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     A cut inside a character leaves bytes that are no text; ``text`` drops those, the digest keeps them.
     """
     starts = repeated_starts(docs, length, keep_first)
-    return _beside_text(docs, starts, "left").select("doc_id", "text", "starts").mapInArrow(
+    return _beside_text(docs, starts, "left", starts.count()).select("doc_id", "text", "starts").mapInArrow(
         _cut_rows(length, with_text), RESULT)
 
 
