@@ -170,8 +170,10 @@ def test_repeated_strings(spark, small_docs, plain_rows):
     assert in_order(repeats.report(docs).collect()) == in_order(spans_by_hand(plain_rows(docs), 400))
 
 
+@pytest.mark.parametrize("group", [0, 1000])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_repeated_short_strings(spark, keep_first):
+def test_repeated_short_strings(spark, monkeypatch, keep_first, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     rng = random.Random(5)
     base = "".join(rng.choice("abcé") for _ in range(300))
     texts = [base, base, base[:120] + "x" + base[120:], base[50:200], "a" * 90, "ab" * 40, None, "", base[100:140],
