@@ -16,6 +16,7 @@ empty result; strings that look like special tokens are ordinary text; other col
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,11 +32,24 @@ from gustline.session import materialise, shared_dir
 
 LENGTH = 1024
 BATCH_SEQUENCES = 256
-#: Pieces whose ids a task remembers; it starts anew beyond, so this bounds memory only.
-REMEMBERED = 400_000
+#: Parts whose ids a worker remembers, twice; bounds memory only.
+REMEMBERED = 450_000
 INDEX = "part int, doc_id long, position long, n_tokens long"
 
 
+#: Letters, then marks, then perhaps a line end and letters and marks again. No apostrophes: contractions are pieces.
+SENTENCE_PART = re.compile(r"([^\W\d_]+)([.,;:!?]*)(\n?)([^\W\d_]*)([.,;:!?]*)")
+_ENCODERS: dict[tuple[int, str], Encoder] = {}
+
+
+def encoder_of(tokenizer_json: str, dtype: str) -> Encoder:
+    """One encoder per worker process, so tasks share what it remembers."""
+    key = (hash(tokenizer_json), dtype)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(tokenizer_json, dtype)
+    return _ENCODERS[key]
+
+
 class Encoder:
     """Ids of whole texts as bytes, remembering the ids of parts between single spaces.
 
@@ -50,21 +64,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}       # parts behind a space
+        self.before: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}       # pieces without a space
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters, each behind a space and so a piece of its own, from few long texts."""
+        for at in range(0, len(words), 1000):
+            some = words[at:at + 1000]
+            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            ids, word = np.asarray(found.ids, self.dtype).tobytes(), np.asarray(found.word_ids, np.int32)
+            size = np.dtype(self.dtype).itemsize
+            cuts = [0, *((np.flatnonzero(np.diff(word)) + 1) * size).tolist(), len(ids)]
+            if len(cuts) != len(some) + 1:      # letters here that are none to the tokenizer
+                yield from self._encode([" " + w for w in some])
+                continue
+            yield from [ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of new parts. Letters, marks behind them and a line end between words are pieces of
+        their own, so most parts are put together from pieces that other parts share."""
+        split = {p: m.groups() for p in new if (m := SENTENCE_PART.fullmatch(p))}
+        words = list({g[0] for g in split.values()}.difference(self.known))
+        self.known.update(zip(words, self._encode_words(words), strict=True))
+        rough = [p for p in new if p not in split]
+        self.known.update(zip(rough, self._encode([" " + p for p in rough]), strict=True))
+        others = [o for o in {o for g in split.values() for o in g[1:] if o} if o not in self.plain]
+        self.plain.update(zip(others, self._encode(others), strict=True))
+        for p, (word, *rest) in split.items():
+            self.known[p] = self.known[word] + b"".join([self.plain[o] for o in rest if o])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        parts = set().union(*split)
-        odd = {p for p in parts if not p or p[0].isspace() or p[-1].isspace()}
+        if len(self.known) > REMEMBERED:        # what is met again comes back from the generation before
+            self.before, self.known, self.plain = self.known, {}, {}
+        new = set().union(*split).difference(self.known)
+        again = new.intersection(self.before)
+        self.known.update((p, self.before[p]) for p in again)
+        new -= again
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
         whole = {i for i, ps in enumerate(split) if odd and not odd.isdisjoint(ps)}
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [p for p in parts - odd if p not in self.known]
-        self.known.update(zip(new, self._encode([" " + p for p in new]), strict=True))
+        self._learn(new - odd)
         # the first part has no space before it, and no part stands for an irregular text
         heads = iter(self._encode([texts[i] if i in whole else ps[0] for i, ps in enumerate(split)]))
         get = self.known.__getitem__
@@ -187,7 +231,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, len
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 if writer is None:
-                    encode = Encoder(tokenizer_json, dtype)
+                    encode = encoder_of(tokenizer_json, dtype)
                     writer = SequenceWriter(folder, part, str(TaskContext.get().taskAttemptId()), dtype, length)
                 places, sizes = [], []
                 for ids in encode(some.column("text").to_pylist()):
