@@ -17,6 +17,7 @@ from gustline.operators.blocks import IDX, SIZE
 
 TREE_FEATURES = 10
 PATIENCE = 50
+PARTITION_ROWS = 20_000
 # Parameters of the three tree models.
 FOREST_PARAMS = {"numTrees": 400, "maxDepth": 4, "minInstancesPerNode": 20,
                  "featureSubsetStrategy": "0.4", "subsamplingRate": 0.7, "seed": 42}
@@ -45,6 +46,11 @@ def best_iteration(losses: Sequence[float], patience: int = PATIENCE) -> int:
     return at
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """As many partitions as the rows fill: every tree level is a round of tasks over them."""
+    return df.repartition(max(1, -(-df.count() // PARTITION_ROWS)))
+
+
 def fit_boosted(train: DataFrame, val: DataFrame, y: str, cols: Sequence[str], patience: int = PATIENCE,
                 **params) -> tuple[PipelineModel, int, int]:
     """Boosted trees with early stopping on ``val``: the model, its number of trees, and how many were looked at.
@@ -59,7 +65,7 @@ def fit_boosted(train: DataFrame, val: DataFrame, y: str, cols: Sequence[str], p
     assembler = _assembler(cols)
     boost = GBTRegressor(labelCol=y, predictionCol="predicted", featuresCol="features", **settings)
     # the boosting loop passes over the training rows once per tree level
-    rows, held = (assembler.transform(d.select(y, *cols)).persist() for d in (train, val))
+    rows, held = (assembler.transform(_packed(d.select(y, *cols))).persist() for d in (train, val))
     try:
         while True:
             model = boost.copy({boost.maxIter: trees}).fit(rows)
