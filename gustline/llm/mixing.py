@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gustline.llm.common import SPACE, pieces
+from gustline.llm.common import SPACE, pieces, small_or_shuffled
 from gustline.session import materialise
 
 GRAIN = 4096        # buckets that the whole corpus is cut into, about
@@ -123,13 +123,14 @@ def mixed_documents(docs: DataFrame, tree: dict[str, Column], weights: Sequence[
     leaves = leaves.withColumn("left", F.when(F.col("epochs") >= max_epochs, F.lit(0.0)).otherwise(
         F.col("budget") - F.col("epochs") * F.col("tokens")))
     leaves = materialise(leaves.withColumn("leaf", F.monotonically_increasing_id()), "leaves")
+    n_leaves = leaves.count()
 
     def with_leaf(df: DataFrame) -> DataFrame:
         own = leaves.select(*[F.col(c).alias(f"l_{c}") for c in names], "leaf", "epochs", "left", "cuts")
         match = F.lit(True)
         for c in names:
             match = match & F.col(c).eqNullSafe(F.col(f"l_{c}"))
-        return df.join(own, match).drop(*[f"l_{c}" for c in names])
+        return df.join(small_or_shuffled(own, n_leaves), match).drop(*[f"l_{c}" for c in names])
 
     partial = with_leaf(slim).where("left > 0").select(
         "leaf", "left", "cuts", "m_tokens", order_hash(seed, F.col("epochs"), F.col("m_id")).alias("at"))
@@ -140,7 +141,7 @@ def mixed_documents(docs: DataFrame, tree: dict[str, Column], weights: Sequence[
     last = materialise(sums.where(F.col("before") + F.col("tokens") > F.col("left"))
                        .groupBy("leaf").agg(F.min_by(F.struct("bucket", "before"), "bucket").alias("b"))
                        .select("leaf", "b.bucket", "b.before"), "last-buckets")
-    inside = partial.join(last, ["leaf", "bucket"])
+    inside = partial.join(small_or_shuffled(last, n_leaves), ["leaf", "bucket"])
     order = Window.partitionBy("leaf").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("used", F.col("before") + F.sum("m_tokens").over(order))
     ends = inside.where(F.col("used") > F.col("left")).groupBy("leaf").agg(F.min("at").alias("end"))
@@ -151,7 +152,7 @@ def mixed_documents(docs: DataFrame, tree: dict[str, Column], weights: Sequence[
     match = F.lit(True)
     for c in names:
         match = match & F.col(c).eqNullSafe(F.col(f"l_{c}"))
-    out = placed.withColumn("m_id", F.xxhash64(*who)).join(own, match)
+    out = placed.withColumn("m_id", F.xxhash64(*who)).join(small_or_shuffled(own, n_leaves), match)
     partly = order_hash(seed, F.col("epochs"), F.col("m_id")) < F.col("end")
     copies = F.col("epochs") + F.when(partly, 1).otherwise(0)
     return out.where(copies > 0).select(
