@@ -141,7 +141,9 @@ def ordered_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
 def cascade(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``q_rejected_by``: the first rule, in the given order, that rejects the row; null if none does.
 
-    Measures that ``df`` already has are used; others are computed behind the rules before them.
+    Measures that ``df`` already has are used; others are computed behind the rules before them. The verdict passes
+    through a generator: a filter on it is then not rewritten into the measures it is made of, which would
+    compute them once for each time they are named.
     """
     df = df.withColumn("q_rejected_by", F.lit(None).cast("string"))
     for rule in rules:
@@ -151,17 +153,14 @@ def cascade(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 df = MEASURES[name](df, alive)
         df = df.withColumn("q_rejected_by", F.when(alive & F.expr(rule.rejects), F.lit(rule.name))
                            .otherwise(F.col("q_rejected_by")))
-    return df
+    verdict = F.explode(F.array("q_rejected_by")).alias("q_rejected_by")
+    return df.select(*[c for c in df.columns if c != "q_rejected_by"], verdict)
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``rejected_by``, through the ordered cascade.
-
-    The verdict passes through a generator: a filter on it is then not rewritten into the measures it is
-    made of, which would compute them once for each time they are named.
-    """
+    """All rows and columns of ``docs`` with ``rejected_by``, through the ordered cascade."""
     out = cascade(docs.withColumn("q_text", F.col(text)), ordered_rules(docs, rules, text))
-    return out.select(*docs.columns, F.explode(F.array("q_rejected_by")).alias("rejected_by"))
+    return out.select(*docs.columns, F.col("q_rejected_by").alias("rejected_by"))
 
 
 def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
