@@ -302,9 +302,11 @@ def linked_documents(docs: DataFrame, shingle: int, num: int, den: int) -> DataF
     facts = classes.select("v", "n", "s1", "s2", "s3", "s4")
     central = materialise(heavy.groupBy("v").agg(F.sum("c").alias("weight")), "central")
     ranked = heavy.join(central, "v").groupBy("key").agg(
-        F.max_by("v", F.struct("weight", -F.col("v"))).alias("u"))
+        F.max_by("v", F.struct("weight", -F.col("v"))).alias("u"), F.max("weight").alias("weight"))
     ranked = materialise(ranked, "centres")
-    stars = heavy.join(ranked, "key").where("u <> v").select("u", "v").distinct()
+    # one comparison a member, with the most central of its lists' centres; the others are left to the second pass
+    stars = heavy.join(ranked, "key").where("u <> v").groupBy("v").agg(
+        F.max_by("u", F.struct("weight", -F.col("u"))).alias("u"))
     stars = stars.join(facts.withColumnRenamed("v", "u").select(F.col("u"), F.struct("n", "s1", "s2", "s3", "s4").alias("a")), "u")
     stars = stars.join(facts.select("v", F.struct("n", "s1", "s2", "s3", "s4").alias("b")), "v").where(_filter(plan))
     firsts = classes.select("v", "first_key").groupBy("v").agg(F.min("first_key").alias("first_key"))
