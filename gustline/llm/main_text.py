@@ -4,9 +4,12 @@ A page is cut into blocks, the pieces of text between block-level tags, each wit
 root. Per path the length of the text outside links and the punctuation are summed over all its blocks and
 divided by their number: article paths have long, punctuated blocks, menus and lists of links short bare ones.
 The ratios, in page order, are smoothed over neighbouring blocks and fused with the ratio of the
-path; paths above a threshold give the seed blocks. The deepest element that holds nearly all of the seeds is the
-article, and everything in it is taken in page order, but for what stands in parts that are furniture by tag,
-role or class (navigation, footers, forms, adverts, notices, reader comments and the like).
+path; paths above a threshold give the seed blocks. The lowest common ancestor of all seeds is the article, or the
+<article> or <main> around it, and everything in it is taken in page order, but for what stands in parts that are
+furniture by tag, role or class (navigation, footers, forms, adverts, notices, reader comments and the like). A seed
+counts where the ratio of its own path, not of its neighbours alone, is above the threshold, or where it is a paragraph,
+heading or list item that is not mostly links. Where the ancestor is the whole body, parts of it that are mostly
+links are left out before the first and behind the last seed.
 
 Defined results: a null, empty or text-free page gives an empty text; markup that is never closed ends where its
 parent ends; repeated rows are handled one by one; a null url stays null; other columns are not looked at;
@@ -53,10 +56,12 @@ HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
 SPACES = re.compile(r"\s+")
 SHARE = 0.3     # of the mean ratio of the page: blocks above it are seeds
-HOLDS = 0.8     # of the seeds' text: what the article must hold
+HOLDS = 0.8     # of the seeds' text: in the part of a page without wrapper of which nothing is left out
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote figcaption".split())
+WHOLE = frozenset(["", "html", "body"])
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     path: str
@@ -164,6 +169,45 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in found if b.text()]
 
 
+def _line(element: Element) -> list[Element]:
+    """The element and those around it, innermost first."""
+    line = []
+    while element is not None:
+        line.append(element)
+        element = element.parent
+    return line
+
+
+def _common(elements: list[Element]) -> Element:
+    """Lowest common ancestor."""
+    common = elements[0]
+    for element in elements[1:]:
+        while common is not element:
+            if common.depth >= element.depth:
+                common = common.parent
+            else:
+                element = element.parent
+    return common
+
+
+def _links_around(blocks: list[Block], texts: list[str], seeds: list[int], sure: list[int], whole: Element) -> set[int]:
+    """Blocks of the parts of a page that are mostly links, before the first and behind the last of ``sure``."""
+    weight: dict[Element, int] = defaultdict(int)
+    for i in seeds:
+        for element in _line(blocks[i].element)[1:] or [whole]:
+            weight[element] += len(texts[i])
+    core = max((e for e, w in weight.items() if w >= HOLDS * weight[_line(whole)[-1]]), key=lambda e: e.depth)
+    part, text, links = {}, defaultdict(int), defaultdict(int)
+    for i, b in enumerate(blocks):
+        line = _line(b.element)
+        if core in line or whole not in line:
+            continue
+        part[i] = line[max(0, line.index(whole) - 1)]
+        text[part[i]] += len(texts[i])
+        links[part[i]] += b.linked
+    return {i for i, e in part.items() if not sure[0] <= i <= sure[-1] and 2 * links[e] > text[e]}
+
+
 def main_text(page: str | None) -> str:
     """Content blocks of a page, joined by an empty line."""
     blocks = [b for b in blocks_of(page or "") if not b.element.furniture]
@@ -183,24 +227,18 @@ def main_text(page: str | None) -> str:
     seeds = [i for i in range(len(blocks)) if fused[i] >= limit and length[blocks[i].element.path]]
     if not seeds:
         return ""
-    weight: dict[int, int] = defaultdict(int)
-    elements: dict[int, Element] = {}
-    total = 0
-    for i in seeds:
-        total += len(texts[i])
-        here = blocks[i].element.parent or blocks[i].element
-        while here is not None:
-            weight[id(here)] += len(texts[i])
-            elements[id(here)] = here
-            here = here.parent
-    article = max((e for k, e in elements.items() if weight[k] >= HOLDS * total), key=lambda e: e.depth)
-
-    def inside(element: Element) -> bool:
-        while element is not None and element is not article:
-            element = element.parent
-        return element is not None
-
-    return "\n\n".join(t for b, t in zip(blocks, texts, strict=True) if inside(b.element))
+    linked = [2 * b.linked > len(t) for b, t in zip(blocks, texts, strict=True)]
+    sure = [i for i in seeds if ratio[i] >= limit or (blocks[i].element.tag in PROSE and not linked[i])]
+    sure = sorted({*(sure or seeds), *(i for i, b in enumerate(blocks) if b.element.tag == "h1" and not linked[i])})
+    article = _common([blocks[i].element for i in sure])
+    if article.parent is not None and all(b.element is article or article not in _line(b.element) for b in blocks):
+        article = article.parent
+    line = _line(article)
+    for tag in ("main", "article"):
+        article = next((e for e in reversed(line) if e.tag == tag), article)
+    left_out = _links_around(blocks, texts, seeds, sure, article) if article.tag in WHOLE else frozenset()
+    return "\n\n".join(t for i, (b, t) in enumerate(zip(blocks, texts, strict=True))
+                       if i not in left_out and article in _line(b.element))
 
 
 def extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Toxicity, token files, main text and the pipeline."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -129,6 +130,26 @@ def test_main_text(kind):
     assert main_text.main_text(PAGES[kind].format(*ARTICLE)) == "\n\n".join(["Title", *ARTICLE])
 
 
+LONG = " ".join([*ARTICLE] * 8)
+NESTED = {      # the text of all, with {0} long and {1} short
+    "lead": "<article><h1>Title</h1><p>{1}</p><div class=body><p>{0}</p><p>{0}</p></div></article>",
+    "lead in a wrapper": "<div id=page><h1>Title</h1><p>{1}</p><div class=body><p>{0}</p><p>{0}</p></div></div>",
+    "title alone": "<main><h1>Title</h1><div class=by>Me</div><div><div class=body><p>{0}</p><p>{0}</p></div></div></main>",
+    "sections": "<article><section><h2>One</h2><p>{0}</p><p>{0}</p></section><section><h2>Two</h2><p>{1}</p></section></article>",
+    "sections alone": "<div id=page><div class=a><p>{0}</p><p>{0}</p></div><div class=b><p>{1}</p></div></div>",
+    "no wrapper": "<div class=links><a href=x>Out</a> <a href=y>Out</a></div><section><p>{0}</p><p>{0}</p></section>"
+                  "<ul><li><a href=z>Two</a></ul><section><p>{1}</p></section><div class=links><a href=x>Out</a></div>",
+}
+
+
+@pytest.mark.parametrize("kind", NESTED)
+def test_main_text_holds_every_part(kind):
+    body = NESTED[kind].format(LONG, ARTICLE[1])
+    got = main_text.main_text(f"<body><nav><a>Home</a></nav><div class=menu>Other</div>{body}<footer>me</footer>")
+    want = [p for p in re.sub(r"<[^>]*>", "\n", body).split("\n") if p.strip() and p.strip() != "Out"]
+    assert got == "\n\n".join(want)
+
+
 def test_main_text_details():
     page = "<article><p>A &amp; B\n\t c&nbsp;d<br>e <b>f</b>g.</p><table><tr><td>1<td>2</table><ul><li>x<li>y</ul></article>"
     assert main_text.main_text(page) == "A & B c d e fg.\n\n1\n\n2\n\nx\n\ny"
