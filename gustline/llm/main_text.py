@@ -6,13 +6,15 @@ divided by their number: article paths have long, punctuated blocks, menus and l
 The ratios, in page order, are smoothed over neighbouring blocks and fused with the ratio of the
 path; paths above a threshold give the seed blocks. The lowest common ancestor of all seeds is the article, or the
 <article> or <main> around it, and everything in it is taken in page order, but for what stands in parts that are
-furniture by tag, role or class (navigation, footers, forms, adverts, notices, reader comments and the like). A seed
-counts where the ratio of its own path, not of its neighbours alone, is above the threshold, or where it is a paragraph,
-heading or list item that is not mostly links. Where the ancestor is the whole body, parts of it that are mostly
-links are left out before the first and behind the last seed.
-
-Defined results: a null, empty or text-free page gives an empty text; markup that is never closed ends where its
-parent ends; repeated rows are handled one by one; a null url stays null; other columns are not looked at;
+furniture by tag, role or class (navigation, footers, forms, adverts, notices, reader comments and the like). A class
+alone does not decide: a part named like furniture stays where it is or holds the article or main of the page, or most
+of its weight by path ratios. A seed counts where the ratio of its own path, not of its neighbours alone, is above the
+threshold, or where it is a paragraph, heading or list item that is not mostly links. Where the ancestor is the whole
+body, parts of it that are mostly links are left out before the first and behind the last seed.
+
+Defined results: a null, empty or text-free page gives an empty text; a page with nothing but parts named like furniture
+gives the text of those that may be the article; markup that is never closed ends where its parent ends; repeated rows
+are handled one by one; a null url stays null; other columns are not looked at;
 an empty table gives an empty result. Nothing is dropped for its length.
 """
 
@@ -52,11 +54,15 @@ CLASS = re.compile(
     r"commentlist|discussion|disqus|repl(?:y|ies)|responses?|respond|share|sharing|social|related|recommend\w*|"
     r"newsletter|subscri\w*|signup|login|search\w*|popup|modal|overlay|widget\w*|toolbar|pagination|pager|skip|"
     r"copyright|disclaimer)(?:$|[\s_-])", re.I)
+STATE = re.compile(r"(?<![\w-])(?:(?:has|no|with|without)[_-][\w-]+|comments?[_-](?:open|closed|enabled|disabled))(?![\w-])", re.I)
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|discussion|disqus|repl(?:y|ies)|responses?|respond)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
 SPACES = re.compile(r"\s+")
 SHARE = 0.3     # of the mean ratio of the page: blocks above it are seeds
 HOLDS = 0.8     # of the seeds' text: in the part of a page without wrapper of which nothing is left out
+RIVAL = 0.25    # of the weight of a part named like furniture: more than that outside is the article, and the part is not
+RIVAL_PLAIN = 0.02      # the same where the name says nothing else, and for reader comments, often far longer than the article
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote figcaption".split())
 WHOLE = frozenset(["", "html", "body"])
 
@@ -68,6 +74,7 @@ class Element:
     parent: Element | None
     furniture: bool
     depth: int
+    named: str = ""     # class and id that look like furniture
 
 
 @dataclass
@@ -80,24 +87,26 @@ class Block:
         return SPACES.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
-def _is_furniture(tag: str, attributes: str, parent: Element) -> bool:
+def _furniture(tag: str, attributes: str, parent: Element) -> tuple[bool, str]:
+    """Whether an element is furniture by tag, role or style, and its class and id if they say so."""
     if tag in FURNITURE or (tag == "header" and "/article" not in parent.path and "/main" not in parent.path):
-        return True
+        return True, ""
     if not attributes.strip():
-        return False
+        return False, ""
     names = []
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "role" and value.lower() in ROLES or name == "hidden":
-            return True
+            return True, ""
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, ""
         if name in ("class", "id"):
             names.append(value)
     if tag in ("html", "body", "main"):
-        return False
-    named = " ".join(names)
-    return bool(CLASS.search(named)) or bool(HEADER.search(named) and "/article" not in parent.path)
+        return False, ""
+    named = STATE.sub("", " ".join(names))
+    hit = CLASS.search(named) or (HEADER.search(named) and "/article" not in parent.path)
+    return False, named if hit else ""
 
 
 def _name(tag: str, attributes: str) -> str:
@@ -137,11 +146,12 @@ def blocks_of(page: str) -> list[Block]:
                 if spans and spans[-1].tag == tag and at is spans[-1]:
                     end()
                     at = spans.pop().parent
-            elif attributes and tag not in VOID and not attributes.rstrip().endswith("/") \
-                    and _is_furniture(tag, attributes, at):
-                end()
-                at = Element(tag, f"{at.path}/{_name(tag, attributes)}", at, True, at.depth + 1)
-                spans.append(at)
+            elif attributes and tag not in VOID and not attributes.rstrip().endswith("/"):
+                furniture, named = _furniture(tag, attributes, at)
+                if furniture or named:
+                    end()
+                    at = Element(tag, f"{at.path}/{_name(tag, attributes)}", at, at.furniture or furniture, at.depth + 1, named)
+                    spans.append(at)
             continue
         end()
         if closing:
@@ -163,8 +173,8 @@ def blocks_of(page: str) -> list[Block]:
             here = here.parent
         if outer is not None:
             at = outer.parent
-        at = Element(tag, f"{at.path}/{_name(tag, attributes)}", at,
-                     at.furniture or _is_furniture(tag, attributes, at), at.depth + 1)
+        furniture, named = _furniture(tag, attributes, at)
+        at = Element(tag, f"{at.path}/{_name(tag, attributes)}", at, at.furniture or furniture, at.depth + 1, named)
     end()
     return [b for b in found if b.text()]
 
@@ -190,6 +200,64 @@ def _common(elements: list[Element]) -> Element:
     return common
 
 
+def _ratios(blocks: list[Block], texts: list[str]) -> tuple[list[float], dict[str, int]]:
+    """Path ratio of every block, and the length outside links per path."""
+    length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
+    for b, text in zip(blocks, texts, strict=True):
+        path = b.element.path
+        length[path] += max(0, len(text) - b.linked)
+        marks[path] += len(PUNCTUATION.findall(text))
+        number[path] += 1
+    return [length[p] / number[p] * (1 + marks[p] / number[p]) for p in (b.element.path for b in blocks)], length
+
+
+def _plain(named: str) -> bool:
+    """Whether class and id say nothing but furniture, or comments or a header."""
+    return bool(REMARKS.search(named) or HEADER.search(named)) or all(map(CLASS.search, re.split(r"[\s_-]+", named.strip())))
+
+
+def _content(blocks: list[Block]) -> list[Block]:
+    """The blocks that are not in a part named like furniture, unless that part holds the article."""
+    lines = [_line(b.element) for b in blocks]
+    if not any(e.named for line in lines for e in line):
+        return blocks
+    ratio, _ = _ratios(blocks, [b.text() for b in blocks])
+    held: dict[Element, list[int]] = defaultdict(list)
+    for i, line in enumerate(lines):
+        for e in line:
+            if e.named:
+                held[e].append(i)
+    kept: set[Element] = set()
+    total = sum(ratio)
+
+    def free(line: list[Element]) -> bool:
+        return not any(e.named and e not in kept for e in line)
+
+    def tags(rows: list[int]) -> set[str]:
+        return {e.tag for i in rows for e in lines[i]}
+
+    for depth in sorted({e.depth for e in held}):
+        outside = [i for i, line in enumerate(lines) if free(line)]
+        articles = {e for i in outside for e in lines[i] if e.tag in ("article", "main")}
+        headed = bool(tags(outside) & {"article", "main", "h1"})
+        rest, found = sum(ratio[i] for i in outside), set()
+        for part, inside in held.items():
+            line = _line(part)
+            if part.depth != depth or not free(line[1:]) or articles.difference(line):
+                continue
+            weight, holds = sum(ratio[i] for i in inside), tags(inside)
+            most = 2 * weight > total
+            if not headed and (part.tag == "article" or (most and "h1" in holds) or (weight > rest and holds & {"article", "main"})):
+                found.add(part)
+            elif _plain(part.named):
+                if most and rest <= RIVAL_PLAIN * weight:
+                    found.add(part)
+            elif not outside or (most and rest <= RIVAL * weight):
+                found.add(part)
+        kept |= found
+    return [b for b, line in zip(blocks, lines, strict=True) if free(line)] or blocks
+
+
 def _links_around(blocks: list[Block], texts: list[str], seeds: list[int], sure: list[int], whole: Element) -> set[int]:
     """Blocks of the parts of a page that are mostly links, before the first and behind the last of ``sure``."""
     weight: dict[Element, int] = defaultdict(int)
@@ -210,17 +278,11 @@ def _links_around(blocks: list[Block], texts: list[str], seeds: list[int], sure:
 
 def main_text(page: str | None) -> str:
     """Content blocks of a page, joined by an empty line."""
-    blocks = [b for b in blocks_of(page or "") if not b.element.furniture]
+    blocks = _content([b for b in blocks_of(page or "") if not b.element.furniture])
     if not blocks:
         return ""
     texts = [b.text() for b in blocks]
-    length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b, text in zip(blocks, texts, strict=True):
-        path = b.element.path
-        length[path] += max(0, len(text) - b.linked)
-        marks[path] += len(PUNCTUATION.findall(text))
-        number[path] += 1
-    ratio = [length[p] / number[p] * (1 + marks[p] / number[p]) for p in (b.element.path for b in blocks)]
+    ratio, length = _ratios(blocks, texts)
     smooth = [sum(ratio[max(0, i - 1):i + 2]) / len(ratio[max(0, i - 1):i + 2]) for i in range(len(ratio))]
     fused = [(r + s) / 2 for r, s in zip(ratio, smooth, strict=True)]
     limit = SHARE * sum(fused) / len(fused)

@@ -150,6 +150,31 @@ def test_main_text_holds_every_part(kind):
     assert got == "\n\n".join(want)
 
 
+WRAPPERS = ["article class='post comments-open'", "div class='content has-sidebar'", "div id=content class='no-sidebar'",
+            "section class='social-policy'", "article class='post related-news'", "div class='share-prices'", "div id=notice-board"]
+
+
+@pytest.mark.parametrize("inner", ["", "<div class='sidebar'><p>More to read, now, here.</p></div><div class=comments><p>I like it, a lot. Me too!</p></div>"])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_main_text_of_wrappers_named_like_furniture(wrapper, inner):
+    tag, text = wrapper.split()[0], "<h1>Title</h1><p>{}</p><p>{}</p>".format(*ARTICLE)
+    for around in ("{}", "<div id=page class='with-widgets'>{}</div>"):
+        page = around.format(f"<div class=menu>Other</div><{wrapper}>{text}{inner}</{tag}><footer>me</footer>")
+        assert main_text.main_text(f"<body>{page}</body>") == "\n\n".join(["Title", *ARTICLE])
+
+
+def test_main_text_leaves_out_parts_named_like_furniture():
+    many = "".join(f"<article class=comment><p>{p} {i}</p></article>" for i in range(9) for p in ARTICLE)
+    for tag in ("article", "main", "div"):
+        text = "<{0}><h1>Title</h1><p>{1}</p><p>{2}</p></{0}>".format(tag, *ARTICLE)
+        for part in (f"<div class=comments>{many}</div>", f"<div class=related><p>{ARTICLE[0]}</p></div>", "<div class=ad>An advert.</div>"):
+            assert main_text.main_text(text + part) == main_text.main_text(part + text) == "\n\n".join(["Title", *ARTICLE])
+    advert = f"<div class=ad>{ARTICLE[0]}</div>"
+    assert main_text.main_text(f"{advert}<article><h1>Hi</h1><p>Short.</p></article>") == "Hi\n\nShort."
+    assert main_text.main_text(f"{advert}<div><h1>Hi</h1><p>Short one, but here.</p></div>") == "Hi\n\nShort one, but here."
+    assert main_text.main_text("<div class=social-policy>One, two, three.</div><div class=share-prices>Four.</div>") == "One, two, three.\n\nFour."
+
+
 def test_main_text_details():
     page = "<article><p>A &amp; B\n\t c&nbsp;d<br>e <b>f</b>g.</p><table><tr><td>1<td>2</table><ul><li>x<li>y</ul></article>"
     assert main_text.main_text(page) == "A & B c d e fg.\n\n1\n\n2\n\nx\n\ny"
