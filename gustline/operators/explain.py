@@ -13,6 +13,7 @@ from gustline.operators.splits import latest_rows
 from gustline.spec import LinearModel
 
 BUCKET_ROWS = 8192
+PREFIX_BITS = 20    # of the MD5 that a bucket may use
 
 
 def attribution_sample(df: DataFrame, features: Sequence[str], series_cols: Sequence[str],
@@ -44,19 +45,34 @@ def permutation_importance(df: DataFrame, predict: Callable[[DataFrame], DataFra
                            features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Rise of the RMSE when one feature is taken from another row, per feature.
 
-    The other row is the next one in a fixed pseudo-random order (by the MD5 of key and time) of the group or,
-    where there are more rows, of a hash bucket of about ``BUCKET_ROWS`` rows of it, so no task gets a whole long
-    series; all features are scored in one pass.
+    The other row is the next one of the series in a fixed pseudo-random order (by the MD5 of key and time; the
+    first one for the last), whatever the number of rows. A series is cut into ranges of the MD5 of about
+    ``BUCKET_ROWS`` rows, by its own size, so no task gets a whole long series; the last row of a range takes the
+    first one of the next range that has rows. All features are scored in one pass.
     """
     from pyspark.sql import Window
 
-    buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    spot = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "datetime")])
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(spot), F.lit(buckets)))
-    order = Window.partitionBy(*keys, "_bucket").orderBy(F.md5(spot.cast("binary")), "datetime")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = {f"_o_{c}": F.coalesce(F.lead(c).over(order), F.first(c).over(whole)) for c in features}
-    rows = df.withColumns(other).withColumn(
+    spot = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "datetime")]).cast("binary"))
+    series = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))    # nulls in it are equal to each other
+    marked = df.withColumns({"_series": series, "_spot": spot})
+    sizes = marked.groupBy("_series").agg(F.count(F.lit(1)).alias("_rows"))
+    buckets = F.least(F.ceil(F.col("_rows") / BUCKET_ROWS), F.lit(1 << PREFIX_BITS))
+    prefix = F.conv(F.substring("_spot", 1, PREFIX_BITS // 4), 16, 10).cast("bigint")
+    marked = (salted_lookup(marked, sizes, ["_series"])
+              .withColumn("_bucket", F.floor(prefix * buckets / F.lit(1 << PREFIX_BITS)).cast("bigint")))
+
+    row = F.struct(*[F.col(c).alias(f"_o_{c}") for c in features])
+    firsts = marked.groupBy("_series", "_bucket").agg(F.min_by(row, F.struct("_spot", "datetime", row)).alias("_first"))
+    along = Window.partitionBy("_series").orderBy("_bucket")    # one row per bucket
+    all_of = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("_series", "_bucket", F.coalesce(
+        F.lead("_first").over(along), F.first("_first").over(all_of)).alias("_after"))
+
+    inside = Window.partitionBy("_series", "_bucket").orderBy("_spot", "datetime", row)
+    df = (salted_lookup(marked, after, ["_series", "_bucket"])
+          .withColumn("_other", F.coalesce(F.lead(row).over(inside), F.col("_after")))
+          .select(*df.columns, *[F.col(f"_other._o_{c}") for c in features]))
+    rows = df.withColumn(
         "feature", F.explode(F.array(F.lit(""), *[F.lit(c) for c in features])))
     swapped = rows.withColumns({
         c: F.when(F.col("feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)) for c in features})

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from gustline.operators import inference, linear, metrics, registry, splits, trees
+from gustline.operators import explain, inference, linear, metrics, registry, splits, trees
 from gustline.operators.explain import linear_attribution
 from gustline.operators.windows import build_features
 from gustline.spec import Contract, FeatureSpec, LinearModel
@@ -290,3 +292,25 @@ def test_linear_attribution(table):
     for some, found in ((rows, got), (rows.tail(200), last)):
         for c, w in (("pm25_lag_1", 2), ("temperature", -1)):
             assert found[c] == pytest.approx(np.mean(np.abs(w * (some[c] - some[c].mean()))))
+
+
+@pytest.mark.parametrize("bucket_rows", [8192, 16])
+def test_permutation_order_is_that_of_the_whole_series(spark, monkeypatch, bucket_rows):
+    """A long series beside short ones and a single row, cut into many buckets or none."""
+    rng = np.random.default_rng(3)
+    pdf = pd.concat([pd.DataFrame({"series": s, "datetime": hours(n), "a": rng.normal(size=n), "b": rng.normal(size=n)})
+                     for s, n in (("x", 900), ("y", 40), (None, 7), ("z", 1))], ignore_index=True)
+    pdf["y"] = 2 * pdf.a - pdf.b + rng.normal(size=len(pdf))
+    name = pdf.series.where(pdf.series.notna(), None)
+    spot = [f"{s}|{t:%Y-%m-%d %H:%M:%S}" if s is not None else f"{t:%Y-%m-%d %H:%M:%S}" for s, t in zip(name, pdf.datetime)]
+    pdf["spot"] = [hashlib.md5(s.encode()).hexdigest() for s in spot]
+    order = pdf.assign(series=name.fillna("none")).sort_values(["series", "spot"])
+    want = {}
+    for c in ("a", "b"):
+        swapped = order.assign(**{c: order.groupby("series")[c].transform(lambda v: np.roll(v.to_numpy(), -1))})
+        rmse = [np.sqrt(np.mean((d.y - (2 * d.a - d.b)) ** 2)) for d in (swapped, order)]
+        want[c] = rmse[0] - rmse[1]
+    monkeypatch.setattr(explain, "BUCKET_ROWS", bucket_rows)
+    got = explain.permutation_importance(to_spark(spark, pdf.drop(columns="spot")), lambda d: d.withColumn("predicted", 2 * d["a"] - d["b"]),
+                                         "y", ["a", "b"], ["series"]).collect()
+    assert {r["feature"]: r["importance"] for r in got} == pytest.approx(want, abs=1e-9)
