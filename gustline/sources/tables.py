@@ -104,7 +104,7 @@ def restore(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
     return keep_last(df, keys, order_cols).orderBy(*sort_by)
 
 
-def _by_date(df: DataFrame, part: str, salts: int = 8) -> DataFrame:
+def by_date(df: DataFrame, part: str, salts: int = 8) -> DataFrame:
     """Few files per date, while a date with very many rows is split over several tasks."""
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
         return df.hint("rebalance", F.col(part))
@@ -126,7 +126,7 @@ def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], order_cols
         stored = spark.read.parquet(path)
         stored = stored.join(touched, stored[part].eqNullSafe(touched["_touched"]), "left_semi")
         fresh = materialise(upsert_latest(stored, fresh, keys, order_cols), "upsert")
-    (_by_date(fresh, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (by_date(fresh, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part).parquet(path))
 
 
@@ -137,7 +137,7 @@ def append_history(row: DataFrame, path: str) -> None:
 def save_snapshot(df: DataFrame, path: str, ts: str = "datetime") -> None:
     """Append-only snapshots, one folder per ingest date."""
     dated = df.withColumn("ingest_date", F.to_date(ts))
-    _by_date(dated, "ingest_date").write.mode("append").partitionBy("ingest_date").parquet(path)
+    by_date(dated, "ingest_date").write.mode("append").partitionBy("ingest_date").parquet(path)
 
 
 # -- exports and reports --------------------------------------------------------------------

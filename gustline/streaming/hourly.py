@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gustline.operators.blocks import null_safe_join, ordered, salted_lookup
 from gustline.operators.windows import window_columns
-from gustline.sources.tables import keep_last, path_exists, upsert_partitions
+from gustline.sources.tables import by_date, keep_last, path_exists, unseen, upsert_partitions
 from gustline.spec import FeatureSpec
 
 
@@ -30,14 +30,6 @@ def hourly_means(readings: DataFrame, series_cols: Sequence[str], ts: str = "ts"
             .select(*series_cols, F.col("window.start").cast("timestamp_ntz").alias("datetime"), "pm25", "pm10", "co", "n"))
 
 
-def first_per_hour(rows: DataFrame, series_cols: Sequence[str], ts: str = "datetime",
-                   watermark: str = "2 hours") -> DataFrame:
-    """Each (series, hour) once, however often it is delivered within the watermark."""
-    zoned = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    return (zoned.dropDuplicatesWithinWatermark([*series_cols, ts])
-            .withColumn(ts, F.col(ts).cast("timestamp_ntz")))
-
-
 def _start(stream: DataFrame, checkpoint: str, mode: str, batch: Callable[[DataFrame, int], None]
            ) -> StreamingQuery:
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -57,6 +49,30 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("_batch", "date")
 
 
+def stream_once(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str],
+                ts: str = "datetime", part: str = "date") -> StreamingQuery:
+    """Each key once in a table partitioned by date, however often and however late it is delivered.
+
+    The row stored first stays. There is no watermark: every batch is compared with the stored rows of
+    the dates it touches, so a batch that is repeated after a failure adds only what is not there yet.
+    """
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        new = keep_last(df, keys, [c for c in df.columns if c not in keys]).withColumn(part, F.to_date(ts)).persist()
+        try:
+            fresh = new
+            if path_exists(spark, path):
+                touched = new.select(F.col(part).alias("_touched")).distinct()
+                stored = spark.read.schema(new.schema).parquet(path)
+                stored = stored.join(touched, stored[part].eqNullSafe(touched["_touched"]), "left_semi")
+                fresh = unseen(new, stored, keys)
+            by_date(fresh, part).write.mode("append").partitionBy(part).parquet(path)
+        finally:
+            new.unpersist()
+
+    return _start(stream, checkpoint, "append", batch)
+
+
 def stream_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (stream.writeStream.outputMode("append").format("parquet")
             .option("checkpointLocation", checkpoint).option("path", path)

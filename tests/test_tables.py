@@ -245,3 +245,30 @@ def test_hourly_payload_needs_no_status(spark):
     valid, refused = payload.split_quarantine(df, F.col("p"))
     assert (valid.count(), refused.count()) == (1, 0)
     assert payload.split_quarantine(df, F.col("p"), expect_status=True)[1].first()["reason"] == "status"
+
+
+def test_hours_are_stored_once_however_late(spark, folder):
+    """Old hours again, hours of a series far behind, rows without series or time, and a batch that is repeated."""
+    from gustline.streaming.hourly import stream_once
+    schema = "s string, datetime timestamp_ntz, v int"
+
+    def hour(day, h=0):
+        return datetime(2024, 1, day, h)
+
+    deliveries = [[("hot", hour(9), 1), ("hot", hour(9), 1), ("hot", hour(20), 1), (None, hour(9), 1), ("hot", None, 1)],
+                  [("hot", hour(9), 2), ("slow", hour(1), 2), ("slow", hour(9), 2), (None, hour(9), 2), ("hot", None, 2)],
+                  [("hot", hour(20), 3), ("slow", hour(1), 3), ("slow", hour(2), 3), ("hot", hour(20, 1), 3)]]
+    want = {("hot", hour(9)): 1, ("hot", hour(20)): 1, (None, hour(9)): 1, ("hot", None): 1, ("slow", hour(1)): 2,
+            ("slow", hour(9)): 2, ("slow", hour(2)): 3, ("hot", hour(20, 1)): 3}
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        stream_once(stream, f"{folder}/out", f"{folder}/{checkpoint}", ["s", "datetime"]).awaitTermination()
+        return [((r.s, r.datetime), r.v) for r in spark.read.parquet(f"{folder}/out").collect()]
+
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        got = run("checkpoint")
+    assert len(got) == len(want) and dict(got) == want
+    got = run("another")    # all of it again, as after a lost checkpoint
+    assert len(got) == len(want) and dict(got) == want
