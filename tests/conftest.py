@@ -1,12 +1,15 @@
 import os
 import sys
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from series_frames import hours
+
 from gustline.session import build_session
 
 
@@ -18,10 +21,6 @@ def spark():
     session.stop()
 
 
-def hours(n, start="2024-01-01"):
-    return pd.date_range(start, periods=n, freq="h")
-
-
 @pytest.fixture(scope="session")
 def ar_series(spark):
     """Two series with signal: an autoregressive part and a daily cycle, with missing hours."""
@@ -37,8 +36,3 @@ def ar_series(spark):
         pdf = pd.DataFrame({"series": name, "datetime": hours(n), "pm25": pm25, "temperature": temperature})
         parts.append(pdf[rng.random(n) > 0.05])
     return pd.concat(parts, ignore_index=True)
-
-
-def to_spark(spark, pdf):
-    df = spark.createDataFrame(pdf)
-    return df.withColumn("datetime", df["datetime"].cast("timestamp_ntz")) if "datetime" in pdf else df

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import hours, to_spark
+from series_frames import hours, to_spark
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F

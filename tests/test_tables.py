@@ -3,7 +3,7 @@ from datetime import datetime
 
 import pandas as pd
 import pytest
-from conftest import hours, to_spark
+from series_frames import hours, to_spark
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

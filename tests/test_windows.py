@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import hours, to_spark
+from series_frames import hours, to_spark
 from pyspark.sql import functions as F
 
 from gustline.operators.blocks import fill_forward, with_row_index
