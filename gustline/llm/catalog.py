@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.llm import decontamination, main_text, mixing, ngram_join, quality, repeats, sharding, sql, token_files, toxicity, url_rules
+from gustline.llm import (decontamination, lexical_search, main_text, mixing, ngram_join, quality, repeats, sharding, sql, token_files,
+                          toxicity, url_rules, word_runs)
 from gustline.llm.common import table
 from gustline.session import ship_package
 
@@ -39,12 +40,15 @@ QUERIES: dict[str, Run] = {
     "op8_main_text": lambda spark, d: main_text.extract(table(spark, d, "pages")),
     "op9_quality_cascade": lambda spark, d: quality.report(table(spark, d, "documents")),
     "op10_source_mix": lambda spark, d: mixing.report(spark, table(spark, d, "documents")),
+    "op11_lexical_search": lambda spark, d: lexical_search.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_word_runs": lambda spark, d: word_runs.report(table(spark, d, "documents")),
 }
 
 SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION,
     "op2_url_rules": sql.URL_RULES,
     "op9_quality_cascade": sql.QUALITY,
+    "op11_lexical_search": sql.LEXICAL_SEARCH,
 }
 
 

@@ -62,3 +62,21 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not (base_failed or 10 * n_symbols > n_words or (2 * n_dup_lines > n_lines and n_dup_lines >= 4)
             or 4 * word_chars < 5 * n_words or word_chars > 25 * n_words) as kept
 from v"""
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL_SEARCH = f"""WITH
+    w AS (SELECT row_number() OVER () AS row, doc_id,
+        regexp_extract_all({_LOWER}, '{_TERM}') AS terms FROM documents),
+    d AS (SELECT row, doc_id, len(terms) AS n, terms FROM w WHERE len(terms) > 0),
+    t AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+    i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id,
+        unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+    p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM d)
+        WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, t GROUP BY term, docs),
+    s AS (SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+        FROM p JOIN f USING (term) JOIN i USING (term), t GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 20"""
