@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.llm import (decontamination, lexical_search, main_text, mixing, ngram_join, quality, repeats, sharding, sql, token_files,
-                          toxicity, url_rules, word_runs)
+from gustline.llm import (decontamination, lexical_search, main_text, mixing, ngram_join, prefix_forest, quality, repeats, sharding, sql,
+                          token_files, toxicity, url_rules, word_runs)
 from gustline.llm.common import table
 from gustline.session import ship_package
 
@@ -41,6 +41,7 @@ QUERIES: dict[str, Run] = {
     "op9_quality_cascade": lambda spark, d: quality.report(table(spark, d, "documents")),
     "op10_source_mix": lambda spark, d: mixing.report(spark, table(spark, d, "documents")),
     "op11_lexical_search": lambda spark, d: lexical_search.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op12_prefix_forest": lambda spark, d: prefix_forest.report(table(spark, d, "embeddings")),
     "op13_word_runs": lambda spark, d: word_runs.report(table(spark, d, "documents")),
 }
 
