@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustline.functions.bands import pm25_category
 from gustline.functions.clock import add_time_features
-from gustline.operators.blocks import IDX, SIZE, null_safe_join, with_row_index
+from gustline.operators.blocks import IDX, SIZE, null_safe_join, salted_lookup, with_row_index
+from gustline.operators.boosting import BoostedModel, score_boosted
 from gustline.operators.clean import contract_select
 from gustline.operators.splits import latest_rows
 from gustline.session import ensure_checkpoint_dir
 from gustline.spec import FORECAST_SPEC, FeatureSpec, LinearModel
 
+if TYPE_CHECKING:
+    from gustline.sources.models import Artefacts
+
 HORIZON = 72
 CHECKPOINT_EVERY = 12
 
@@ -134,6 +141,67 @@ def forecast_linear(history: DataFrame, future: DataFrame, model: LinearModel, s
         .select(*series_cols, "row.step", "row.datetime", "yhat"), series_cols)
 
 
+Predict = Callable[[np.ndarray, "pa.RecordBatch"], np.ndarray]
+
+
+def forecast_in_one_pass(history: DataFrame, future: DataFrame, predict: Predict, features: Sequence[str], series_cols: Sequence[str],
+                         spec: FeatureSpec = FORECAST_SPEC, target: str = "pm25", carried: DataFrame | None = None) -> DataFrame:
+    """Recursive forecast with a model that is at hand as arrays: all steps of a series in one task, without a pass per step.
+
+    ``predict(x, series)`` gives the predictions for the rows of a matrix of features; ``series`` holds one row per row of it,
+    with the columns of ``carried``, a table with one row per series (such as coefficients). A series is at most the horizon of
+    future rows and its look-back; a batch of series is stepped together.
+    """
+    spec = _needed(spec, features)
+    future = _future_with_calendar(future, features, spec)
+    derived = set(spec.columns)
+    known = [c for c in features if c not in derived]
+    ahead = future.groupBy(*series_cols).agg(       # at most the horizon per series
+        F.array_sort(F.collect_list(F.struct("step", "datetime", F.array(*[F.col(c).cast("double") for c in known]).cast("array<double>").alias("known")
+                                             ))).alias("_ahead"))
+    rows = null_safe_join(ahead, last_values(history, series_cols, spec.lookback, target), series_cols)
+    if carried is not None:
+        rows = null_safe_join(rows, carried, series_cols)
+    lag, mean, std = spec.prefixes
+
+    def value(past: list[float], name: str) -> float:
+        n = int(name.rsplit("_", 1)[1])
+        if name.startswith(lag):
+            return past[-n] if len(past) >= n else past[-1]
+        window = np.array(past[-n:])
+        if name.startswith(mean):
+            return float(window.mean())
+        return float(window.std(ddof=1)) if len(window) > 1 else 0.0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pasts = batch.column("history").to_pylist()
+            given = [[a["known"] for a in row] for row in batch.column("_ahead").to_pylist()]
+            out: list[list[float]] = [[] for _ in pasts]
+            for step in range(max(map(len, given), default=0)):
+                live = [i for i, row in enumerate(given) if step < len(row)]
+                x = np.empty((len(live), len(features)))
+                for place, i in enumerate(live):
+                    exact = iter(given[i][step])
+                    x[place] = [value(pasts[i], c) if c in derived else np.nan if (v := next(exact)) is None else v for c in features]
+                for i, y in zip(live, predict(x, batch.take(pa.array(live))).tolist(), strict=True):
+                    out[i].append(y)
+                    pasts[i].append(y)
+            names = [*series_cols, "_ahead"]
+            yield pa.record_batch([*[batch.column(c) for c in names], pa.array(out, pa.list_(pa.float64()))], names=[*names, "_path"])
+
+    schema = rows.select(*series_cols, "_ahead", F.array().cast("array<double>").alias("_path")).schema
+    done = rows.mapInArrow(work, schema)
+    return _finish(done.select(*series_cols, F.inline(F.arrays_zip(F.col("_ahead").alias("row"), F.col("_path").alias("yhat"))))
+                   .select(*series_cols, "row.step", "row.datetime", "yhat"), series_cols)
+
+
+def forecast_trees(history: DataFrame, future: DataFrame, model: BoostedModel, series_cols: Sequence[str],
+                   spec: FeatureSpec = FORECAST_SPEC, target: str = "pm25") -> DataFrame:
+    """Recursive forecast with an ensemble of trees, in one pass over the series."""
+    return forecast_in_one_pass(history, future, lambda x, _: model.predict(x), model.features, series_cols, spec, target)
+
+
 def forecast_with_model(history: DataFrame, future: DataFrame, predict: Callable[[DataFrame], DataFrame],
                         features: Sequence[str], series_cols: Sequence[str], horizon: int = HORIZON,
                         spec: FeatureSpec = FORECAST_SPEC, target: str = "pm25") -> DataFrame:
@@ -166,3 +234,61 @@ def forecast_with_model(history: DataFrame, future: DataFrame, predict: Callable
     rows = state.select(*series_cols, F.inline(F.arrays_zip(
         F.slice("_ahead", 1, F.size("_out")).alias("row"), F.col("_out").alias("yhat"))))
     return _finish(rows.select(*series_cols, "row.step", "row.datetime", "yhat"), series_cols)
+
+
+def _linear_rows(artefacts: "Artefacts", series_cols: Sequence[str]) -> DataFrame:
+    """Series with a linear contract and their coefficients, by name of the feature."""
+    chosen = artefacts.contract.select(*series_cols, F.col("model_name").alias("model"))
+    return null_safe_join(artefacts.linear, chosen, [*series_cols, "model"]).select(
+        *series_cols, F.map_from_arrays("features", "slopes").alias("_slopes"), "bias")
+
+
+def _chosen(df: DataFrame, artefacts: "Artefacts", series_cols: Sequence[str]) -> DataFrame:
+    return salted_lookup(df, artefacts.contract.select(*series_cols, "model_name"), [*series_cols])
+
+
+def score_promoted(df: DataFrame, artefacts: "Artefacts", series_cols: Sequence[str]) -> DataFrame:
+    """Score every series with the model its contract names; ``model_name`` says which. Series without a contract are left out."""
+    rows, out = _chosen(df, artefacts, series_cols), None
+    shared = list(artefacts.ensembles)
+    for name, model in artefacts.ensembles.items():
+        mine = rows.where(F.col("model_name") == name)
+        pipeline = artefacts.pipelines.get(name)
+        part = pipeline.transform(mine).drop("features") if pipeline is not None else score_boosted(mine, model)
+        out = part if out is None else out.unionByName(part)
+    if artefacts.linear is not None:
+        mine = salted_lookup(rows.where(~F.col("model_name").isin(shared)), _linear_rows(artefacts, series_cols), [*series_cols])
+        names = sorted({c for r in artefacts.contract.select(F.explode("features").alias("f")).distinct().collect() for c in [r["f"]]})
+        terms = [F.coalesce(F.col("_slopes")[c] * F.col(c).cast("double"), F.lit(0.0)) for c in names if c in df.columns]
+        part = mine.withColumn("predicted", sum(terms, F.col("bias"))).drop("_slopes", "bias")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def forecast_promoted(history: DataFrame, future: DataFrame, artefacts: "Artefacts", series_cols: Sequence[str],
+                      spec: FeatureSpec = FORECAST_SPEC, target: str = "pm25") -> DataFrame:
+    """The recursive forecast of every series with the model its contract names, one pass per kind of model."""
+    history, future = (_chosen(df, artefacts, series_cols) for df in (history, future))
+    out = None
+
+    def of(df: DataFrame, condition: Column) -> DataFrame:
+        return df.where(condition).drop("model_name")
+
+    for name, model in artefacts.ensembles.items():
+        mine = F.col("model_name") == name
+        part = forecast_trees(of(history, mine), of(future, mine), model, series_cols, spec, target)
+        out = part if out is None else out.unionByName(part)
+    if artefacts.linear is not None:
+        mine = ~F.col("model_name").isin(list(artefacts.ensembles))
+        models = _linear_rows(artefacts, series_cols)
+        names = sorted({r["f"] for r in models.select(F.explode(F.map_keys("_slopes")).alias("f")).distinct().collect()})    # columns
+        if names:
+            weights = models.select(*series_cols, F.array(*[F.coalesce(F.col("_slopes")[c], F.lit(0.0)) for c in names]).alias("_w"), "bias")
+
+            def predict(x: np.ndarray, series: pa.RecordBatch) -> np.ndarray:
+                w = series.column("_w").flatten().to_numpy().reshape(len(series), -1)
+                return (np.where(w == 0, 0.0, x) * w).sum(axis=1) + series.column("bias").to_numpy()
+
+            part = forecast_in_one_pass(of(history, mine), of(future, mine), predict, names, series_cols, spec, target, weights)
+            out = part if out is None else out.unionByName(part)
+    return out

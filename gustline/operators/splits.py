@@ -73,6 +73,18 @@ def ts_folds(df: DataFrame, series_cols: Sequence[str], k: int = 3) -> DataFrame
             .drop(IDX, SIZE))
 
 
+def fold_roles(df: DataFrame, series_cols: Sequence[str], k: int = 3) -> DataFrame:
+    """Adds ``roles``: for each of the folds of ``ts_folds`` what the row is to it, 0 nothing, 1 train, 2 validation.
+
+    One row stays one row, for fits that go over all folds at once. Keeps the position columns.
+    """
+    rows = _indexed(df, series_cols)
+    step = F.floor(F.col(SIZE) / F.lit(k + 1))
+    roles = [F.when(F.col(IDX) <= F.col(SIZE) - (k + 1 - i) * step, 1).when(F.col(IDX) <= F.col(SIZE) - (k - i) * step, 2).otherwise(0)
+             for i in range(1, k + 1)]
+    return rows.withColumn("roles", F.array(*[r.cast("tinyint") for r in roles]))
+
+
 def fold_summary(folds: DataFrame, series_cols: Sequence[str]) -> DataFrame:
     return folds.groupBy(*series_cols, "fold", "role").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("datetime").alias("first_hour"),

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustline.functions.bands import feature_family, gap_verdict
-from gustline.operators import explain, inference, linear, metrics, registry, selection, summary, trees
+from gustline.operators import boosting, explain, inference, linear, metrics, registry, selection, summary, trees
 from gustline.operators.blocks import IDX, SIZE, with_row_index
 from gustline.operators.feeds import future_horizon
 from gustline.operators.splits import development, holdout, ts_folds
 from gustline.plans.frames import (CUT, MODEL_FEATURES, SERIES, Query, add_cte, existing, features, merged, sql,
                                    stored_features, weather)
 from gustline.plans.summaries import band_case, family_case, verdict_case
+from gustline.sources.models import Artefacts, load_models, save_models
 from gustline.spec import Contract, LinearModel
 
 # The models that are compared: a past value or mean as the prediction.
@@ -108,44 +111,50 @@ def random_forest(spark: SparkSession, sf: str) -> DataFrame:
     return trees.final_metrics(model, table, "pm25", SERIES)
 
 
-def _boosted(spark: SparkSession, sf: str, params: dict) -> DataFrame:
+def _boosted(spark: SparkSession, sf: str, params: boosting.BoostParams) -> DataFrame:
     """Selected features, stopping by patience, final fit; the gap of R² with its verdict on both rows."""
     table = stored_features(spark, sf)
-    dev = development(table, SERIES)
-    cols = [row["feature"] for row in selection.select_tree(dev, "pm25", MODEL_FEATURES, trees.TREE_FEATURES).collect()]
-    model, best, fitted = trees.fit_boosted_final(dev, "pm25", cols, SERIES, **params)
+    model = trees.fit_boosted_final(table, "pm25", MODEL_FEATURES, SERIES, params)
     out = trees.final_metrics(model, table, "pm25", SERIES)
     gap = out.agg((F.max(F.when(F.col("role") == "dev", F.col("r2"))) - F.max(F.when(F.col("role") == "test", F.col("r2"))))
                   .alias("r2_gap"))
     return out.join(F.broadcast(gap)).withColumns({     # one row
-        "r2_gap": F.round("r2_gap", 4), "verdict": gap_verdict("r2_gap"), "best_iteration": F.lit(best),
-        "trees_fitted": F.lit(fitted), "features": F.lit(",".join(cols))})
+        "r2_gap": F.round("r2_gap", 4), "verdict": gap_verdict("r2_gap"), "best_iteration": F.lit(len(model.value)),
+        "trees_fitted": F.lit(len(model.losses)), "features": F.lit(",".join(model.features))})
 
 
 def boosted_trees_a(spark: SparkSession, sf: str) -> DataFrame:
-    return _boosted(spark, sf, trees.BOOST_A_PARAMS)
+    return _boosted(spark, sf, boosting.BOOST_A)
 
 
 def boosted_trees_b(spark: SparkSession, sf: str) -> DataFrame:
-    return _boosted(spark, sf, trees.BOOST_B_PARAMS)
+    return _boosted(spark, sf, boosting.BOOST_B)
 
 
-def _tree_cv(spark: SparkSession, sf: str, fit) -> DataFrame:
-    """Fold rows with the gap of R² and its verdict; features are selected anew in every fold."""
-    out = trees.tree_cv(stored_features(spark, sf), "pm25", MODEL_FEATURES, SERIES, fit)
-    return out.withColumn("r2_gap", F.round(F.col("train_r2") - F.col("val_r2"), 4)).withColumn("verdict", gap_verdict("r2_gap"))
+def _with_gap(folds: DataFrame) -> DataFrame:
+    """Fold rows with the gap of R² and its verdict."""
+    return folds.withColumn("r2_gap", F.round(F.col("train_r2") - F.col("val_r2"), 4)).withColumn("verdict", gap_verdict("r2_gap"))
 
 
 def forest_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree_cv(spark, sf, lambda train, val, cols: trees.fit_forest(train, "pm25", cols))
+    """Features are selected anew in every fold."""
+    return _with_gap(trees.tree_cv(stored_features(spark, sf), "pm25", MODEL_FEATURES, SERIES,
+                                   lambda train, val, cols: trees.fit_forest(train, "pm25", cols)))
+
+
+def _boosted_cv(spark: SparkSession, sf: str, params: boosting.BoostParams) -> DataFrame:
+    """The folds with the number of trees each stopped at; features are selected anew in every fold."""
+    folds, models = trees.boosted_cv(stored_features(spark, sf), "pm25", MODEL_FEATURES, SERIES, params)
+    best = spark.createDataFrame([(i, len(m.value)) for i, m in enumerate(models, 1)], "fold int, best_iteration int")
+    return _with_gap(folds.join(F.broadcast(best), "fold"))     # one row per fold
 
 
 def boosted_cv_a(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree_cv(spark, sf, lambda train, val, cols: trees.fit_boosted(train, val, "pm25", cols, **trees.BOOST_A_PARAMS)[0])
+    return _boosted_cv(spark, sf, boosting.BOOST_A)
 
 
 def boosted_cv_b(spark: SparkSession, sf: str) -> DataFrame:
-    return _tree_cv(spark, sf, lambda train, val, cols: trees.fit_boosted(train, val, "pm25", cols, **trees.BOOST_B_PARAMS)[0])
+    return _boosted_cv(spark, sf, boosting.BOOST_B)
 
 
 # -- comparison -----------------------------------------------------------------------------
@@ -260,23 +269,125 @@ def recursive_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forecast_with_trees(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole horizon with a forest that was fitted on the rows before the forecast only."""
+    """The whole horizon with a forest that was fitted on the rows before the forecast only, from its saved trees in one pass."""
+    from gustline.session import shared_dir
     cols = ["pm25_lag_1", "pm25_lag_24", "pm25_roll_mean_6", "temperature", "hour_sin"]
     model = trees.fit_forest(features(spark, sf).where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz")), "pm25", cols)
+    folder = shared_dir(spark, "forest")
+    model.stages[-1].write().save(folder)
     history = existing(spark, sf)
     future = future_horizon(weather(spark, sf), history, SERIES)
-    return inference.forecast_with_model(history, future, model.transform, cols, SERIES)
+    return inference.forecast_trees(history, future, trees.forest_ensemble(spark, folder, cols), SERIES)
+
+
+def forecast_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole horizon in one pass with boosted trees that saw the rows before the forecast only."""
+    before = stored_features(spark, sf).where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz"))
+    model = trees.fit_boosted_final(before, "pm25", KNOWN_AHEAD, SERIES, CHAIN_BOOST["boosted_a"])
+    history = existing(spark, sf)
+    return inference.forecast_trees(history, future_horizon(weather(spark, sf), history, SERIES), model, SERIES)
 
 
 def forecast_summary(spark: SparkSession, sf: str) -> DataFrame:
     return r(summary.forecast_summary(_forecast(spark, sf), SERIES), 6, "mean_value")
 
 
+# -- the chain from training to forecasts ------------------------------------------------------
+# Only what is known, or can be derived, for hours ahead.
+KNOWN_AHEAD = [c for c in MODEL_FEATURES if c not in ("pm10", "co")]
+# The chain trains every kind of model in one query: larger steps and a smaller forest than in the queries of their own.
+CHAIN_BOOST = {"boosted_a": replace(boosting.BOOST_A, step=0.1), "boosted_b": replace(boosting.BOOST_B, step=0.1)}
+CHAIN_FOREST = {"numTrees": 100}
+
+
+def _trained(spark: SparkSession, table: DataFrame) -> tuple[DataFrame, Artefacts]:
+    """Records of ridge, lasso, forest and both boosted models per series, and the fitted models (their contract is not made yet)."""
+    from gustline.session import materialise
+    held = holdout(table, SERIES)
+    ridge = materialise(linear.ridge_cv(table, "pm25", KNOWN_AHEAD, SERIES), "ridge")
+    lasso = materialise(linear.lasso_cv(table, "pm25", KNOWN_AHEAD, SERIES), "lasso")
+    fold_names = ["fold", "train_rmse", "val_rmse", "train_r2", "val_r2", "ratio"]
+    folds = ridge.where("fold > 0").select(*SERIES, F.lit("ridge").alias("model"), *fold_names)
+    finals = {"ridge": linear.score_models(held, ridge.where("fold = 0"), KNOWN_AHEAD, SERIES),
+              "lasso": linear.score_models(held, lasso, KNOWN_AHEAD, SERIES)}
+
+    dev = development(table, SERIES)
+    cols = [row["feature"] for row in selection.select_tree(dev, "pm25", KNOWN_AHEAD, trees.TREE_FEATURES).collect()]
+    forest = trees.fit_forest(dev, "pm25", cols, **CHAIN_FOREST)
+    finals["random_forest"] = forest.transform(held).drop("features")
+    forest_folds = trees.tree_cv(table, "pm25", KNOWN_AHEAD, SERIES,
+                                 lambda train, val, some: trees.fit_forest(train, "pm25", some, **CHAIN_FOREST), by=SERIES)
+    folds = folds.unionByName(forest_folds.select(*SERIES, F.lit("random_forest").alias("model"), *fold_names))
+    ensembles = {}
+    for name, params in CHAIN_BOOST.items():
+        found, models = trees.boosted_cv(table, "pm25", KNOWN_AHEAD, SERIES, params, by=SERIES, final=True)
+        ensembles[name] = models[-1]
+        finals[name] = boosting.score_boosted(held, models[-1])
+        folds = folds.unionByName(found.select(*SERIES, F.lit(name).alias("model"), *fold_names))
+
+    scored = None
+    for name, rows in finals.items():
+        part = rows.select(*SERIES, "role", "pm25", "predicted", F.lit(name).alias("model"))
+        scored = part if scored is None else scored.unionByName(part)
+    sides = metrics.regression_metrics(scored, "pm25", "predicted", [*BY, "role"])
+    records = materialise(metrics.metrics_record(metrics.cv_rollup(folds, BY), sides, BY), "records")
+
+    lines = [m.select(*SERIES, F.lit(name).alias("model"), F.array(*[F.lit(c) for c in KNOWN_AHEAD]).alias("features"), "slopes", "bias")
+             for name, m in (("ridge", ridge.where("fold = 0")), ("lasso", lasso))]
+    return records, Artefacts(records, lines[0].unionByName(lines[1]), ensembles, {"random_forest": forest})
+
+
+def _promoted(spark: SparkSession, table: DataFrame) -> Artefacts:
+    """Train, compare, choose, save, and read back what was saved."""
+    from gustline.session import shared_dir
+    records, fitted = _trained(spark, table)
+    shared = spark.createDataFrame(
+        [(m, e.features) for m, e in fitted.ensembles.items()]
+        + [(m, p.stages[0].getInputCols()) for m, p in fitted.pipelines.items()], "model string, features array<string>")
+    own = fitted.linear.select(*BY, "features")
+    used = records.select(*BY).join(F.broadcast(shared), "model").select(*BY, "features").unionByName(own)     # one row per kind of model
+    best = registry.select_best(metrics.leaderboard_rows(records, BY), SERIES)
+    contract = registry.promote(best, used, SERIES, scaled_models=())       # slopes are those of unscaled columns
+    root = shared_dir(spark, "promoted")
+    save_models(spark, root, replace(fitted, contract=contract))
+    return load_models(spark, root)
+
+
+def trained_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    """All kinds of models of every series, best first."""
+    records, _ = _trained(spark, stored_features(spark, sf))
+    return registry.leaderboard(metrics.leaderboard_rows(records, BY), SERIES)
+
+
+def promoted_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Holdout rows scored by the promoted model of their series, as saved and loaded again."""
+    table = stored_features(spark, sf)
+    promoted = _promoted(spark, table)
+    out = inference.score_promoted(holdout(table, SERIES).where(F.col("role") == "test"), promoted, SERIES)
+    return r(out.select(*SERIES, "datetime", "model_name", "pm25", "predicted"), 6, "predicted")
+
+
+def promoted_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """The next hours of every series with its promoted model, fitted on rows before the forecast only."""
+    table = stored_features(spark, sf)
+    promoted = _promoted(spark, table.where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz")))
+    history = existing(spark, sf)
+    future = future_horizon(weather(spark, sf), history, SERIES)
+    return inference.forecast_promoted(history, future, promoted, SERIES)
+
+
 # -- attribution ----------------------------------------------------------------------------
 def linear_shap(spark: SparkSession, sf: str) -> DataFrame:
     return r(explain.linear_attribution(stored_features(spark, sf), SCORER, SERIES), 6, "mean_abs_shap")
 
 
+def tree_shap(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact Shapley values of boosted trees over all complete rows, averaged per series and feature."""
+    table = stored_features(spark, sf)
+    model = trees.fit_boosted_final(table, "pm25", MODEL_FEATURES, SERIES, CHAIN_BOOST["boosted_a"])
+    return r(boosting.tree_attribution(table, model, SERIES), 6, "mean_abs_shap").withColumn("family", feature_family("feature"))
+
+
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     names = SCORER.contract.features
     sample = explain.attribution_sample(stored_features(spark, sf), names, SERIES)
@@ -433,6 +544,11 @@ QUERIES = [
         SELECT series, count(*) AS n_hours, round(avg(abs(actual_pm25 - predicted_pm25)), 4) AS mae FROM backtests GROUP BY 1""")),
     Query("recursive_forecast", recursive_forecast, _forecast_sql("SELECT * FROM forecast")),
     Query("forecast_with_trees", forecast_with_trees),
+    Query("forecast_boosted", forecast_boosted),
+    Query("trained_leaderboard", trained_leaderboard),
+    Query("promoted_scores", promoted_scores),
+    Query("promoted_forecast", promoted_forecast),
+    Query("tree_shap", tree_shap),
     Query("forecast_summary", forecast_summary, _forecast_sql(f""",
         k AS (SELECT series, count(*) AS n_hours, avg(predicted_pm25) AS m, max(predicted_pm25) AS max_value,
               min(predicted_pm25) AS min_value, min(datetime) AS first_hour, max(datetime) AS last_hour FROM forecast GROUP BY 1),

@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from gustline.operators import explain, inference, linear, metrics, registry, splits, trees
+from gustline.operators import explain, inference, linear, metrics, registry, splits
 from gustline.operators.explain import linear_attribution
 from gustline.operators.windows import build_features
 from gustline.spec import Contract, FeatureSpec, LinearModel
@@ -192,26 +192,6 @@ def test_records_without_test_rows_are_left_out(spark):
     assert [(r["model"], r["rmse"], r["r2_gap"], r["cv_gap"]) for r in rows] == [("m", 2.5, .2, .1)]
 
 
-# -- trees ----------------------------------------------------------------------------------
-def test_best_iteration_has_patience():
-    losses = [5, 4, 3, 3.5, 3.4, 2.9, 3, 3, 3, 1]
-    assert trees.best_iteration(losses, patience=3) == 6
-    assert trees.best_iteration(losses, patience=50) == 10
-    assert trees.best_iteration([1, 2, 3], patience=1) == 1
-
-
-def test_boosted_trees_learn(table):
-    dev = splits.development(table, ["series"])
-    model, best, fitted = trees.fit_boosted_final(dev, "pm25", COLS, ["series"], maxIter=30, stepSize=0.2, patience=20)
-    assert best >= 1 and fitted - best >= 20 and model.stages[-1].getNumTrees == best
-    got = {r["role"]: r["r2"] for r in trees.final_metrics(model, table, "pm25", ["series"]).collect()}
-    assert got["dev"] > 0.5
-    imp = trees.importance_table(model, COLS, table.sparkSession).toPandas()
-    assert imp["importance"].sum() == pytest.approx(1.0)
-    with pytest.raises(ValueError):
-        trees.importance_table(model, COLS[:2], table.sparkSession)
-
-
 # -- forecasts ------------------------------------------------------------------------------
 FORECASTER = LinearModel(
     Contract("ridge", ["pm25_lag_1", "pm25_lag_24", "pm25_roll_mean_6", "pm25_roll_std_3", "temperature", "hour_sin"]),
