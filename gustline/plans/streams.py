@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from gustline.operators import drift
 from gustline.plans.features import rounded
 from gustline.plans.frames import CUT, SERIES, Query, hourly, sql, table
+from gustline.plans.monitoring import samples_cte
 from gustline.session import shared_dir
 from gustline.spec import FeatureSpec
 from gustline.streaming import hourly as streams
 from gustline.streaming.online import online_features
 
 KEYS = [*SERIES, "datetime"]
+FILES_PER_BATCH = 100
 STREAM_SPEC = FeatureSpec(lags=(1, 24), means=(6, 24))
 
 
@@ -35,7 +37,8 @@ def _drop(df: DataFrame, folder: str) -> None:
 
 
 def _stream(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
-    return spark.readStream.schema(df.schema).parquet(folder)
+    # a long backlog comes in several micro-batches
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)
 
 
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,18 +82,24 @@ def stream_feature_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, [c for c in STREAM_SPEC.columns if "roll" in c])
 
 
+DELIVERED = ["2024-01-16 00:00:00", "2024-01-20 00:00:00", "2024-01-25 00:00:00", "2024-03-01 00:00:00"]
+WATCHED = ["pm25", "pm10", "co"]
+
+
 def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Each delivery against the hours of the first half of the month."""
+    """Three deliveries, each against the stored statistics of the hours of the first half of the month."""
     base = shared_dir(spark, "stream-drift")
     rows = hourly(spark, sf)
-    half = F.col("datetime") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    _drop(rows.where(half), f"{base}/reference")
-    reference = spark.read.schema(rows.schema).parquet(f"{base}/reference")
-    _drop(rows.where(~half), f"{base}/in")
-    streams.stream_drift(_stream(spark, rows, f"{base}/in"), reference, f"{base}/runs", f"{base}/checkpoint",
-                         lambda both: drift.drift_report(both, ["pm25", "pm10", "co"], p_column="p_asymptotic")
-                         ).awaitTermination()
-    return streams.read_runs(spark, f"{base}/runs").select("feature", "n_ref", "n_rec", F.round("d", 9).alias("d"))
+    at = [F.lit(x).cast("timestamp_ntz") for x in DELIVERED]
+    # two samples whose counts are put together
+    parts = [rows.where((F.col("datetime") < at[0]) & (F.dayofmonth("datetime") % 2 == odd)) for odd in (0, 1)]
+    drift.save_reference(drift.merged_counts(*[drift.reference_counts(p, WATCHED) for p in parts]), f"{base}/reference")
+    for first, last in zip(at, at[1:]):
+        _drop(rows.where((F.col("datetime") >= first) & (F.col("datetime") < last)), f"{base}/in")
+        streams.stream_drift(_stream(spark, rows, f"{base}/in"), f"{base}/reference", f"{base}/runs", f"{base}/checkpoint",
+                             WATCHED).awaitTermination()
+    return streams.read_runs(spark, f"{base}/runs").select("run", "feature", "n_ref", "n_rec", F.round("d", 9).alias("d"),
+                                                           "p_asymptotic", "psi", "status")
 
 
 _ROLL = ", ".join(
@@ -107,13 +116,12 @@ QUERIES = [
     Query("stream_online_features", stream_online_features, sql("hourly", f"SELECT {_FEATS}, false AS late FROM hourly {_W}")),
     Query("stream_feature_upsert", stream_feature_upsert, sql("hourly", f"SELECT {_FEATS} FROM hourly {_W}")),
     Query("stream_drift", stream_drift, sql("hourly", """,
-        long AS (""" + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, {c} AS value, datetime < TIMESTAMP '2024-01-16 00:00:00' AS ref FROM hourly"
-        for c in ("pm25", "pm10", "co")) + """),
-        c AS (SELECT feature, sum(CAST(ref AS INTEGER)) OVER v / sum(CAST(ref AS INTEGER)) OVER f AS fr,
-              sum(CAST(NOT ref AS INTEGER)) OVER v / sum(CAST(NOT ref AS INTEGER)) OVER f AS fc,
-              sum(CAST(ref AS INTEGER)) OVER f AS nr, sum(CAST(NOT ref AS INTEGER)) OVER f AS nc FROM long
-              WINDOW v AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature))
-        SELECT feature, CAST(max(nr) AS BIGINT) AS n_ref, CAST(max(nc) AS BIGINT) AS n_rec,
-        round(max(abs(fr - fc)), 9) AS d FROM c GROUP BY 1""")),
+        samples AS (""" + " UNION ALL ".join(
+        f"""SELECT {run} AS run, CASE WHEN datetime < TIMESTAMP '{DELIVERED[0]}' THEN 'reference' ELSE 'recent' END AS role, pm25, pm10, co
+        FROM hourly WHERE datetime < TIMESTAMP '{DELIVERED[0]}'
+        OR (datetime >= TIMESTAMP '{DELIVERED[run]}' AND datetime < TIMESTAMP '{DELIVERED[run + 1]}')""" for run in range(3)) + ")"
+        + samples_cte("run, ", WATCHED) + """
+        SELECT run, feature, n_ref, n_rec, round(d, 9) AS d, round(p, 6) AS p_asymptotic, psi,
+        CASE WHEN p < 0.05 AND psi >= 0.2 THEN 'DRIFT' WHEN p < 0.05 OR psi >= 0.1 THEN 'WARNING' ELSE 'NORMAL' END AS status
+        FROM asym JOIN psis USING (run, feature)""")),
 ]

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from gustline.operators.boosting import BoostedModel, from_nodes, node_table
 from gustline.operators.trees import forest_ensemble
-
-POINTER = "CURRENT"
+from gustline.sources.tables import current_version, switch_pointer
 
 
 @dataclass
@@ -29,41 +28,6 @@ class Artefacts:
     pipelines: dict[str, PipelineModel] = field(default_factory=dict)
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm.org.apache.hadoop.fs
-    target = jvm.Path(path)
-    return jvm, jvm.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()) \
-        if target.toUri().getScheme() else jvm.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
-
-
-def switch_pointer(spark: SparkSession, root: str, version: str) -> None:
-    """Name ``version`` as the current one: the text is written beside the pointer and renamed over it."""
-    jvm, files = _files(spark, root)
-    fresh = f"{root}/.{POINTER}-{uuid.uuid4().hex}"
-    fs = jvm.Path(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(jvm.Path(fresh), True)
-    try:
-        out.write(bytearray(version.encode()))
-    finally:
-        out.close()
-    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
-    options[0] = jvm.Options.Rename.OVERWRITE
-    files.rename(jvm.Path(fresh), jvm.Path(f"{root}/{POINTER}"), options)
-
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = jvm.Path(f"{root}/{POINTER}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    stream = fs.open(path)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-
-
 def save_models(spark: SparkSession, root: str, artefacts: Artefacts) -> str:
     """Write a new version and make it the current one; returns its folder."""
     version = f"version-{uuid.uuid4().hex}"

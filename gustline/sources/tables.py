@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Sequence
 from datetime import date, datetime
 
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustline.operators.blocks import null_safe_join
-from gustline.session import materialise
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -114,20 +114,121 @@ def by_date(df: DataFrame, part: str, salts: int = 8) -> DataFrame:
 
 def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], order_cols: Sequence[str],
                       ts: str = "datetime", part: str = "date") -> None:
-    """Upsert into a table partitioned by date; only the dates in ``new`` are read and rewritten.
+    """Upsert into a table kept by date; only the folders of dates in ``new`` are read and written again.
 
-    Rows without a time have a partition of their own. The new state of the dates is written beside the table
-    first, so the stored rows are not replaced before their successors are safe.
+    The new state of these dates is written into folders of its own; then a list of the folders that make up the table is written, and
+    one pointer switches to it. A reader sees all dates before the upsert or all after it, also when the job dies between. Rows without a
+    time have a folder of their own. One writer at a time; what neither this state nor the one before uses is deleted.
     """
     spark = new.sparkSession
     fresh = new.withColumn(part, F.to_date(ts))
-    if path_exists(spark, path):
-        touched = fresh.select(F.col(part).alias("_touched")).distinct()
-        stored = spark.read.parquet(path)
-        stored = stored.join(touched, stored[part].eqNullSafe(touched["_touched"]), "left_semi")
-        fresh = materialise(upsert_latest(stored, fresh, keys, order_cols), "upsert")
-    (by_date(fresh, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(part).parquet(path))
+    state = table_folders(spark, path)
+    if state:
+        days = [f"{_FOLDER}={'__HIVE_DEFAULT_PARTITION__' if d[0] is None else d[0]}"
+                for d in fresh.select(F.col(part).cast("string")).distinct().collect()]     # one per date
+        touched = [state[d] for d in days if d in state]
+        if touched:
+            stored = _read_folders(spark, path, touched)
+            fresh = upsert_latest(stored, fresh, keys, order_cols)
+        else:
+            fresh = keep_last(fresh, keys, order_cols)
+    else:
+        fresh = keep_last(fresh, keys, order_cols)
+    commit = f"commit-{uuid.uuid4().hex}"
+    by_date(fresh.withColumn(_FOLDER, F.col(part)), _FOLDER).write.partitionBy(_FOLDER).parquet(f"{path}/data/{commit}")
+    fs, folder = _hadoop_path(spark, f"{path}/data/{commit}")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    state = state | {n: f"data/{commit}/{n}" for n in names if n.startswith(f"{_FOLDER}=")}
+    if not state:       # an empty table has its columns
+        state = {"": f"data/{commit}"}
+    rows = spark.createDataFrame(list(state.items()), "name string, folder string")
+    rows.coalesce(1).write.parquet(f"{path}/states/{commit}")      # one row per date
+    before = current_version(spark, path)
+    switch_pointer(spark, path, commit)
+    _clean_up(spark, path, {commit, before})
+
+
+_FOLDER = "_date"
+
+
+def table_folders(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folders that make up a table written by ``upsert_partitions``, by the name of their date; empty if there is no table."""
+    state = current_version(spark, path)
+    if state is None:
+        return {}
+    rows = spark.read.parquet(f"{path}/states/{state}").collect()       # one row per date
+    return {r["name"]: r["folder"] for r in rows}
+
+
+def _read_folders(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(*[f"{path}/{f}" for f in folders])
+
+
+def read_upserted(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """A table written by ``upsert_partitions``, on request only the dates from ``first`` to ``last`` (their folders alone are listed)."""
+    state = table_folders(spark, path)
+    if not state:
+        raise FileNotFoundError(path)
+    names = [n for n in state if (first is None or n >= f"{_FOLDER}={first}") and (last is None or n <= f"{_FOLDER}={last}")]
+    if first is not None or last is not None:
+        names = [n for n in names if not n.endswith("__HIVE_DEFAULT_PARTITION__")]
+    if not names:
+        return _read_folders(spark, path, list(state.values())[:1]).where("false")
+    return _read_folders(spark, path, [state[n] for n in names])
+
+
+def _clean_up(spark: SparkSession, path: str, keep: set[str | None]) -> None:
+    """Delete states but those of ``keep``, and folders that these do not use."""
+    fs, states = _hadoop_path(spark, f"{path}/states")
+    used = set()
+    for status in fs.listStatus(states):
+        name = status.getPath().getName()
+        if name in keep:
+            used |= {r["folder"] for r in spark.read.parquet(f"{path}/states/{name}").collect()}
+        else:
+            fs.delete(status.getPath(), True)
+    commits = {f.split("/")[1] for f in used}
+    fs, data = _hadoop_path(spark, f"{path}/data")
+    for status in fs.listStatus(data):
+        commit = status.getPath().getName()
+        if commit not in commits:
+            fs.delete(status.getPath(), True)
+            continue
+        for inner in fs.listStatus(status.getPath()):
+            name = inner.getPath().getName()
+            if name.startswith(f"{_FOLDER}=") and f"data/{commit}/{name}" not in used:
+                fs.delete(inner.getPath(), True)
+
+
+# -- pointers -------------------------------------------------------------------------------
+POINTER = "CURRENT"
+
+
+def switch_pointer(spark: SparkSession, root: str, version: str) -> None:
+    """Name ``version`` as the current one: the text is written beside the pointer and renamed over it."""
+    fs, fresh = _hadoop_path(spark, f"{root}/.{POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    files = jvm.FileContext.getFileContext(fs.getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = jvm.Options.Rename.OVERWRITE
+    files.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.Path(f"{root}/{POINTER}")), options)
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    fs, path = _hadoop_path(spark, f"{root}/{POINTER}")
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def append_history(row: DataFrame, path: str) -> None:

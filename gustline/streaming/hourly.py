@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gustline.operators.blocks import null_safe_join, ordered, salted_lookup
+from gustline.operators.drift import drift_against
 from gustline.operators.windows import window_columns
+from gustline.sources import tables
 from gustline.sources.tables import by_date, keep_last, path_exists, unseen, upsert_partitions
 from gustline.spec import FeatureSpec
 
@@ -46,7 +48,7 @@ def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("_batch", "date")
+    return tables.read_upserted(spark, path).drop("_batch", "date")
 
 
 def stream_once(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str],
@@ -125,7 +127,7 @@ def stream_features(stream: DataFrame, base_path: str, feature_path: str, checkp
         new = keep_last(new, keys, ["_batch", *[c for c in df.columns if c not in keys]]).persist()
         try:
             upsert_partitions(new, base_path, keys, ["_batch"], ts)
-            base = affected_history(spark.read.parquet(base_path), new, spec.lookback, series_cols, ts)
+            base = affected_history(tables.read_upserted(spark, base_path), new, spec.lookback, series_cols, ts)
             fresh = touched_features(base.drop("_batch", "date"), new, spec, series_cols, ts)
             upsert_partitions(fresh.withColumn("_batch", F.lit(batch_id).cast("bigint")),
                               feature_path, keys, ["_batch"], ts)
@@ -135,20 +137,17 @@ def stream_features(stream: DataFrame, base_path: str, feature_path: str, checkp
     return _start(stream, checkpoint, "append", batch)
 
 
-def stream_drift(stream: DataFrame, reference: DataFrame, path: str, checkpoint: str,
-                 report: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """A drift report of every batch against a fixed reference, appended to the run history.
+def stream_drift(stream: DataFrame, reference: str, path: str, checkpoint: str, cols: Sequence[str],
+                 series_cols: Sequence[str] = ()) -> StreamingQuery:
+    """A drift report of every batch against a stored reference (``drift.save_reference``), appended to the run history.
 
-    ``report`` gets rows with ``role``. The run is stored under its batch number: a repeated
-    batch replaces its own run.
+    The rows of the reference are not read again. The run is stored under its batch number: a repeated batch replaces its own run.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
         if df.isEmpty():
             return
-        both = reference.withColumn("role", F.lit("reference")).unionByName(
-            df.select(*reference.columns).withColumn("role", F.lit("recent")))
-        (report(both).withColumn("run", F.lit(batch_id)).write.mode("overwrite")
-         .parquet(f"{path}/batch={batch_id}"))
+        found = drift_against(df.sparkSession, reference, df, cols, series_cols)
+        found.withColumn("run", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(stream, checkpoint, "append", batch)
 

@@ -1,3 +1,4 @@
+import time
 from itertools import combinations
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from gustline.functions.kolmogorov import exact_two_sample
 from gustline.operators import alerts, drift, order_stats
 from gustline.operators.order_stats import group_quantiles
+from gustline.spec import FeatureSpec
 
 
 def d_statistic(a, b):
@@ -171,3 +173,78 @@ def test_cells_are_balanced_on_log_spread_values(spark):
     assert len(cells) > 100 and cells.max() < 4 * cells.mean()
     got = order_stats.group_quantiles(df, ["f"], "v", [0.1, 0.5, 0.93], True).first()["q"]
     assert np.allclose(got, np.quantile(values, [0.1, 0.5, 0.93]))
+
+
+# -- stored reference, exact p-values, online features ----------------------------------------------
+@pytest.mark.parametrize("cell_values", [20_000, 30])
+def test_stored_reference_equals_both_samples(spark, tmp_path, monkeypatch, cell_values):
+    """Over one cell and over many, several series, a null one, values outside the reference, ties, nulls and NaN."""
+    monkeypatch.setattr(drift, "CELL_VALUES", cell_values)
+    rng = np.random.default_rng(12)
+    parts = []
+    for s, n, m, shift in (("a", 900, 80, 0.0), ("b", 200, 40, 1.5), (None, 60, 30, 0.2), ("far", 100, 20, 50.0), ("one", 50, 1, 0.0)):
+        for role, size, move in (("reference", n, 0.0), ("recent", m, shift)):
+            parts.append(pd.DataFrame({"s": s, "role": role, "x": np.round(rng.normal(move, 1, size), 1), "y": rng.normal(move, 1, size)}))
+    pdf = pd.concat(parts, ignore_index=True)
+    pdf.loc[::17, "x"] = np.nan
+    df = spark.createDataFrame(pdf.astype({"s": object}).where(pdf.notna(), None), "s string, role string, x double, y double")
+    for by in ([], ["s"]):
+        ref = df.where("role = 'reference'")
+        halves = [drift.reference_counts(ref.where(c), ["x", "y"], by) for c in ("x > 0", "x is null or x <= 0")]
+        path = str(tmp_path / f"ref-{len(by)}")
+        drift.save_reference(drift.merged_counts(*halves), path, by)
+        got = drift.drift_against(spark, path, df.where("role = 'recent'"), ["x", "y"], by)
+        want = drift.drift_report(df, ["x", "y"], by, p_column="p_asymptotic")
+        rows = [{(r["s"] if by else "", r["feature"]): (r["n_ref"], r["n_rec"], round(r["d"], 9), r["p_asymptotic"], r["psi"], r["status"])
+                 for r in d.collect()} for d in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) == (8 if by else 2)
+
+
+def test_untouched_cells_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(drift, "CELL_VALUES", 10)
+    path = str(tmp_path / "ref")
+    drift.save_reference(drift.reference_counts(spark.range(1000).select(F.col("id").cast("double").alias("x")), ["x"]), path)
+    recent = spark.createDataFrame([(5.0,), (6.0,), (700.0,)], "x double")
+    row = drift.drift_against(spark, path, recent, ["x"]).first()
+    assert row["d"] == pytest.approx(max(0.7 - 2 / 3, 2 / 3 - 7 / 1000, 0.3), abs=1e-9)
+    assert spark.read.parquet(f"{path}/steps").select("cell").distinct().count() > 50
+
+
+def test_exact_p_value_counts_all_merges():
+    for m, n in ((1, 1), (2, 3), (4, 4), (5, 7)):
+        reached = []
+        for places in combinations(range(m + n), m):
+            i = j = d = 0
+            for k in range(m + n):
+                i, j = (i + 1, j) if k in places else (i, j + 1)
+                d = max(d, abs(i * n - j * m))
+            reached.append(d)
+        for h in range(m * n + 1):
+            assert exact_two_sample(h / (m * n), m, n) == pytest.approx(np.mean([d >= h for d in reached]), abs=1e-12)
+    start = time.perf_counter()
+    assert 0 < exact_two_sample(0.2, 100_000, 72) < 0.01 and time.perf_counter() - start < 1
+
+
+def test_online_features_of_a_hot_series_in_many_batches(spark, tmp_path):
+    from gustline.operators.windows import add_window_features
+    from gustline.streaming import hourly as streams
+    from gustline.streaming.online import online_features
+    spec = FeatureSpec(lags=(1, 5), means=(3, 6), stds=(4,))
+    rng = np.random.default_rng(5)
+    at = pd.date_range("2024-01-01", periods=400, freq="h")
+    pdf = pd.DataFrame({"series": ["hot"] * 380 + ["cold"] * 20, "datetime": list(at[:380]) + list(at[:20]), "pm25": rng.normal(size=400)})
+    pdf.loc[rng.random(400) < 0.05, "pm25"] = np.nan
+    df = spark.createDataFrame(pdf, "series string, datetime timestamp_ntz, pm25 double").withColumn("pm25", F.expr("nullif(pm25, 'NaN')"))
+    for k in range(0, 400, 16):     # deliveries of 16 hours, each a batch of its own
+        first, last = at[k], at[min(k + 15, 399)]
+        df.where(F.col("datetime").between(F.lit(first), F.lit(last))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df.where("series = 'hot' and datetime < '2024-01-01 03:00:00'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))     # late
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streams.stream_append(online_features(stream, spec, ["series"]), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    assert len(query.recentProgress) > 20
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.where("late").count() == 3 and out.where("late").select(spec.columns[0]).distinct().collect()[0][0] is None
+    got = out.where("not late").toPandas().sort_values(["series", "datetime"])[spec.columns].to_numpy(float)
+    want = add_window_features(df, spec, ["series"]).toPandas().sort_values(["series", "datetime"])[spec.columns].to_numpy(float)
+    np.testing.assert_allclose(got, want, atol=1e-9)

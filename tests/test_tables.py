@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
 
 import pandas as pd
 import pytest
@@ -137,11 +137,11 @@ def test_upsert_touches_only_new_dates(spark, folder):
     new = to_spark(spark, pd.DataFrame({"s": "a", "datetime": hours(30, "2024-01-03"), "v": 2.0})).withColumn("b", F.lit(1))
     tables.upsert_partitions(old, folder, ["s", "datetime"], ["b"])
     def older():
-        return {f for f in spark.read.parquet(folder).inputFiles() if "date=2024-01-01" in f or "date=2024-01-02" in f}
+        return {f for f in tables.read_upserted(spark, folder).inputFiles() if "date=2024-01-01" in f or "date=2024-01-02" in f}
 
     before = older()
     tables.upsert_partitions(new, folder, ["s", "datetime"], ["b"])
-    got = spark.read.parquet(folder)
+    got = tables.read_upserted(spark, folder)
     assert got.count() == 78 and got.where("v = 2").count() == 30
     assert before and before == older()
     assert tables.restore(old.unionByName(old), ["s", "datetime"], ["b"]).count() == 72
@@ -224,10 +224,44 @@ def test_upsert_keeps_rows_without_time_or_series(spark, folder):
     tables.upsert_partitions(first, folder, ["s", "datetime"], ["t"])
     second = spark.createDataFrame([("b", None, 4, 2), (None, hour, 5, 2)], schema)
     tables.upsert_partitions(second, folder, ["s", "datetime"], ["t"])
-    got = {(r.s, r.datetime): r.v for r in spark.read.parquet(folder).collect()}
+    got = {(r.s, r.datetime): r.v for r in tables.read_upserted(spark, folder).collect()}
     assert got == {("a", None): 1, ("b", None): 4, (None, hour): 5, ("a", hour): 3}
 
 
+def test_a_reader_never_sees_half_an_upsert(spark, folder, monkeypatch):
+    """A job that dies while it writes, and one that dies after its folders are written, leave the old state of all dates."""
+    keys = ["s", "datetime"]
+    old = to_spark(spark, pd.DataFrame({"s": "a", "datetime": hours(72), "v": 1.0})).withColumn("b", F.lit(0))
+    tables.upsert_partitions(old, folder, keys, ["b"])
+    new = old.withColumns({"v": F.lit(2.0), "b": F.lit(1)})
+
+    def state():
+        return sorted(map(tuple, tables.read_upserted(spark, folder).groupBy("v").count().collect()))
+
+    breaks = new.withColumn("v", F.when(F.dayofmonth("datetime") == 3, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        tables.upsert_partitions(breaks, folder, keys, ["b"])
+    assert state() == [(1.0, 72)]
+    with monkeypatch.context() as m:
+        m.setattr(tables, "switch_pointer", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            tables.upsert_partitions(new, folder, keys, ["b"])
+    assert state() == [(1.0, 72)]
+    reader = tables.read_upserted(spark, folder)        # planned before the switch
+    tables.upsert_partitions(new, folder, keys, ["b"])
+    assert state() == [(2.0, 72)] and reader.where("v = 1").count() == 72
+    tables.upsert_partitions(new.where(F.dayofmonth("datetime") == 2).withColumns({"v": F.lit(3.0), "b": F.lit(2)}), folder, keys, ["b"])
+    assert state() == [(2.0, 48), (3.0, 24)]
+    import os
+    left = {d for d, _, files in os.walk(f"{folder}/data") if any(f.endswith(".parquet") for f in files)}
+    assert len(left) == 4 and len(os.listdir(f"{folder}/states")) == 2      # three dates now, and the one before
+    day = tables.read_upserted(spark, folder, date(2024, 1, 2), date(2024, 1, 2))
+    assert day.count() == 24 and all("_date=2024-01-02" in f for f in day.inputFiles())
+    assert tables.read_upserted(spark, folder, date(2030, 1, 1)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        tables.read_upserted(spark, folder + "-none")
+
+
 def test_null_series_meet(spark):
     rows = spark.createDataFrame([(None, datetime(2024, 1, 1), 1.0), ("a", datetime(2024, 1, 1), 2.0)],
                                  "s string, datetime timestamp_ntz, v double")
