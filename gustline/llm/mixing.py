@@ -2,8 +2,8 @@
 
 The leaves of a tree (domain, language, source) hold documents; every node has a weight among its siblings. The
 budget of tokens runs down the tree in proportion to the weights, but no node gets more than its leaves can give (their
-tokens times ``max_epochs``). What a node cannot use goes to its siblings first, and upwards only when all of them are
-full, because each level shares its own budget before the level above looks at what a subtree can hold.
+tokens times ``max_epochs``); leaves below a node of weight 0 can give nothing. What a node cannot use goes to its siblings first, and
+upwards only when all of them are full: the usable capacities are added up from the leaves, and each level shares its own budget among them.
 
 A leaf spends its budget on seeded epochs: whole ones, then the prefix of the next whose tokens fill the rest. The
 order of an epoch is that of a seeded hash, so a prefix is a threshold on the hash: documents are
@@ -15,7 +15,7 @@ one running sum per parent.
 Defined results: null names are a value of their own; names without a weight get weight ``default`` (0 leaves them
 out); null and empty texts have no tokens and come along with their place in the epoch; rows with equal hash,
 which are equal rows, are taken or left together; an empty table gives an empty result; other columns are
-carried along. A document may come out up to ``max_epochs`` times. A budget ends behind the last document
+carried along, whatever their names but those that begin with ``_mix_``. A document may come out up to ``max_epochs`` times. A budget ends behind the last document
 that fits whole.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gustline.llm.common import SPACE, pieces, small_or_shuffled
 from gustline.session import materialise
 
-GRAIN = 4096        # buckets that the whole corpus is cut into, about
+BUCKET_TOKENS = 500_000     # of a hash bucket, about; the documents of one bucket a leaf are sorted
 
 
 def n_tokens(text: Column) -> Column:
@@ -70,18 +70,24 @@ def leaf_budgets(leaves: DataFrame, tree: Sequence[str], weights: Sequence[DataF
 
     ``weights``: for each level a table (name of the level, weight), or None for weights by the tokens there are.
     """
-    nodes = leaves.withColumn("capacity", F.col("tokens").cast("double") * max_epochs)
-    upper = None
-    for depth, name in enumerate(tree):
-        path = list(tree[:depth + 1])
-        level = nodes.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
-        table = weights[depth]
+    # from the leaves up: what a node can use is what its children of positive weight can use
+    levels: list[DataFrame] = []
+    below = leaves.withColumn("capacity", F.col("tokens").cast("double") * max_epochs)
+    for depth in reversed(range(len(tree))):
+        name, path, table = tree[depth], list(tree[:depth + 1]), weights[depth]
+        level = below.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         if table is None:
             level = level.withColumn("weight", F.col("tokens").cast("double"))
         else:
             named = table.select(F.col(name).alias("w_name"), F.col("weight").cast("double").alias("weight"))
             level = level.join(named, F.col(name).eqNullSafe(F.col("w_name")), "left").drop("w_name")
             level = level.withColumn("weight", F.coalesce("weight", F.lit(default)))
+        level = materialise(level, f"capacity-{name}")
+        levels.insert(0, level)
+        below = level.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0.0)))
+    upper = None
+    for depth, level in enumerate(levels):
+        path = list(tree[:depth + 1])
         if upper is None:
             level = level.withColumn("given", F.lit(float(budget)))
         else:
@@ -91,7 +97,7 @@ def leaf_budgets(leaves: DataFrame, tree: Sequence[str], weights: Sequence[DataF
                 match = match & F.col(c).eqNullSafe(F.col(f"u_{c}"))
             level = level.join(above, match).drop(*[f"u_{c}" for c in tree[:depth]])
         upper = shared_budget(level.drop("tokens"), tree[:depth], "given", "weight", "capacity")
-        upper = materialise(upper.select(*path, "share"), f"budget-{name}")
+        upper = materialise(upper.select(*path, "share"), f"budget-{tree[depth]}")
     match = F.lit(True)
     for c in tree:
         match = match & F.col(c).eqNullSafe(F.col(f"u_{c}"))
@@ -101,21 +107,21 @@ def leaf_budgets(leaves: DataFrame, tree: Sequence[str], weights: Sequence[DataF
 
 def mixed_documents(docs: DataFrame, tree: dict[str, Column], weights: Sequence[DataFrame | None],
                     budget: float | None = None, max_epochs: int = 2, seed: int = 11,
-                    identity: Sequence[str] = ("doc_id", "text"), default: float = 1.0) -> DataFrame:
-    """Rows of ``docs`` with ``epoch`` (from 0), each leaf up to its budget of tokens.
+                    identity: Sequence[str] = ("doc_id", "text"), default: float = 1.0, epoch: str = "epoch") -> DataFrame:
+    """Rows of ``docs`` with ``epoch`` (from 0; a column of that name is replaced), each leaf up to its budget of tokens.
 
     ``tree``: names and expressions of the levels, from the root down. ``budget``: tokens in all; as many as there are
     if not given.
     """
-    names = [f"m_{c}" for c in tree]
+    names = [f"_mix_{c}" for c in tree]
     who = [F.col(c) for c in identity]
-    placed = docs.select("*", *[e.alias(f"m_{c}") for c, e in tree.items()], n_tokens(F.col("text")).alias("m_tokens"))
-    slim = materialise(placed.select(*names, "m_tokens", F.xxhash64(*who).alias("m_id")), "mix-tokens")
-    leaves = slim.groupBy(*names).agg(F.sum("m_tokens").alias("tokens"))
+    placed = docs.select("*", *[e.alias(f"_mix_{c}") for c, e in tree.items()], n_tokens(F.col("text")).alias("_mix_tokens"))
+    slim = materialise(placed.select(*names, "_mix_tokens", F.xxhash64(*who).alias("_mix_id")), "mix-tokens")
+    leaves = slim.groupBy(*names).agg(F.sum("_mix_tokens").alias("tokens"))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    tables = [None if w is None else w.withColumnRenamed(c, f"m_{c}") for c, w in zip(tree, weights, strict=True)]
+    tables = [None if w is None else w.withColumnRenamed(c, f"_mix_{c}") for c, w in zip(tree, weights, strict=True)]
     leaves = leaf_budgets(leaves, names, tables, float(total if budget is None else budget), max_epochs, default)
-    cuts = F.greatest(F.lit(1), F.ceil(F.col("tokens") * float(GRAIN) / max(total, 1))).cast("int")
+    cuts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / BUCKET_TOKENS)).cast("long")
     leaves = leaves.select(
         *names, "tokens", "budget", cuts.alias("cuts"),
         F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(
@@ -133,9 +139,9 @@ def mixed_documents(docs: DataFrame, tree: dict[str, Column], weights: Sequence[
         return df.join(small_or_shuffled(own, n_leaves), match).drop(*[f"l_{c}" for c in names])
 
     partial = with_leaf(slim).where("left > 0").select(
-        "leaf", "left", "cuts", "m_tokens", order_hash(seed, F.col("epochs"), F.col("m_id")).alias("at"))
+        "leaf", "left", "cuts", "_mix_tokens", order_hash(seed, F.col("epochs"), F.col("_mix_id")).alias("at"))
     partial = partial.withColumn("bucket", F.floor(F.col("at") * F.col("cuts")))
-    sums = partial.groupBy("leaf", "left", "bucket").agg(F.sum("m_tokens").alias("tokens"))
+    sums = partial.groupBy("leaf", "left", "bucket").agg(F.sum("_mix_tokens").alias("tokens"))
     run = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("tokens").over(run), F.lit(0)))
     last = materialise(sums.where(F.col("before") + F.col("tokens") > F.col("left"))
@@ -143,20 +149,20 @@ def mixed_documents(docs: DataFrame, tree: dict[str, Column], weights: Sequence[
                        .select("leaf", "b.bucket", "b.before"), "last-buckets")
     inside = partial.join(small_or_shuffled(last, n_leaves), ["leaf", "bucket"])
     order = Window.partitionBy("leaf").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("used", F.col("before") + F.sum("m_tokens").over(order))
+    inside = inside.withColumn("used", F.col("before") + F.sum("_mix_tokens").over(order))
     ends = inside.where(F.col("used") > F.col("left")).groupBy("leaf").agg(F.min("at").alias("end"))
     ends = materialise(ends, "ends")
     own = leaves.join(ends, "leaf", "left").select(
-        *[F.col(c).alias(f"l_{c}") for c in names], "epochs", "left",
-        F.when(F.col("left") > 0, F.coalesce("end", F.lit(2.0))).otherwise(F.lit(-1.0)).alias("end"))
+        *[F.col(c).alias(f"l_{c}") for c in names], F.col("epochs").alias("_mix_epochs"),
+        F.when(F.col("left") > 0, F.coalesce("end", F.lit(2.0))).otherwise(F.lit(-1.0)).alias("_mix_end"))
     match = F.lit(True)
     for c in names:
         match = match & F.col(c).eqNullSafe(F.col(f"l_{c}"))
-    out = placed.withColumn("m_id", F.xxhash64(*who)).join(small_or_shuffled(own, n_leaves), match)
-    partly = order_hash(seed, F.col("epochs"), F.col("m_id")) < F.col("end")
-    copies = F.col("epochs") + F.when(partly, 1).otherwise(0)
+    out = placed.withColumn("_mix_id", F.xxhash64(*who)).join(small_or_shuffled(own, n_leaves), match)
+    partly = order_hash(seed, F.col("_mix_epochs"), F.col("_mix_id")) < F.col("_mix_end")
+    copies = F.col("_mix_epochs") + F.when(partly, 1).otherwise(0)
     return out.where(copies > 0).select(
-        *docs.columns, F.explode(F.sequence(F.lit(0), copies - 1)).alias("epoch"))
+        *[c for c in docs.columns if c != epoch], F.explode(F.sequence(F.lit(0), copies - 1)).alias(epoch))
 
 
 #: Production weights: domains alike, languages as listed, sources alike.
@@ -170,12 +176,12 @@ def corpus_tree() -> dict[str, Column]:
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
-def corpus_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def corpus_mix(spark: SparkSession, docs: DataFrame, epoch: str = "epoch") -> DataFrame:
     """``docs`` mixed to the production weights, as many tokens as there are, each document twice at most."""
     rows = ", ".join(f"('{name}', {weight}D)" for name, weight in LANGUAGES.items())
     languages = spark.sql(f"select * from values {rows} as t(lang, weight)")
     alike = [spark.sql(f"select '' {name}, 1D weight where false") for name in ("domain", "source")]
-    return mixed_documents(docs, corpus_tree(), [alike[0], languages, alike[1]])
+    return mixed_documents(docs, corpus_tree(), [alike[0], languages, alike[1]], epoch=epoch)
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:

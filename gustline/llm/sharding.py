@@ -79,14 +79,17 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return bound
 
 
+OUTPUTS = ("size", "text_crc32", "curve", "shard", "slot")
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS, grain: int = GRAIN,
                    keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of every row with size, text_crc32, curve, shard and slot (gapless from 0).
+    """``keep`` columns of every row with size, text_crc32, curve, shard and slot (gapless from 0); kept columns of these names are replaced.
 
     Shards hold nearly equal bytes: a bucket goes where its middle lies, and a bucket holds about
     1 / ``grain`` of a shard, or a single document.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = ["doc_id"] if keep is None else [c for c in keep if c not in OUTPUTS]
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     dims = [_code(F.col("lang")), _code(F.col("source")),
             (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("double")]

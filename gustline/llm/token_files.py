@@ -10,7 +10,8 @@ A file is written under a name of its attempt and then renamed; a repeated task
 
 Defined results: a null text is encoded as an empty one, which leaves the end id alone; a null ``doc_id`` comes
 first; rows that share a ``doc_id`` follow each other in the order of their texts; an empty table gives no files and an
-empty result; strings that look like special tokens are ordinary text; other columns are not looked at.
+empty result; strings that are special tokens of the vocabulary become their ids, as the library's own call has it (``plain_specials``
+of the encoder makes them ordinary text); other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -55,14 +56,16 @@ class Encoder:
 
     The pre-tokenizer never joins a piece over a single space between two other characters, so
     encoding the parts (each with its space) gives the ids of the whole. Texts with other
-    white space beside a space are encoded whole.
+    white space beside a space, or with a special token, are encoded whole.
     """
 
-    def __init__(self, tokenizer_json: str, dtype: str) -> None:
+    def __init__(self, tokenizer_json: str, dtype: str, plain_specials: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.dtype = dtype
         self.known: dict[str, bytes] = {}       # parts behind a space
         self.before: dict[str, bytes] = {}
@@ -108,6 +111,8 @@ class Encoder:
         new -= again
         odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
         whole = {i for i, ps in enumerate(split) if odd and not odd.isdisjoint(ps)}
+        if self.special:
+            whole |= {i for i, t in enumerate(texts) if self.special.search(t)}
         self._learn(new - odd)
         # the first part has no space before it, and no part stands for an irregular text
         heads = iter(self._encode([texts[i] if i in whole else ps[0] for i, ps in enumerate(split)]))

@@ -65,9 +65,7 @@ def test_toxicity_of_odd_rows(spark, odd_docs, empty_docs):
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(catalog.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(catalog.tokenizer_path())
 
 
 def tokens_by_hand(tokenizer, docs):

@@ -109,8 +109,9 @@ def test_shards(small_docs, odd_docs, empty_docs, plain_rows):
         largest = max(r.size for r in got)
         assert all(abs(b - sum(sizes.values()) / 8) <= largest for b in sizes.values())
     assert sharding.shard_report(empty_docs).count() == 0
-    whole = sharding.hilbert_shards(odd_docs, keep=list(odd_docs.columns)[:5])
-    assert whole.count() == odd_docs.count()
+    whole = sharding.hilbert_shards(odd_docs, keep=list(odd_docs.columns))
+    assert whole.count() == odd_docs.count() and len(set(whole.columns)) == len(whole.columns)
+    assert set(odd_docs.columns) <= set(whole.columns) and whole.where("slot is null or shard is null").count() == 0
 
 
 def shares_by_hand(children, budget):
@@ -166,8 +167,47 @@ def test_mix_of_leaves(spark):
 
 
 def test_mix_of_odd_rows(spark, odd_docs, empty_docs):
-    got = mixing.corpus_mix(spark, odd_docs.drop("epoch")).collect()
+    clashing = odd_docs.withColumns({c: F.lit(1) for c in ("epochs", "left", "end", "leaf", "cuts", "budget", "tokens", "bucket")})
+    mixed = mixing.corpus_mix(spark, clashing)
+    assert mixed.columns == [*[c for c in clashing.columns if c != "epoch"], "epoch"]
+    got = mixed.collect()
     assert {r.text for r in got} <= {r.text for r in odd_docs.collect()}
-    assert mixing.corpus_mix(spark, empty_docs.drop("epoch")).count() == 0
-    again = mixing.corpus_mix(spark, odd_docs.drop("epoch")).collect()
+    assert mixing.corpus_mix(spark, empty_docs).count() == 0
+    again = mixing.corpus_mix(spark, clashing).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
+    kept = mixing.corpus_mix(spark, odd_docs, epoch="_stage_epoch").drop("_stage_epoch")
+    assert kept.columns == odd_docs.columns
+
+
+def tree_by_hand(leaves, weights, depth, budget, path=()):
+    """Budgets of the leaves under ``path``: usable capacity from below, then water poured from above."""
+    def usable(p):
+        if len(p) == depth:
+            return leaves[p]
+        below = {q[:len(p) + 1] for q in leaves if q[:len(p)] == p}
+        return sum(usable(q) for q in below if weights[q] > 0)
+
+    if len(path) == depth:
+        return {path: budget}
+    children = {q[:len(path) + 1] for q in leaves if q[:len(path)] == path}
+    out = {}
+    for child, share in shares_by_hand({c: (usable(c), weights[c]) for c in children}, budget).items():
+        out |= tree_by_hand(leaves, weights, depth, share, child)
+    return out
+
+
+@pytest.mark.parametrize("budget", [300.0, 1000.0, 5000.0])
+def test_budget_of_a_tree_with_zero_weights(spark, budget):
+    """What lies below a weight of zero gives nothing, and its share goes to siblings, then to the rest of the tree."""
+    named = [{"A": 1.0, "B": 1.0, "C": 0.5}, {"x": 0.0, "y": 1.0, "z": 2.0}, {"p": 1.0, "q": 0.0, "r": 3.0}]
+    rng = random.Random(4)
+    leaves = {(a, b, c): float(rng.choice([0, 10, 200, 700])) for a in named[0] for b in named[1] for c in named[2]}
+    leaves |= {("A", "y", "r"): 10.0, ("A", "x", "p"): 1000.0, ("A", "z", "q"): 5000.0}
+    weights = {p[:k + 1]: named[k][p[k]] for p in leaves for k in range(3)}
+    tables = [spark.createDataFrame(list(w.items()), f"l{k} string, weight double") for k, w in enumerate(named)]
+    frame = spark.createDataFrame([(*p, int(n)) for p, n in leaves.items()], "l0 string, l1 string, l2 string, tokens long")
+    got = {(r.l0, r.l1, r.l2): r.budget for r in mixing.leaf_budgets(frame, ["l0", "l1", "l2"], tables, budget, 1).collect()}
+    want = tree_by_hand(leaves, weights, 3, budget)
+    assert got == pytest.approx(want, abs=1e-6)
+    usable = sum(n for p, n in leaves.items() if all(weights[p[:k + 1]] > 0 for k in range(3)))
+    assert sum(got.values()) == pytest.approx(min(budget, usable))

@@ -141,6 +141,26 @@ def test_order_of_rules_does_not_matter(odd_docs):
     assert quality.kept_documents(odd_docs).columns == odd_docs.columns
 
 
+def test_quality_of_clashing_columns(odd_docs):
+    names = ["q_words", "q_text", "q_row", "q_rejected_by", "rejected_by", "q_n_words", "row"]
+    clashing = odd_docs.withColumns({c: F.lit("mine") for c in names})
+    kept = quality.kept_documents(clashing)
+    assert kept.columns == clashing.columns and kept.where("q_words = 'mine' and rejected_by = 'mine'").count() == kept.count()
+    assert sorted(map(repr, kept.select(odd_docs.columns).collect())) == sorted(map(repr, quality.kept_documents(odd_docs).collect()))
+    assert quality.judged(clashing).where("rejected_by is null").count() == kept.count()
+
+
+def test_order_of_rules_follows_cost_and_what_is_left(spark, monkeypatch):
+    """A rule that rejects nothing new comes last, a cheap one that rejects as much as a dear one first."""
+    rows = spark.createDataFrame([("a b",)] * 40 + [(" ".join(f"w{i}" for i in range(60)),)] * 60, "text string")
+    monkeypatch.setattr(quality, "_measure_costs", lambda sample, names: {n: 5.0 if n == "n_repeat_words" else 0.1 for n in names})
+    found = [r.name for r in quality.ordered_rules(rows, quality.RULES, sample_rows=1000)]
+    assert found[0] == "few_words" and found[-1] == "repeated_windows"
+    # each measure behind the first rule is left out for the rows that it rejects
+    df = quality.cascade(rows.withColumn("q_text", F.col("text")), [quality.RULES[0], quality.RULES[1]])
+    assert df.where("q_n_words < 20 and q_n_repeat_words is not null").count() == 0 and df.where("q_n_repeat_words is not null").count() == 60
+
+
 def test_quality_of_nothing(empty_docs):
     assert quality.report(empty_docs).count() == 0
 
