@@ -14,28 +14,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go."""
+    """Documents that a rule rejects go.
+
+    Null and empty texts go; repeated rows, ties and rows without an id are judged one by one; columns of any name stay; empty tables stay empty.
+    """
     return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group stays, the smallest id: five-word shingles, a similarity of 0.8 or more.
+
+    Rows without an id and texts without words link with nothing and stay; of rows that repeat an id, one stays; columns of any name stay.
+    """
     ship_package(spark)
     return ngram_join.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Texts without words hold none; rows that share an id are told apart by their texts; columns of any name stay.
+    """
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in target weights; a document comes once for each epoch that reaches it."""
-    return mixing.corpus_mix(spark, docs).drop("epoch")
+    """Sources in target weights; a document comes once for each epoch that reaches it.
+
+    Null names are a value of their own; texts without words come along with their place in the epoch; columns stay but for one named ``_stage_epoch``.
+    """
+    return mixing.corpus_mix(spark, docs, epoch="_stage_epoch").drop("_stage_epoch")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and its place in it."""
+    """Every document with its shard and its place in it.
+
+    Null texts have the size 1; columns that are named like the outputs (size, text_crc32, curve, shard, slot) are replaced, others stay.
+    """
     return sharding.hilbert_shards(docs, keep=list(docs.columns))
 
 
