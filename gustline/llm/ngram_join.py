@@ -10,8 +10,8 @@ into more than k parts, a part that is not empty stays equal. The inverted lists
 parts. Lists over single shingles would hold every document with a common passage, while a part ties
 together near copies only. Sets on a list are compared with its most central member first; what then links is one
 class. Only members that lie outside the largest class of their list are compared with the
-others on it, behind a filter that never loses a link (parities of the shingles in 256 cells differ in
-at most as many cells as the sets differ in shingles). A near-copy group of any size so costs about one comparison a member.
+others on it, behind filters that never lose a link (parities of the shingles in 256 cells, then in as many cells as a set has
+shingles, differ in at most as many cells as the sets differ in shingles). A near-copy group of any size so costs about one comparison a member.
 
 A size is light where its subsets cost less than its parts, each of which may need a comparison
 (``boundary``). A heavy set with fewer filled parts than needed also lists its smallest shingles, one more than a
@@ -41,8 +41,13 @@ from gustline.llm.common import BROADCAST_ROWS, text_key
 from gustline.llm.graph import components
 from gustline.session import materialise
 
-SKETCHES = "doc_id long, text_key long, n int, d1 long, d2 long, s1 long, s2 long, s3 long, s4 long"
+SKETCHES = ("doc_id long, text_key long, n int, d1 long, d2 long, s1 long, s2 long, s3 long, s4 long, parity binary, "
+            "bucket int, once binary, more binary")
 REMEMBERED = 300_000    # word hashes a task keeps; it starts anew beyond
+PACKED_KEYS = 1_000_000     # keys a task packs at a time
+BUCKET_DOCS = 2_000         # a bucket of packed keys holds about those of so many documents
+SUFFIX = 40                 # bits of a key that are counted beside its bucket; more that meet only cost work
+FILTER_BITS = 28            # the filter of keys met again has at most 2^28 bits, whatever the number of documents
 C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9,
                             0x94D049BB133111EB)]
 
@@ -184,51 +189,175 @@ def signatures(x: np.ndarray, plan: Plan) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def _parities(x: np.ndarray) -> np.ndarray:
-    odd = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _parities(x: np.ndarray, cells: int) -> np.ndarray:
+    """Parity of the number of shingles in each of ``cells`` (a power of two), as bits."""
+    odd = np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8))
 
 
 def _bytes(text: pa.Scalar) -> bytes:
     return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def _sketch_rows(plan: Plan):
+class PackedKeys:
+    """Keys of many documents by bucket (their first bits), five bytes each, so that equal ones can be found.
+
+    Keys that a task meets twice are packed once, apart: a key of very many documents is as many entries as there are packs.
+    """
+
+    def __init__(self, bucket_bits: int) -> None:
+        self.bits, self.waiting, self.held = bucket_bits, [], 0
+
+    def short(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) >> np.uint64(64 - SUFFIX - self.bits)
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(self.short(keys))
+        self.held += len(keys)
+
+    def flush(self) -> pa.RecordBatch | None:
+        if not self.held:
+            return None
+        keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.held = [], 0
+        buckets = np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(SUFFIX)
+        packs = []
+        for some in (keys[counts == 1], keys[counts > 1]):
+            raw = some.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SUFFIX // 8]
+            cuts = np.searchsorted(some, buckets)
+            packs.append([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)])
+        filled = [b for b, (once, more) in enumerate(zip(*packs, strict=True)) if once or more]
+        names = [f.split()[0] for f in SKETCHES.split(", ")]
+        kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 6 + [pa.binary()]
+        return pa.record_batch([*[pa.nulls(len(filled), kind) for kind in kinds], pa.array(filled, pa.int32()),
+                                *[pa.array([pack[b] for b in filled], pa.binary()) for pack in packs]], names=names)
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SUFFIX // 8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :SUFFIX // 8] = raw
+    return out.view("<u8").ravel()
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """The keys of a bucket that stand in several places."""
+    keys, counts = np.unique(_unpacked(table.column("once")), return_counts=True)
+    met = np.union1d(keys[counts > 1], _unpacked(table.column("more")))
+    bucket = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(SUFFIX)
+    return pa.table({"met": pa.array((met | bucket).view(np.int64))})
+
+
+@dataclass(frozen=True)
+class KeyFilter:
+    """Bits that say which keys may have been met again; its size is bounded, it never denies one that was."""
+
+    bucket_bits: int
+    bits: int
+    words: np.ndarray
+
+    @staticmethod
+    def places(short: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mixed(short ^ C[4])
+        return h >> np.uint64(64 - bits), mixed(h + C[0]) >> np.uint64(64 - bits)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for at in self.places(keys.view(np.uint64) >> np.uint64(64 - SUFFIX - self.bucket_bits), self.bits):
+            out &= (self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+CHUNK_BITS = 20
+
+
+def key_filter(met: DataFrame, rows: int, bucket_bits: int) -> KeyFilter:
+    """The filter of a stored table of met keys, put together from chunks of its bits."""
+    bits = min(FILTER_BITS, max(CHUNK_BITS, (16 * max(rows, 1)).bit_length()))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(KeyFilter.places(batch.column("met").to_numpy().view(np.uint64), bits))
+            yield pa.record_batch({"chunk": pa.array((at >> np.uint64(CHUNK_BITS)).astype(np.int32)),
+                                   "at": pa.array((at & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int32))})
+
+    def chunk(table: pa.Table) -> pa.Table:
+        filled = np.zeros(1 << CHUNK_BITS, np.uint8)
+        filled[table.column("at").to_numpy()] = 1
+        return pa.table({"chunk": table.column("chunk")[:1], "words": pa.array([np.packbits(filled, bitorder="little").tobytes()], pa.binary())})
+
+    placed = met.mapInArrow(spots, "chunk int, at int").distinct()
+    parts = placed.groupBy("chunk").applyInArrow(chunk, "chunk int, words binary").collect()     # 2^bits bits in all, at most
+    size = 1 << (CHUNK_BITS - 3)
+    words = np.zeros(1 << (bits - 3), np.uint8)
+    for part in parts:
+        words[part["chunk"] * size:(part["chunk"] + 1) * size] = np.frombuffer(part["words"], np.uint8)
+    return KeyFilter(bucket_bits, bits, words)
+
+
+def _digest(x: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(x.tobytes())
+
+
+def _sketch_rows(plan: Plan, bucket_bits: int):
+    """One sketch for each text, and between them packs of the keys of all texts."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(plan.shingle)
+        shingles, packed = Shingles(plan.shingle), PackedKeys(bucket_bits)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                sizes, digests, parities = [], [], []
-                for text in some.column("text"):
+                sizes, digests, small, sized = [], [], [], []
+                for doc, text in zip(some.column("doc_id"), some.column("text"), strict=True):
                     x = shingles(_bytes(text))
                     sizes.append(len(x))
-                    digests.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    parities.append(_parities(x))
+                    digests.append(_digest(x))
+                    small.append(_parities(x, 256).view(np.int64))
+                    sized.append(_parities(x, _cells(len(x))).tobytes())
+                    if doc.is_valid and len(x):
+                        packed.add(signatures(x, plan))
                 digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                parity = np.stack(parities)
-                yield pa.record_batch(
-                    [some.column("doc_id"), some.column("text_key"), pa.array(sizes, pa.int32()),
-                     *[pa.array(np.ascontiguousarray(digest[:, k])) for k in range(2)],
-                     *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)]],
-                    names=["doc_id", "text_key", "n", "d1", "d2", "s1", "s2", "s3", "s4"])
+                parity = np.stack(small)
+                columns = [some.column("doc_id"), some.column("text_key"), pa.array(sizes, pa.int32()),
+                           *[pa.array(np.ascontiguousarray(digest[:, k])) for k in range(2)],
+                           *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)], pa.array(sized, pa.binary()),
+                           pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())]
+                yield pa.record_batch(columns, names=[f.split()[0] for f in SKETCHES.split(", ")])
+                if packed.held >= PACKED_KEYS:
+                    yield packed.flush()
+        last = packed.flush()
+        if last is not None:
+            yield last
 
     return rows
 
 
+def _cells(n: int) -> int:
+    """Cells of the parities of a set of ``n``: as many as shingles, so that sets which do not link differ in most."""
+    return max(256, 1 << (n - 1).bit_length() if n else 0)
+
+
 def _lists_of(lists: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
 
 
-def _key_rows(plan: Plan):
+def _key_rows(plan: Plan, wanted):
+    """(key, d1, d2) of the keys that may have been met again."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(plan.shingle)
+        shingles, known = Shingles(plan.shingle), wanted.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                keys = [signatures(shingles(_bytes(text)), plan) for text in some.column("text")]
-                yield pa.record_batch([some.column("doc_id"), _lists_of(keys)], names=["doc_id", "signatures"])
+                keys, digests = [], []
+                for text in batch.slice(at, 500).column("text"):
+                    x = shingles(_bytes(text))
+                    mine = signatures(x, plan)
+                    mine = mine[known.holds(mine)] if len(mine) else mine
+                    keys.append(mine)
+                    digests.append(_digest(x))
+                sizes = [len(k) for k in keys]
+                digest = np.repeat(np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), sizes, axis=0)
+                yield pa.record_batch([pa.array(np.concatenate(keys)), *[pa.array(np.ascontiguousarray(digest[:, k])) for k in range(2)]],
+                                      names=["key", "d1", "d2"])
 
     return rows
 
@@ -245,15 +374,38 @@ def _set_rows(plan: Plan):
     return rows
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (u, v) of sets that link, by their whole sets."""
+def _may_link(plan: Plan):
+    """Keep pairs whose sets may link by their parities, folded to as many cells as the smaller side has. Never drops a link."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b, n, m in zip(*[batch.column(c) for c in ("pu", "pv")], batch.column("nu").to_pylist(), batch.column("nv").to_pylist(),
+                                  strict=True):
+                a, b = (np.frombuffer(p.as_buffer(), np.uint8) for p in (a, b))
+                while len(a) != len(b):     # cells are low bits of a shingle, so cell c of the half is c and c + half
+                    a, b = (x[:len(x) // 2] ^ x[len(x) // 2:] if len(x) > min(len(a), len(b)) else x for x in (a, b))
+                apart = int(np.bitwise_count(a ^ b).sum())
+                keep.append(apart * (plan.num + plan.den) <= (plan.den - plan.num) * (n + m))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    return rows
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (u, v) of sets that link: by parities as large as the sets first, then by their whole sets."""
+    facts = classes.select("v", "n", "parity")
+    seen = pairs.join(facts.withColumnsRenamed({"v": "u", "n": "nu", "parity": "pu"}), "u").join(
+        facts.withColumnsRenamed({"n": "nv", "parity": "pv"}), "v")
+    pairs = materialise(seen.select("u", "v", "nu", "nv", "pu", "pv").mapInArrow(_may_link(plan), "u long, v long"), "may-link")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("v")).distinct()
-    wanted = materialise(wanted.join(firsts.select("v", "first_key"), "v"), "wanted")
+    wanted = materialise(wanted.join(classes.select("v", "first"), "v").select(
+        "v", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")), "wanted")
     rows = wanted.count()
     wanted = F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
-    texts = texts.join(wanted, (F.col("doc_id") == F.col("v")) & (F.col("text_key") == F.col("first_key")))
-    sets = materialise(texts.select("v", "text").mapInArrow(_set_rows(plan), "v long, x array<long>"), "sets")
+    texts = texts.join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
+    # rows that repeat an id with its text are one set
+    sets = materialise(texts.select("v", "text").mapInArrow(_set_rows(plan), "v long, x array<long>"), "sets").dropDuplicates(["v"])
     both = (pairs.join(sets.withColumnsRenamed({"v": "u", "x": "xu"}), "u").join(sets, "v"))
     shared = F.size(F.array_intersect("xu", "x"))
     return both.where(shared * plan.den >= plan.num * (F.size("xu") + F.size("x") - shared)).select("u", "v").distinct()
@@ -270,27 +422,28 @@ def _filter(plan: Plan):
 def linked_documents(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for every row of ``docs``."""
     plan = Plan(num, den, shingle)
+    spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
-    sets = materialise(keyed.mapInArrow(_sketch_rows(plan), SKETCHES), "sketches")
-    # equal sets are one class, named by its smallest doc_id; rows of one doc_id are tied together below
+    bucket_bits = min(20, max(1, docs.count() // BUCKET_DOCS).bit_length())
+    stored = materialise(keyed.mapInArrow(_sketch_rows(plan, bucket_bits), SKETCHES), "sketches")
+    sets = stored.where("bucket is null").drop("bucket", "once", "more")
+    # equal sets are one class with a number of its own, so that texts which share a doc_id stay apart
     classes = materialise(
         sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(
             F.min(F.struct("doc_id", "text_key")).alias("first"),
-            *[F.first(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4")])
-        .select("d1", "d2", F.col("first.doc_id").alias("v"), F.col("first.text_key").alias("first_key"),
-                "n", "s1", "s2", "s3", "s4"), "classes")
-
-    # made twice, once to count and once to keep what is met again: storing all keys would take more than the texts
-    slim = (keyed.where("doc_id is not null").select("doc_id", "text")
-            .mapInArrow(_key_rows(plan), "doc_id long, signatures array<long>")
-            .select(F.explode("signatures").alias("key"), "doc_id"))
-    several = slim.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    met = materialise(slim.join(several, "key", "left_semi"), "met")
+            *[F.first(c).alias(c) for c in ("n", "s1", "s2", "s3", "s4", "parity")])
+        .withColumn("v", F.monotonically_increasing_id()), "classes")
+
+    # keys are made twice, packed to find those met again, and then only these: all of them would take more than the texts
+    met = stored.where("bucket is not null").select("bucket", "once", "more").groupBy("bucket").applyInArrow(_met, "met long")
+    met = materialise(met, "met-keys")
+    wanted = spark.sparkContext.broadcast(key_filter(met, met.count(), bucket_bits))
+    again = keyed.where("doc_id is not null").select("text").mapInArrow(_key_rows(plan, wanted), "key long, d1 long, d2 long").distinct()
+    listed = materialise(again.join(classes.select("d1", "d2", "v"), ["d1", "d2"]).select("key", "v"), "listed")
     named = sets.join(classes.select("d1", "d2", "v"), ["d1", "d2"]).select("doc_id", "v").distinct()
-    listed = materialise(met.join(named, "doc_id").select("key", "v").distinct(), "listed")
     several = materialise(listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
     heavy = materialise(listed.where("key & 1 = 0").join(several, "key"), "heavy")
-    light = listed.where("key & 1 = 1").join(several, "key").join(classes.select("v", "n").distinct(), "v")
+    light = listed.where("key & 1 = 1").join(several, "key").join(classes.select("v", "n"), "v")
     light = materialise(light.select("key", "v", "n"), "light")
     tops = light.groupBy("key").agg(F.min(F.struct("n", "v")).alias("low"), F.max("n").alias("high"))
     tops = materialise(tops.where("key & 2 = 0 or low.n < high").select("key", F.col("low.v").alias("u")), "tops")
@@ -309,8 +462,7 @@ def linked_documents(docs: DataFrame, shingle: int, num: int, den: int) -> DataF
         F.max_by("u", F.struct("weight", -F.col("u"))).alias("u"))
     stars = stars.join(facts.withColumnRenamed("v", "u").select(F.col("u"), F.struct("n", "s1", "s2", "s3", "s4").alias("a")), "u")
     stars = stars.join(facts.select("v", F.struct("n", "s1", "s2", "s3", "s4").alias("b")), "v").where(_filter(plan))
-    firsts = classes.select("v", "first_key").groupBy("v").agg(F.min("first_key").alias("first_key"))
-    stars = _linked(docs, materialise(stars.select("u", "v"), "stars"), firsts, plan)
+    stars = _linked(docs, stars.select("u", "v"), classes, plan)
     edges = materialise(light.select("u", "v").union(tied).union(stars).distinct(), "links")
 
     labels = materialise(components(edges), "labels")
@@ -325,17 +477,19 @@ def linked_documents(docs: DataFrame, shingle: int, num: int, den: int) -> DataF
     rest = (open_lists.where("label <> largest").alias("a").join(open_lists.alias("b"), "key")
             .where((F.col("a.label") != F.col("b.label")) & _filter(plan)))
     rest = rest.select(F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v")).distinct()
-    rest = _linked(docs, materialise(rest, "rest"), firsts, plan)
+    rest = _linked(docs, rest, classes, plan)
     # what is left to join are the classes found so far
     joined = components(rest.join(labels.select(F.col("v").alias("u"), F.col("component").alias("cu")), "u", "left")
                         .join(labels.select("v", F.col("component").alias("cv")), "v", "left")
                         .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
     joined = materialise(joined, "joined").withColumnsRenamed({"v": "label", "component": "whole"})
 
-    found = (classes.select("d1", "d2", "v").join(labels, "v", "left")
+    found = (classes.select("d1", "d2", "v", F.col("first.doc_id").alias("least")).join(labels, "v", "left")
              .withColumn("label", F.coalesce("component", "v")).join(joined, "label", "left")
-             .select("d1", "d2", F.coalesce("whole", "label").alias("component_id")))
+             .select("d1", "d2", "least", F.coalesce("whole", "label").alias("label")))
     found = materialise(found, "class-components")
+    smallest = found.groupBy("label").agg(F.min("least").alias("component_id"))     # partial: a component may be large
+    found = found.join(smallest, "label").select("d1", "d2", "component_id")
     linked = sets.where("n > 0 and doc_id is not null").join(found, ["d1", "d2"]).select(
         "doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 or doc_id is null").select(

@@ -6,6 +6,8 @@ from collections import defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,59 @@ def test_linked_odd_rows(odd_docs, empty_docs, plain_rows):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 9, 10, 11] and ids.count(None) == 2
 
 
+def test_near_copies_of_every_text_of_an_id(spark):
+    """Two texts share the id 7; near copies of either link to it, also where one is named by it alone."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(300)]) for _ in range(120)) for _ in range(3))
+    docs = [(7, a), (7, b), (8, b + " more"), (9, a + " more"), (5, c), (6, c + " end"), (10, c), (9, a + " more"), (11, a)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in ngram_join.report(frame).collect()}
+    assert found == {(7, 7), (8, 7), (9, 7), (11, 7), (5, 5), (6, 5), (10, 5)}
+
+
+def test_packed_keys_find_all_that_are_met_again():
+    rng = np.random.default_rng(9)
+    keys = rng.integers(-1 << 63, 1 << 63, 5000)
+    parts = [keys[:3000], keys[2500:], keys[:10], keys[:10], np.r_[keys[4990:], keys[4990:]]]
+    for bits in (1, 6):
+        batches = []
+        for some in parts:
+            packed = ngram_join.PackedKeys(bits)
+            packed.add(some)
+            batches.append(packed.flush())
+        table = pa.Table.from_batches(batches).combine_chunks()
+        met = set()
+        for bucket in set(table.column("bucket").to_pylist()):
+            met |= set(ngram_join._met(table.filter(pc.equal(table.column("bucket"), bucket))).column("met").to_pylist())
+        assert met == set(packed.short(np.r_[keys[2500:3000], keys[:10], keys[4990:]]).view(np.int64).tolist())
+        assert ngram_join.PackedKeys(bits).flush() is None
+
+
+def test_key_filter_denies_no_met_key(spark):
+    rng = np.random.default_rng(10)
+    keys = rng.integers(-1 << 63, 1 << 63, 6000)
+    short = ngram_join.PackedKeys(5).short(keys)
+    met = spark.createDataFrame([(int(x),) for x in short[:3000].view(np.int64)], "met long")
+    found = ngram_join.key_filter(met, 3000, 5).holds(keys)
+    assert found[:3000].all() and found[3000:].mean() < 0.1
+
+
+def test_sized_parities_keep_linked_pairs(spark):
+    plan, rng = ngram_join.Plan(8, 10, 5), np.random.default_rng(3)
+    rows, linked = [], []
+    for i in range(60):
+        n = int(rng.choice([100, 250, 260, 900, 1100]))
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        m = int(rng.integers(plan.least(n), plan.most(n) + 1))
+        same = plan.overlap(n, m) if i % 2 else n // 3
+        y = np.r_[x[:same], rng.integers(0, 1 << 63, m - same).astype(np.uint64)]
+        linked.append(i % 2 == 1)
+        rows.append((i, i, n, m, *[bytearray(ngram_join._parities(s, ngram_join._cells(len(s))).tobytes()) for s in (x, y)]))
+    frame = spark.createDataFrame(rows, "u long, v long, nu int, nv int, pu binary, pv binary")
+    kept = {r.u for r in frame.mapInArrow(ngram_join._may_link(plan), "u long, v long").collect()}
+    assert {i for i, yes in enumerate(linked) if yes} <= kept and len(kept) < 40
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 9), (20, 21), (30, 30), (None, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "u long, v long")).collect()))
