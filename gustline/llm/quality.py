@@ -24,7 +24,7 @@ from gustline.session import materialise
 
 WINDOW = 8
 SAMPLE_ROWS = 2_000
-RUNS = 3        # of each measure over the sample
+RUNS, COST_ROWS = 3, 300        # runs of each measure, over about so many rows of the sample
 USES_WORDS = ("n_words", "word_chars", "n_repeat_words")
 
 
@@ -154,7 +154,7 @@ def ordered_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
     sample = docs.select(F.col(text).alias("q_text")).sample(min(1.0, sample_rows / rows), seed)
     sample = materialise(sample.repartition(1), "quality-sample")      # bounded, so that a job is one task
     names = list(dict.fromkeys(m for r in rules for m in r.measures))
-    costs = _measure_costs(sample, names)
+    costs = _measure_costs(materialise(sample.sample(min(1.0, COST_ROWS / sample_rows), seed), "cost-sample"), names)
     verdicts = measured(sample, names).select(*[F.expr(r.rejects).alias(f"q_r{i}") for i, r in enumerate(rules)]).collect()   # a sample
     left, known, order, waiting = list(verdicts), set(), [], list(range(len(rules)))
     while waiting:
