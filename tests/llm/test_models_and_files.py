@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -173,6 +174,53 @@ def test_main_text_leaves_out_parts_named_like_furniture():
     assert main_text.main_text("<div class=social-policy>One, two, three.</div><div class=share-prices>Four.</div>") == "One, two, three.\n\nFour."
 
 
+WHOLE_TEXT = {     # pages of which only "Site", "Home" and "me" go; {0} and {1} are the article
+    "page-wide form": "<form id=aspnetForm><header><h2>Site</h2></header><nav>Home</nav><div id=c><h1>Title</h1><p>{0}</p><p>{1}</p></div></form>",
+    "form around an article": "<form><nav>Home</nav><article><h1>Title</h1><p>{0}</p><p>{1}</p></article></form>",
+    "header of a post": "<nav>Home</nav><div class=post><header><h1>Title</h1></header><div class=entry><p>{0}</p><p>{1}</p></div></div>",
+    "header beside paragraphs": "<header>Site</header><div class=post><header><h1>Title</h1></header><p>{0}</p><p>{1}</p><footer>me</footer></div>",
+    "masthead": "<div id=page><header><h1>Site</h1></header><nav>Home</nav><div id=c><h2>Title</h2><p>{0}</p><p>{1}</p></div><footer>me</footer></div>",
+    "masthead beside a title": "<div id=page><header><h1>Site</h1></header><div id=c><h1>Title</h1><p>{0}</p><p>{1}</p></div></div>",
+    "engines": "<article><h1>Title</h1><p>{0}</p><section id=search-engines><p>{1}</p></section></article>",
+    "immune": "<article><h1>Title</h1><section class='immune responses'><p>{0}</p></section><p>{1}</p></article>",
+    "meeting": "<main><h1>Title</h1><p>{0}</p><div id=notice-of-meeting><p>{1}</p></div></main>",
+    "figure": "<article><h1>Title</h1><p>{0}</p><figure class=side><figcaption>{1}</figcaption></figure></article>",
+    "object": "<article><h1>Title</h1><object data=x><p>{0}</p><p>{1}</p></article><object></object>",
+    "select": "<article><h1>Title</h1><select><p>{0}</p><p>{1}</p></article>",
+    "svg": "<article><h1>Title</h1><svg width=1 /><p>{0}</p><svg><text>no</text></svg><p>{1}</p></article>",
+    "spans": "<article><h1>Title</h1><p>{0}</p><span class=ad>Home <span>me</span> Site</span><p>{1}</p></article>",
+    "adverts": "<article><h1>Title</h1><p>{0}</p><div class=ad-box><p>{1}</p></div><div class=related-posts><p>{1}</p></div><p>{1}</p>"
+               "<form><p>{0}</p></form><div class=user-comments><p>{0}</p></div></article>",
+}
+
+
+@pytest.mark.parametrize("kind", WHOLE_TEXT)
+def test_main_text_loses_nothing_of_the_article(kind):
+    assert main_text.main_text(f"<body>{WHOLE_TEXT[kind]}</body>".format(*ARTICLE)) == "\n\n".join(["Title", *ARTICLE])
+
+
+def test_main_text_keeps_buttons_and_formulas_of_a_sentence():
+    page = ("<article><p>Let <math><mi>x</mi><annotation>no</annotation></math> be a number, and press <button>OK</button> to go on."
+            " <button>Share</button></p><p>More of it, here.</p></article>")
+    assert main_text.main_text(page) == "Let x be a number, and press OK to go on.\n\nMore of it, here."
+
+
+HOSTILE = {
+    "spans": "<span class=ad>a " * 3000, "articles": "<article class=ad><h1>a. " * 3000, "quotes": "<a '" * 50_000, "mixed quotes": "<a \"x>\" " * 30_000,
+    "open quotes": "<p>a <b title=\"x>'" * 15_000, "objects": "<object>a. " * 20_000, "comments": "<!-- a" * 30_000, "less": "<" * 200_000,
+    "closes": "<div>" * 18_000 + "</p></li>" * 12_000, "cells": "<tr><div><td>a. " * 12_000, "lists": "<ul><li>a, " * 20_000,
+    "headers": "<div><header><h2>a. </h2></header>" * 5_000 + "<p>b.", "forms": "<form><p>a, b. " * 12_000, "menus": "<div class=menu><p>a, b. " * 8_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_main_text_in_linear_time(kind):
+    for page in (HOSTILE[kind], HOSTILE[kind] + "<p>End, of it.</p>"):
+        began = time.process_time()
+        main_text.main_text(page)
+        assert time.process_time() - began < 3
+
+
 def test_main_text_details():
     page = "<article><p>A &amp; B\n\t c&nbsp;d<br>e <b>f</b>g.</p><table><tr><td>1<td>2</table><ul><li>x<li>y</ul></article>"
     assert main_text.main_text(page) == "A & B c d e fg.\n\n1\n\n2\n\nx\n\ny"
