@@ -10,10 +10,13 @@ suffixes, which would hold eight bytes or more for every byte of text:
    ``REACH`` places. Equal windows have equal anchors at equal distances, so the neighbourhood of an anchor that
    lies in all its windows is a key, and windows whose anchor's key is unique cannot repeat. Only
    one row per anchor (one in about 128 bytes) is shuffled.
-2. Anchors whose windows span equal bytes form one run class; in a class of two or more, every window repeats.
-3. Of classes that share the key but not the whole span, one span each is sent to the task of its key, which
-   takes it apart into windows and compares their digests. Keys with more than ``GROUP`` classes send the
-   digests of the windows instead of the spans, so that they spread over all tasks. What no other place shares stays.
+2. Anchors whose windows span equal bytes form one run class; in a class of two or more, every window repeats. Neighbouring
+   anchors of one class (in text of a short period) are one row.
+3. Of classes that share the key but not the whole span, one span each goes on. Its windows, numbered by their distance
+   from the anchor, are cut into ranges of ``WIDTHS`` windows, from wide to narrow. The bytes that lie in all
+   windows of a range are its key, its whole bytes its class, and again a class of two repeats and a range alone with its key does not. Only ranges that share
+   the key but not the class are cut further, so that about twenty rows find the edge of a repeated passage. Every step groups rows by digests, whatever their number:
+   no task holds a group. What no other place shares stays.
 
 ``keep_first`` leaves the first place of each string (smaller ``doc_id``, then smaller offset), which is what the
 longest previous factor alone marks; without it, the next factor counts as well and all places go.
@@ -39,12 +42,10 @@ from gustline.session import materialise
 LENGTH = 400
 REACH = 320
 GRAM = 8
-GROUP = 1000        # classes of a key that one task compares
-INLINE_SPANS = 400_000      # spans, or documents with cuts, up to which they are sent to the texts, not the texts to them
-ANCHORS = "doc_id long, text_key int, lo int, hi int, key long, f1 long, f2 long"
-SPANS = "doc_id long, text_key int, lo int, hi int, key long, alone boolean, bytes binary"
-WINDOWS = "doc_id long, text_key int, place int, alone boolean, w1 long, w2 long"
-STARTS = "doc_id long, text_key int, lo int, hi int"
+WIDTHS = (40, 5, 1)     # windows of a range, of spans of up to REACH
+ANCHORS = "doc_id long, text_key long, lo int, hi int, end int, n int, at int, key long, f1 long, f2 long"
+SPANS = "doc_id long, text_key long, lo int, hi int, at int, alone boolean, bytes binary"
+RANGES = "span long, doc_id long, text_key long, lo int, hi int, alone boolean, key long, f1 long, f2 long"
 RESULT = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -84,24 +85,28 @@ def _anchor_rows(length: int, reach: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                counts, los, his, keys, spans = [], [], [], [], []
+                counts, columns, keys, spans = [], [], [], []
                 for text in some.column("text"):
                     data = text.as_buffer().to_pybytes()
                     place, lo, hi = anchors_of(data, length, reach)
                     counts.append(len(lo))
-                    los.append(lo)
-                    his.append(hi)
+                    columns.append((lo, hi, place))
                     keys += [xxhash.xxh3_64_intdigest(data[a:a + shared]) for a in place.tolist()]
                     spans += [data[i:j + length] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
                 if not keys:
                     continue
-                which = pa.array(np.repeat(np.arange(len(counts)), counts))
-                digests = _digests(spans)
+                which = np.repeat(np.arange(len(counts)), counts)
+                lo, hi, place = (np.concatenate(c).astype(np.int32) for c in zip(*columns, strict=True))
+                digests, key = _digests(spans), np.array(keys, np.uint64).view(np.int64)
+                mark = np.column_stack([which, key, digests])
+                runs = np.flatnonzero(np.concatenate(([True], (mark[1:] != mark[:-1]).any(axis=1))))
+                ends = np.append(runs[1:], len(lo))
+                which = pa.array(which[runs])
                 yield pa.record_batch(
-                    [some.column("doc_id").take(which), some.column("text_key").take(which),
-                     pa.array(np.concatenate(los).astype(np.int32)), pa.array(np.concatenate(his).astype(np.int32)),
-                     pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1])],
-                    names=["doc_id", "text_key", "lo", "hi", "key", "f1", "f2"])
+                    [some.column("doc_id").take(which), some.column("text_key").take(which), pa.array(lo[runs]), pa.array(hi[runs]),
+                     pa.array(hi[ends - 1]), pa.array((ends - runs).astype(np.int32)), pa.array(place[runs]),
+                     pa.array(key[runs]), pa.array(digests[runs, 0]), pa.array(digests[runs, 1])],
+                    names=["doc_id", "text_key", "lo", "hi", "end", "n", "at", "key", "f1", "f2"])
 
     return rows
 
@@ -117,74 +122,41 @@ def _span_rows(length: int):
                 same = pa.array(np.zeros(len(spans), np.int32))
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(k, 1).take(same), batch.column("text_key").slice(k, 1).take(same),
-                     spans.field("lo"), spans.field("hi"), spans.field("key"), spans.field("alone"),
+                     spans.field("lo"), spans.field("hi"), spans.field("at"), spans.field("alone"),
                      pa.array([data[i:j + length] for i, j in zip(lo, hi, strict=True)], pa.binary())],
-                    names=["doc_id", "text_key", "lo", "hi", "key", "alone", "bytes"])
+                    names=["doc_id", "text_key", "lo", "hi", "at", "alone", "bytes"])
 
     return rows
 
 
-def _windows_of(data: bytes, length: int) -> np.ndarray:
-    return _digests([data[p:p + length] for p in range(len(data) - length + 1)])
-
-
-def _window_rows(length: int):
-    """A row for each window of each span."""
+def _range_rows(length: int, width: int):
+    """The wanted windows of each span in ranges of ``width``, counted from the anchor, each with its key and digest."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                digests = [_windows_of(data, length) for data in some.column("bytes").to_pylist()]
-                counts = [len(d) for d in digests]
-                which, all_digests = pa.array(np.repeat(np.arange(len(counts)), counts)), np.concatenate(digests)
-                places = np.repeat(some.column("lo").to_numpy(), counts) + np.concatenate([np.arange(c) for c in counts])
+            for begin in range(0, batch.num_rows, 1000):
+                some = batch.slice(begin, 1000)
+                which, los, his, alones, keys, pieces = [], [], [], [], [], []
+                columns = (some.column(c).to_pylist() for c in ("lo", "at", "bytes", "wanted"))
+                for k, (first, at, data, wanted) in enumerate(zip(*columns, strict=True)):
+                    for r in wanted:
+                        for j in range((at - r["hi"]) // width, (at - r["lo"]) // width + 1):
+                            # windows that start j * width to (j + 1) * width - 1 before the anchor
+                            latest = at - j * width
+                            lo, hi = max(r["lo"], latest - width + 1), min(r["hi"], latest)
+                            which.append(k)
+                            los.append(lo)
+                            his.append(hi)
+                            alones.append(r["alone"])
+                            keys.append(xxhash.xxh3_64_intdigest(data[latest - first:latest - width + 1 + length - first], j))
+                            pieces.append(b"%d,%d;" % (at - lo, at - hi) + data[lo - first:hi + length - first])
+                if not which:
+                    continue
+                digests, which = _digests(pieces), pa.array(which)
                 yield pa.record_batch(
-                    [some.column("doc_id").take(which), some.column("text_key").take(which),
-                     pa.array(places.astype(np.int32)), some.column("alone").take(which),
-                     pa.array(all_digests[:, 0]), pa.array(all_digests[:, 1])],
-                    names=["doc_id", "text_key", "place", "alone", "w1", "w2"])
-
-    return rows
-
-
-def _group_rows(length: int, keep_first: bool):
-    """Repeated windows among the spans of each key, as ranges of starts; spans come in the order of keys and places."""
-    def found(group: list[tuple]) -> list[tuple]:
-        digests = [_windows_of(span[-1], length) for span in group]
-        whole = np.ascontiguousarray(np.concatenate(digests)).view("V16").ravel()
-        _, first, at, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-        again = count[at] > 1
-        if keep_first:
-            again &= first[at] != np.arange(len(whole))
-        out, begin = [], 0
-        for (doc, key, lo, alone, _), d in zip(group, digests, strict=True):
-            mine = np.concatenate(([False], again[begin:begin + len(d)] & alone, [False]))
-            begin += len(d)
-            edges = np.flatnonzero(mine[1:] != mine[:-1])
-            out += [(doc, key, lo + int(i), lo + int(j) - 1) for i, j in zip(edges[::2], edges[1::2], strict=True)]
-        return out
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                               names=["doc_id", "text_key", "lo", "hi"])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-        for batch in batches:
-            out = []
-            columns = [batch.column(c).to_pylist() for c in ("key", "doc_id", "text_key", "lo", "alone", "bytes")]
-            for k, *span in zip(*columns, strict=True):
-                if k != key and group:
-                    out += found(group)
-                    group = []
-                key = k
-                if not group or group[-1][:3] != tuple(span[:3]):       # equal rows are one document here
-                    group.append(tuple(span))
-            yield batch_of(out)
-        if group:
-            yield batch_of(found(group))
+                    [*[some.column(c).take(which) for c in ("span", "doc_id", "text_key")], pa.array(los, pa.int32()),
+                     pa.array(his, pa.int32()), pa.array(alones), pa.array(np.array(keys, np.uint64).view(np.int64)),
+                     pa.array(digests[:, 0]), pa.array(digests[:, 1])],
+                    names=["span", "doc_id", "text_key", "lo", "hi", "alone", "key", "f1", "f2"])
 
     return rows
 
@@ -220,15 +192,12 @@ def _cut_rows(length: int, with_text: bool):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def _beside_text(docs: DataFrame, per_document: DataFrame, how: str, weight: int) -> DataFrame:
-    """Texts with what is known of each document. A small table, of counted ``weight``, is sent to the texts; else
-    both sides are shuffled and the texts streamed past the table."""
-    texts = _keyed(docs).alias("t")
-    known = F.broadcast(per_document) if weight <= INLINE_SPANS else per_document.hint("shuffle_hash")
-    known = known.alias("k")
+def _beside_text(docs: DataFrame, per_document: DataFrame, how: str) -> DataFrame:
+    """Texts with what is known of each document: both are shuffled, and the texts streamed past the smaller table."""
+    texts, known = _keyed(docs).alias("t"), per_document.hint("shuffle_hash").alias("k")
     joined = texts.join(known, F.col("t.doc_id").eqNullSafe(F.col("k.doc_id"))
                         & (F.col("t.text_key") == F.col("k.text_key")), how)
     return joined.select("t.doc_id", "t.text_key", "t.text",
@@ -249,6 +218,36 @@ def _merged(starts: DataFrame) -> DataFrame:
     return listed.select("doc_id", "text_key", F.aggregate("r", none, add).alias("starts"))
 
 
+def _mixed(classes: DataFrame, keep_first: bool) -> DataFrame:
+    """Keys of several classes of which one at least is not settled."""
+    open_classes = F.lit(True) if keep_first else (F.col("copies") == 1) & F.col("first.alone")
+    return (classes.groupBy("key").agg(F.count("*").alias("n"), F.max(open_classes).alias("open"))
+            .where("n > 1 and open").select("key"))
+
+
+def _narrowed(spans: DataFrame, length: int, keep_first: bool, reach: int) -> list[DataFrame]:
+    """Ranges of starts of repeated windows within spans that share keys, width after width."""
+    found = []
+    wanted = spans.withColumn("wanted", F.array(F.struct("lo", "hi", "alone")))
+    for width in [w for w in WIDTHS if w == 1 or w < reach]:
+        wanted = wanted.select("span", "doc_id", "text_key", "lo", "at", "bytes", "wanted")
+        ranges = materialise(wanted.mapInArrow(_range_rows(length, width), RANGES), f"ranges-{width}")
+        place = F.struct("doc_id", "text_key", "lo", "hi", "span", "alone")
+        classes = materialise(ranges.groupBy("key", "f1", "f2").agg(F.count("*").alias("copies"), F.min(place).alias("first")),
+                              f"range-classes-{width}")
+        again = ranges.where("alone").join(classes.where("copies > 1"), ["key", "f1", "f2"])
+        if keep_first:
+            again = again.where(~F.struct("doc_id", "text_key", "lo").eqNullSafe(
+                F.struct("first.doc_id", "first.text_key", "first.lo")))
+        found.append(again.select("doc_id", "text_key", "lo", "hi"))
+        if width > 1:
+            alone = F.lit(True) if keep_first else (F.col("copies") == 1) & F.col("first.alone")
+            left = classes.join(_mixed(classes, keep_first), "key").groupBy(F.col("first.span").alias("span")).agg(
+                F.collect_list(F.struct("first.lo", "first.hi", alone.alias("alone"))).alias("wanted"))
+            wanted = spans.join(left, "span")
+    return found
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """doc_id, text_key, starts: for each document with repeats, ranges (lo, hi) of starts of repeated windows.
 
@@ -257,48 +256,27 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     reach = max(1, min(REACH, length - GRAM))
     long_enough = _keyed(docs).where(F.octet_length("text") >= length)
     anchors = materialise(long_enough.mapInArrow(_anchor_rows(length, reach), ANCHORS), "anchors")
-    shared = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = anchors.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     anchors = materialise(anchors.join(shared, "key", "left_semi"), "shared-anchors")
 
-    place = F.struct("doc_id", "text_key", "lo", "hi")
-    classes = materialise(anchors.groupBy("key", "f1", "f2").agg(F.count("*").alias("copies"), F.min(place).alias("first")),
+    place = F.struct("doc_id", "text_key", "lo", "hi", "at", F.lit(True).alias("alone"))
+    classes = materialise(anchors.groupBy("key", "f1", "f2").agg(F.sum("n").alias("copies"), F.min(place).alias("first")),
                           "run-classes")
-    mixed = classes.groupBy("key").agg(F.count("*").alias("n"), F.min("copies").alias("fewest")).where("n > 1")
-    if not keep_first:
-        mixed = mixed.where("fewest = 1")
-    mixed = materialise(mixed.select("key", (F.col("n") > GROUP).alias("large")), "mixed-keys")
-    apart = materialise(classes.join(mixed, "key").select(
-        "first.doc_id", "first.text_key", "first.lo", "first.hi", "key", "large",
-        ((F.col("copies") == 1) | F.lit(keep_first)).alias("alone")), "spans")
-    starts = []
-    for large in (False, True):
-        some = apart.where(F.col("large") == large)
-        weight = some.count()
-        if weight == 0:
-            continue
-        listed = some.groupBy("doc_id", "text_key").agg(
-            F.collect_list(F.struct("lo", "hi", "key", "alone")).alias("spans"))
-        spans = _beside_text(docs, listed, "inner", weight)
-        spans = spans.mapInArrow(_span_rows(length), SPANS)
-        if not large:
-            spans = spans.repartition("key").sortWithinPartitions("key", "doc_id", "text_key", "lo")
-            starts.append(spans.mapInArrow(_group_rows(length, keep_first), STARTS))
-            continue
-        windows = materialise(spans.mapInArrow(_window_rows(length), WINDOWS).distinct(), "windows")
-        spot = F.struct("doc_id", "text_key", "place")
-        kept = [F.min(spot).alias("earliest")] if keep_first else []
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), *kept).where("n > 1")
-        again = windows.where("alone").join(twice, ["w1", "w2"])
-        if keep_first:
-            again = again.where(~spot.eqNullSafe(F.col("earliest")))
-        starts.append(again.select("doc_id", "text_key", F.col("place").alias("lo"), F.col("place").alias("hi")))
-
-    several = classes.where("copies > 1").select("f1", "f2", "first")
-    whole = anchors.join(several, ["f1", "f2"])
+    apart = classes.join(_mixed(classes, keep_first), "key").select(
+        "first.doc_id", "first.text_key", "first.lo", "first.hi", "first.at",
+        ((F.col("copies") == 1) | F.lit(keep_first)).alias("alone"))
+    listed = apart.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi", "at", "alone")).alias("spans"))
+    spans = _beside_text(docs, listed, "inner").mapInArrow(_span_rows(length), SPANS)
+    spans = materialise(spans.withColumn("span", F.monotonically_increasing_id()), "spans")
+
+    whole = anchors.join(classes.where("copies > 1").select("key", "f1", "f2", "first"), ["key", "f1", "f2"])
+    lo = F.col("lo")
     if keep_first:
-        whole = whole.where(~place.eqNullSafe(F.col("first")))
-    found = whole.select("doc_id", "text_key", "lo", "hi")
-    for some in starts:
+        is_first = F.struct("doc_id", "text_key", "lo").eqNullSafe(F.struct("first.doc_id", "first.text_key", "first.lo"))
+        lo = F.when(is_first, F.col("hi") + 1).otherwise(lo)
+        whole = whole.where(~is_first | (F.col("n") > 1))
+    found = whole.select("doc_id", "text_key", lo.alias("lo"), F.col("end").alias("hi"))
+    for some in _narrowed(spans, length, keep_first, reach):
         found = found.unionByName(some)
     return materialise(_merged(found), "starts")
 
@@ -309,7 +287,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     A cut inside a character leaves bytes that are no text; ``text`` drops those, the digest keeps them.
     """
     starts = repeated_starts(docs, length, keep_first)
-    return _beside_text(docs, starts, "left", starts.count()).select("doc_id", "text", "starts").mapInArrow(
+    return _beside_text(docs, starts, "left").select("doc_id", "text", "starts").mapInArrow(
         _cut_rows(length, with_text), RESULT)
 
 

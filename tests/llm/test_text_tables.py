@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,10 +191,10 @@ def test_repeated_strings(spark, small_docs, plain_rows):
     assert in_order(repeats.report(docs).collect()) == in_order(spans_by_hand(plain_rows(docs), 400))
 
 
-@pytest.mark.parametrize("group", [0, 1000])
+@pytest.mark.parametrize("widths", [(1,), (7, 3, 1), repeats.WIDTHS])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_repeated_short_strings(spark, monkeypatch, keep_first, group):
-    monkeypatch.setattr(repeats, "GROUP", group)
+def test_repeated_short_strings(spark, monkeypatch, keep_first, widths):
+    monkeypatch.setattr(repeats, "WIDTHS", widths)
     rng = random.Random(5)
     base = "".join(rng.choice("abcé") for _ in range(300))
     texts = [base, base, base[:120] + "x" + base[120:], base[50:200], "a" * 90, "ab" * 40, None, "", base[100:140],
@@ -205,6 +206,29 @@ def test_repeated_short_strings(spark, monkeypatch, keep_first, group):
         spans_by_hand(rows, 40, keep_first))
 
 
+def test_anchors_of_short_periods_are_few():
+    text = pa.array(["a" * 20_000, "abc" * 7_000, "", "x" * 400], pa.large_string())
+    batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array([5, 6, 7, 8]), text], names=["doc_id", "text_key", "text"])
+    rows = pa.Table.from_batches(repeats._anchor_rows(400, 320)([batch])).to_pylist()
+    assert len(rows) < 12 and [r["n"] for r in rows if r["doc_id"] == 1] == [20_000 - 399]
+    assert {(r["doc_id"], max(q["end"] for q in rows if q["doc_id"] == r["doc_id"])) for r in rows} == {(1, 19_600), (2, 20_600), (4, 0)}
+
+
+def test_repeats_of_many_near_copies(spark):
+    """Thousands of classes of one key: copies that differ close to a common passage of about the length, and equal rows without an id."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))     # noqa: E731
+    common = word(60)
+    rows = [(k, word(rng.randrange(30)) + common[rng.randrange(25):60 - rng.randrange(25)] + word(30)) for k in range(300)]
+    rows += [(None, word(20) + common)] * 3 + [(k, "x" * k + common) for k in range(300, 320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep_first in (False, True):
+        got = repeats.without_repeats(docs, 40, keep_first).collect()
+        seen = sorted(set(rows), key=lambda r: (r[0] is not None, r[0])) if keep_first else rows     # equal rows count as one in this order
+        assert in_order({(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}) == in_order(
+            set(spans_by_hand(seen, 40, keep_first)))
+
+
 def test_repeated_strings_of_odd_rows(odd_docs, empty_docs, plain_rows):
     rows = [r for r in plain_rows(odd_docs) if len(r[1] or "") < 10_000]
     docs = odd_docs.where("text is null or length(text) < 10000")
