@@ -114,7 +114,7 @@ def exact_hits(docs: DataFrame, distinct: DataFrame, starts: DataFrame) -> DataF
                          F.array_distinct(F.transform("found", lambda s: s["phrase_id"])).alias("phrase_ids"))
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, slop: int, rarest: int = 3) -> DataFrame:
+def proximity_starts(index: DataFrame, terms: DataFrame, slop: int, rarest: int = 3) -> DataFrame:
     """(phrase_id, doc_id, text_key, start): the rarest term lies at ``start`` and each other of the
     ``rarest`` terms within ``slop`` words of its place in the phrase.
 
@@ -137,6 +137,31 @@ def proximity_matches(index: DataFrame, terms: DataFrame, slop: int, rarest: int
     return met.select(*names).union(single.select(*names))
 
 
+def proximity_matches(docs: DataFrame, distinct: DataFrame, index: DataFrame, terms: DataFrame, slop: int, rarest: int = 3) -> DataFrame:
+    """(phrase_id, doc_id, text_key, start): the rarest term of the phrase lies where it would if the phrase began at
+    ``start``, and every other term within ``slop`` words of its place.
+
+    The lists of the rarest terms name the starts; the other terms are looked for in the documents that hold some.
+    ``start`` is negative where the terms in front are missing their places before the first word.
+    """
+    starts = proximity_starts(index, terms, slop, rarest)
+    listed = (starts.join(distinct, "phrase_id").groupBy("doc_id", "text_key")
+              .agg(F.collect_list(F.struct("start", "phrase_id", F.split("phrase", " ").alias("terms"))).alias("starts"))).alias("c")
+    read = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").distinct().alias("d")
+    joined = read.join(listed, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_key") == F.col("c.text_key")))
+    joined = joined.select("d.doc_id", "d.text_key", words(F.col("text")).alias("w"), "starts")
+
+    def found(s: Column) -> Column:
+        def near(term: Column, offset: Column) -> Column:
+            begin, end = s["start"] + offset - slop, s["start"] + offset + (slop + 1)
+            begin = F.greatest(begin, F.lit(0))
+            return F.array_contains(F.slice("w", begin + 1, F.greatest(end - begin, F.lit(0))), term)
+        return ~F.array_contains(F.transform(s["terms"], near), False)
+
+    return joined.select("doc_id", "text_key", F.explode(F.filter("starts", found)).alias("s")).select(
+        "s.phrase_id", "doc_id", "text_key", "s.start")
+
+
 def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document row: doc_id, text_key, n_words, n_hit, item_ids (sorted strings)."""
     distinct, owners = phrases(items, length)

@@ -71,12 +71,41 @@ def test_proximity(spark):
     distinct, _ = decontamination.phrases(items)
     index = decontamination.build_index(docs)
     terms = decontamination.phrase_terms(distinct, index)
-    near = decontamination.proximity_matches(index, terms, 3)
+    near = decontamination.proximity_matches(docs, distinct, index, terms, 3)
     assert {r.doc_id for r in near.collect()} == {1, 2}
     exact = decontamination.phrase_starts(index, terms, rarest=3)
     assert {r.doc_id for r in exact.collect()} == {2}
 
 
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_proximity_of_every_term(spark, slop):
+    rng = random.Random(slop)
+    phrase = "a b c d a e f g h i".split()
+    rows = [(None, None), (None, " ".join(phrase)), (0, ""), (1, " ".join(phrase[:-1]) + " z"), (2, "z " + " ".join(phrase[::-1])), (3, " ".join(phrase[2:]))]
+    for k in range(4, 40):
+        w = phrase.copy()
+        for _ in range(rng.randrange(3)):
+            i, j = rng.randrange(10), rng.randrange(10)
+            w[i], w[j] = w[j], w[i]
+        rows.append((k, " ".join(["z"] * rng.randrange(4) + w + w[:rng.randrange(10)])))
+    rows += rows[-3:]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct, _ = decontamination.phrases(spark.createDataFrame([(1, " ".join(phrase)), (2, "z a b")], "item_id long, text string"))
+    index = decontamination.build_index(docs, distinct.select(F.explode(F.split("phrase", " ")).alias("term")))
+    terms = decontamination.phrase_terms(distinct, index)
+    leads = {r.phrase_id: (r.term, r.offset) for r in terms.where("rank = 1").collect()}
+    want = set()
+    for p, text in {r.phrase_id: r.phrase for r in distinct.collect()}.items():
+        lead, at = leads[p]
+        for doc, t in set(rows):
+            w = (t or "").split()
+            for start in [i - at for i, word in enumerate(w) if word == lead]:
+                if all(term in w[max(0, start + o - slop):max(0, start + o + slop + 1)] for o, term in enumerate(text.split())):
+                    want.add((p, doc, start))
+    got = [(r.phrase_id, r.doc_id, r.start) for r in decontamination.proximity_matches(docs, distinct, index, terms, slop).collect()]
+    assert in_order(got) == in_order(want) and len(want) > 3
+
+
 def verdict_by_hand(url, rules):
     host = path = ""
     if url and "://" in url:
