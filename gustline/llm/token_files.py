@@ -17,14 +17,15 @@ of the encoder makes them ordinary text); other columns are not looked at.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -33,13 +34,20 @@ from gustline.session import materialise, shared_dir
 
 LENGTH = 1024
 BATCH_SEQUENCES = 256
-#: Parts whose ids a worker remembers, twice; bounds memory only.
+#: Pieces whose ids a worker remembers, twice; bounds memory only.
 REMEMBERED = 450_000
 INDEX = "part int, doc_id long, position long, n_tokens long"
 
 
-#: Letters, then marks, then perhaps a line end and letters and marks again. No apostrophes: contractions are pieces.
-SENTENCE_PART = re.compile(r"([^\W\d_]+)([.,;:!?]*)(\n?)([^\W\d_]*)([.,;:!?]*)")
+#: Texts are encoded together up to this many bytes, a longer one alone.
+SLICE_BYTES = 4 << 20
+#: Kinds of characters: letters (and the space before a part), marks, line ends, all others. An apostrophe is no mark:
+#: contractions are pieces. Letters beyond the Latin, Greek and Cyrillic blocks count as others.
+LETTER, MARK, LINE, OTHER = range(4)
+KINDS = np.array([LETTER if chr(c).isalpha() else OTHER for c in range(0x530)] + [OTHER], np.uint8)
+KINDS[ord(" ")] = LETTER
+KINDS[[ord(c) for c in punctuation if c != "'"]] = MARK
+KINDS[ord("\n")] = LINE
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
@@ -51,12 +59,29 @@ def encoder_of(tokenizer_json: str, dtype: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def gathered(pool: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of a pool (run after run, of these sizes) that ``which`` names, one behind the other."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    shift = (np.cumsum(sizes) - sizes)[which] - (ends - n)
+    return pool[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _kinds(text: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte belongs to."""
+    points = np.frombuffer(text.tobytes().decode().encode("utf-32-le"), np.uint32)
+    return KINDS[np.minimum(points, len(KINDS) - 1)][np.cumsum(text & 0xC0 != 0x80) - 1]
+
+
 class Encoder:
-    """Ids of whole texts as bytes, remembering the ids of parts between single spaces.
+    """Ids of whole texts, remembering the ids of pieces.
 
     The pre-tokenizer never joins a piece over a single space between two other characters, so
-    encoding the parts (each with its space) gives the ids of the whole. Texts with other
-    white space beside a space, or with a special token, are encoded whole.
+    encoding the parts (each with its space) gives the ids of the whole. Letters, marks behind them and a
+    line end between words are pieces of their own, so most parts are put together from pieces
+    that other parts share. Texts with other white space beside a space, or with a special
+    token, are encoded whole. A batch is split into parts and pieces in Arrow; Python sees
+    each distinct piece once.
     """
 
     def __init__(self, tokenizer_json: str, dtype: str, plain_specials: bool = False) -> None:
@@ -64,12 +89,10 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = plain_specials
-        specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.dtype = dtype
-        self.known: dict[str, bytes] = {}       # parts behind a space
+        self.specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype(dtype)
+        self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}       # pieces without a space
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes()
@@ -79,45 +102,91 @@ class Encoder:
         """Ids of words of letters, each behind a space and so a piece of its own, from few long texts."""
         for at in range(0, len(words), 1000):
             some = words[at:at + 1000]
-            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            found = self.tokenizer.encode("".join(some), add_special_tokens=False)
             ids, word = np.asarray(found.ids, self.dtype).tobytes(), np.asarray(found.word_ids, np.int32)
-            size = np.dtype(self.dtype).itemsize
+            size = self.dtype.itemsize
             cuts = [0, *((np.flatnonzero(np.diff(word)) + 1) * size).tolist(), len(ids)]
             if len(cuts) != len(some) + 1:      # letters here that are none to the tokenizer
-                yield from self._encode([" " + w for w in some])
+                yield from self._encode(some)
                 continue
             yield from [ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Remember the ids of new parts. Letters, marks behind them and a line end between words are pieces of
-        their own, so most parts are put together from pieces that other parts share."""
-        split = {p: m.groups() for p in new if (m := SENTENCE_PART.fullmatch(p))}
-        words = list({g[0] for g in split.values()}.difference(self.known))
+    def _learn(self, new: list[str]) -> None:
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
         self.known.update(zip(words, self._encode_words(words), strict=True))
-        rough = [p for p in new if p not in split]
-        self.known.update(zip(rough, self._encode([" " + p for p in rough]), strict=True))
-        others = [o for o in {o for g in split.values() for o in g[1:] if o} if o not in self.plain]
-        self.plain.update(zip(others, self._encode(others), strict=True))
-        for p, (word, *rest) in split.items():
-            self.known[p] = self.known[word] + b"".join([self.plain[o] for o in rest if o])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        others = [p for p in new if p not in self.known]
+        self.known.update(zip(others, self._encode(others), strict=True))
+
+    def _pool(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one behind the other, and how many each has."""
         if len(self.known) > REMEMBERED:        # what is met again comes back from the generation before
-            self.before, self.known, self.plain = self.known, {}, {}
-        new = set().union(*split).difference(self.known)
-        again = new.intersection(self.before)
-        self.known.update((p, self.before[p]) for p in again)
-        new -= again
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        whole = {i for i, ps in enumerate(split) if odd and not odd.isdisjoint(ps)}
-        if self.special:
-            whole |= {i for i, t in enumerate(texts) if self.special.search(t)}
-        self._learn(new - odd)
-        # the first part has no space before it, and no part stands for an irregular text
-        heads = iter(self._encode([texts[i] if i in whole else ps[0] for i, ps in enumerate(split)]))
-        get = self.known.__getitem__
-        return [next(heads) if i in whole else next(heads) + b"".join(map(get, ps[1:])) for i, ps in enumerate(split)]
+            self.before, self.known = self.known, {"": b""}
+        new = [p for p in pieces if p not in self.known]
+        self.known.update((p, self.before[p]) for p in new if p in self.before)
+        self._learn([p for p in new if p not in self.before])
+        return self._joined([self.known[p] for p in pieces])
+
+    def _joined(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(runs), self.dtype), sizes
+
+    def _parts(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of distinct parts behind a space. Parts of plain letters, marks and single line ends are cut
+        where the kind of character changes; others are one piece."""
+        spaced = pc.binary_join_element_wise(" ", parts, "")
+        _, offsets, data = spaced.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[spaced.offset:spaced.offset + len(parts) + 1]
+        first, lengths = offsets[:-1], np.diff(offsets)
+        kind = _kinds(np.frombuffer(data, np.uint8)[:offsets[-1]])
+        cut = np.concatenate([[True], kind[1:] != kind[:-1]])
+        whole = np.logical_or.reduceat((kind == OTHER) | ((kind == LINE) & ~cut), first)
+        whole |= kind[first + (lengths > 1)] != LETTER
+        cut &= ~np.repeat(whole, lengths)
+        cut[first] = True
+        at = np.append(np.flatnonzero(cut), offsets[-1]).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
+        pool, sizes = self._pool(pieces.dictionary.to_pylist())
+        which = pieces.indices.to_numpy()
+        return gathered(pool, sizes, which), np.add.reduceat(sizes[which], np.searchsorted(at, first))
+
+    def __call__(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, each with ``end``, and how many each has."""
+        split = pc.split_pattern(texts, " ")
+        n, starts = len(texts), split.offsets.to_numpy().astype(np.int64)
+        starts = starts[:n + 1] - starts[0]
+        parts = split.flatten().dictionary_encode()
+        odd = pc.or_(pc.equal(parts.dictionary, ""),
+                     pc.not_equal(pc.utf8_trim_whitespace(parts.dictionary), parts.dictionary)).to_numpy(zero_copy_only=False)
+        which = parts.indices.to_numpy().astype(np.int64)
+        whole = np.logical_or.reduceat(odd[which], starts[:-1])
+        for special in self.specials:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        pool, sizes = self._parts(pc.if_else(pa.array(odd), "", parts.dictionary))
+        # the first part has no space before it; behind a text encoded whole, and for its other parts, there is nothing
+        first = pc.if_else(pa.array(whole), texts, split.flatten().take(pa.array(starts[:-1])))
+        heads, head_sizes = self._joined(self._encode(first.to_pylist()))
+        ends = np.frombuffer(end, self.dtype)
+        n_parts, n_docs = len(sizes), np.diff(starts)
+        nothing, the_end = n_parts + n, n_parts + n + 1
+        which[np.repeat(whole, n_docs)] = nothing
+        which[starts[:-1]] = n_parts + np.arange(n)
+        which = np.insert(which, starts[1:], the_end)
+        sizes = np.concatenate([sizes, head_sizes, [0, len(ends)]])
+        ids = gathered(np.concatenate([pool, heads, ends]), sizes, which)
+        return ids, np.add.reduceat(sizes[which], starts[:-1] + np.arange(n))
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes; a longer text stands alone."""
+    sizes = pc.binary_length(texts).to_pylist()
+    at = held = 0
+    for i, size in enumerate(sizes):
+        if i > at and held + size > most:
+            yield at, i
+            at, held = i, 0
+        held += size
+    if sizes:
+        yield at, len(sizes)
 
 
 def _file_system(folder: str):
@@ -147,15 +216,15 @@ class SequenceWriter:
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.waiting, self.n_waiting, self.position = [], 0, 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.waiting.append(ids)
-        self.n_waiting += len(ids) // self.dtype.itemsize
-        self.position += len(ids) // self.dtype.itemsize
+        self.n_waiting += len(ids)
+        self.position += len(ids)
         if self.n_waiting >= self.length * BATCH_SEQUENCES:
             self._flush(last=False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.waiting), self.dtype)
+        ids = np.concatenate([np.empty(0, self.dtype), *self.waiting])
         step = self.length * BATCH_SEQUENCES
         end = len(ids) if last else len(ids) // step * step
         for at in range(0, end, step):
@@ -167,8 +236,7 @@ class SequenceWriter:
                 [pa.FixedSizeListArray.from_arrays(pa.array(values), self.length),
                  pa.FixedSizeListArray.from_arrays(pa.array(np.arange(padded) < len(some)), self.length)],
                 schema=self.schema))
-        rest = ids[end:].tobytes()
-        self.waiting, self.n_waiting = [rest], len(ids) - end
+        self.waiting, self.n_waiting = [ids[end:].copy()], len(ids) - end
 
     def close(self) -> None:
         self._flush(last=True)
@@ -233,16 +301,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, len
         encode = writer = None
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at, to in slices(batch.column("text")):
+                some = batch.slice(at, to - at)
                 if writer is None:
                     encode = encoder_of(tokenizer_json, dtype)
                     writer = SequenceWriter(folder, part, str(TaskContext.get().taskAttemptId()), dtype, length)
-                places, sizes = [], []
-                for ids in encode(some.column("text").to_pylist()):
-                    places.append(writer.position)
-                    writer.add(ids + end)
-                    sizes.append(writer.position - places[-1])
+                ids, sizes = encode(some.column("text"), end)
+                places = writer.position + np.cumsum(sizes) - sizes
+                writer.add(ids)
                 yield pa.record_batch([pa.array([part] * len(sizes), pa.int32()), some.column("doc_id"),
                                        pa.array(places, pa.int64()), pa.array(sizes, pa.int64())],
                                       names=["part", "doc_id", "position", "n_tokens"])

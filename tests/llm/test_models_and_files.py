@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from text_brute_force import linked_by_hand
@@ -110,8 +111,29 @@ def test_tokens_of_odd_rows(odd_docs, empty_docs, plain_rows, tokenizer):
 def test_encoder_equals_the_library(tokenizer, text):
     encode = token_files.Encoder(open(catalog.tokenizer_path()).read(), "<u2")
     for texts in ([text], [text, "plain words here", text]):
-        assert [list(np.frombuffer(b, "<u2")) for b in encode(texts)] == [
-            tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        for end in ([], [7]):
+            ids, sizes = encode(pa.array(texts), np.array(end, "<u2").tobytes())
+            want = [tokenizer.encode(t, add_special_tokens=False).ids + end for t in texts]
+            assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_encoder_of_any_text(tokenizer, monkeypatch):
+    rng = random.Random(11)
+    signs = ["a", "the", "Word", "é", "ß", "数", "½", "²", "3", "'", "'s", ".", "###", "$", "_", "\n", "\t", " ", "  ", "\x1c", "\x85", "\u00a0",
+             "\u0301", "😀", "<|endoftext|>", "-", "ʼ", "\u2028"]
+    weights = [6] * 17 + [30] + [1] * (len(signs) - 18)
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)     # generations change often
+    encode = token_files.Encoder(open(catalog.tokenizer_path()).read(), "<u2")
+    for _ in range(60):
+        texts = ["".join(rng.choices(signs, weights, k=rng.randint(0, 40))) for _ in range(rng.randint(1, 30))]
+        ids, sizes = encode(pa.array(texts))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_slices_of_long_texts():
+    assert list(token_files.slices(pa.array(["aa", "b", "c" * 9, "", "dd", "e"]), 3)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(token_files.slices(pa.array([], pa.string()))) == []
 
 
 ARTICLE = "First words of the article, quite long. They go on; and on, with more to say about it.", "Second part: also long, and it ends."
