@@ -13,8 +13,8 @@ from gustline.operators import clean, feeds
 from gustline.operators.splits import latest_row
 from gustline.operators.windows import out_of_order
 from gustline.plans.frames import CUT, SERIES, Query, dirty, existing, features, fetched, hourly, merged, sql, table
-from gustline.session import shared_dir
-from gustline.sources import payload, tables
+from gustline.session import materialise, shared_dir
+from gustline.sources import key_filters, payload, tables
 from gustline.spec import Contract
 
 FIELDS = {"pm2_5": "pm25", "pm10": "pm10", "carbon_monoxide": "co"}
@@ -157,6 +157,17 @@ def unseen_hours(spark: SparkSession, sf: str) -> DataFrame:
     return tables.unseen(fetched(spark, sf), existing(spark, sf), [*SERIES, "datetime"])
 
 
+def unseen_by_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Fetched hours that a stored table lacks, by the filters of its keys per date."""
+    keys, path = [*SERIES, "datetime"], f"{shared_dir(spark, 'filtered')}/hours"
+    dated = lambda df: df.withColumn("date", F.to_date("datetime"))
+    stored = materialise(dated(existing(spark, sf)), "existing")
+    key_filters.add_filters(stored, path, keys, "date")
+    tables.by_date(stored, "date").write.partitionBy("date").parquet(path)
+    rows = materialise(dated(fetched(spark, sf)), "fetched")
+    return key_filters.unseen_filtered(rows, path, keys, "date").drop("date")
+
+
 def newest_unseen(spark: SparkSession, sf: str) -> DataFrame:
     return tables.unseen(fetched(spark, sf), existing(spark, sf), [*SERIES, "datetime"], latest_only=True,
                          not_after=datetime(2024, 1, 29, 18))
@@ -263,6 +274,7 @@ QUERIES = [
         SELECT series, count(*) AS n_rows, count(*) FILTER (WHERE late) AS n_out_of_order FROM b GROUP BY 1"""),
     Query("merge_feeds", merge_feeds, sql("merged", "SELECT * FROM merged")),
     Query("unseen_hours", unseen_hours, sql("existing fetched", _UNSEEN)),
+    Query("unseen_by_filters", unseen_by_filters, sql("existing fetched", _UNSEEN)),
     Query("newest_unseen", newest_unseen, sql("existing fetched", f""",
         u AS ({_UNSEEN})
         SELECT * FROM u WHERE datetime <= TIMESTAMP '2024-01-29 18:00:00'

@@ -15,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from gustline.operators.blocks import null_safe_join, ordered, salted_lookup
 from gustline.operators.drift import drift_against
 from gustline.operators.windows import window_columns
-from gustline.sources import tables
-from gustline.sources.tables import by_date, keep_last, path_exists, unseen, upsert_partitions
+from gustline.sources import key_filters, tables
+from gustline.sources.tables import by_date, keep_last, path_exists, upsert_partitions
 from gustline.spec import FeatureSpec
 
 
@@ -55,21 +55,22 @@ def stream_once(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[st
                 ts: str = "datetime", part: str = "date") -> StreamingQuery:
     """Each key once in a table partitioned by date, however often and however late it is delivered.
 
-    The row stored first stays. There is no watermark: every batch is compared with the stored rows of
-    the dates it touches, so a batch that is repeated after a failure adds only what is not there yet.
+    The row stored first stays. There is no watermark: every batch is compared with what is stored, by Bloom filters of the stored keys
+    and then, only where these find a key, with the rows of its date. A batch that is repeated after a failure adds only
+    what is not there yet.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         new = keep_last(df, keys, [c for c in df.columns if c not in keys]).withColumn(part, F.to_date(ts)).persist()
+        fresh = new
         try:
-            fresh = new
             if path_exists(spark, path):
-                touched = new.select(F.col(part).alias("_touched")).distinct()
-                stored = spark.read.schema(new.schema).parquet(path)
-                stored = stored.join(touched, stored[part].eqNullSafe(touched["_touched"]), "left_semi")
-                fresh = unseen(new, stored, keys)
+                key_filters.filtered(spark, path, keys, part)
+                fresh = key_filters.unseen_filtered(new, path, keys, part).persist()
+            key_filters.add_filters(fresh, path, keys, part)
             by_date(fresh, part).write.mode("append").partitionBy(part).parquet(path)
         finally:
+            fresh.unpersist()
             new.unpersist()
 
     return _start(stream, checkpoint, "append", batch)
