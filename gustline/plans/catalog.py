@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.plans import cleaning, features, models, monitoring, streams, summaries
+from gustline.plans import artefacts, cleaning, features, models, monitoring, streams, summaries
 from gustline.plans.frames import Query
 from gustline.session import ship_package
 
-ALL: list[Query] = [*cleaning.QUERIES, *features.QUERIES, *summaries.QUERIES, *monitoring.QUERIES,
+ALL: list[Query] = [*artefacts.QUERIES, *cleaning.QUERIES, *features.QUERIES, *summaries.QUERIES, *monitoring.QUERIES,
                     *models.QUERIES, *streams.QUERIES]
 
 

@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Sequence
 from datetime import date, datetime
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -254,9 +255,23 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON reports: one object per line, or one document over several lines."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_report(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """JSON reports: files of one object per line, and files that hold one document over several lines.
+
+    A line that is no JSON of its own tells the second kind. Without a schema the columns are inferred.
+    """
+    broken = (F.trim("value") != "") & F.try_parse_json("value").isNull()
+    files = (spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file"))
+             .agg(F.bool_or(broken).alias("document")).collect())       # one row per file
+    lines, documents = [[unquote(f["file"]) for f in files if f["document"] is kind] for kind in (False, True)]
+
+    def read(**how) -> DataFrame:
+        return (spark.read.schema(schema) if schema is not None else spark.read).json(**how)
+
+    if not documents:
+        return read(path=path)
+    whole = read(path=documents, multiLine=True)
+    return whole.unionByName(read(path=lines), allowMissingColumns=True) if lines else whole
 
 
 # Names an importance table may use for its two columns.
@@ -282,7 +297,7 @@ def read_importance(spark: SparkSession, paths: Sequence[str]) -> DataFrame | No
         if suffix == "csv":
             table = spark.read.option("header", True).csv(path)
         elif suffix == "json":
-            table = spark.read.option("multiLine", True).json(path)
+            table = read_report(spark, path)
         else:
             table = spark.read.parquet(path)
         found = canonical_importance(table)

@@ -180,6 +180,19 @@ def test_report_over_several_lines(spark, tmp_path):
     assert sorted(map(tuple, tables.read_report(spark, str(tmp_path / "r.json"), schema).collect())) == [("a", .1), ("b", None)]
 
 
+def test_reports_of_many_rows_beside_documents(spark, tmp_path):
+    path = f"{tmp_path}/re port"
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("psi", T.DoubleType())])
+    rows = [(f"f{i}", None if i % 3 == 0 else i / 8) for i in range(40)]
+    tables.write_report(spark.createDataFrame(rows, schema).coalesce(2), path)
+    assert sorted(map(tuple, tables.read_report(spark, path, schema).collect())) == sorted(rows)
+    (tmp_path / "re port" / "one.json").write_text(json.dumps({"feature": "x", "psi": 9.0}, indent=1))
+    (tmp_path / "re port" / "two.json").write_text(json.dumps([{"feature": "y", "psi": 8.0}, {"feature": "z", "psi": None}]))
+    want = sorted([*rows, ("x", 9.0), ("y", 8.0), ("z", None)])
+    assert sorted(map(tuple, tables.read_report(spark, path, schema).collect())) == want
+    assert sorted((r.feature, r.psi) for r in tables.read_report(spark, path).collect()) == want
+
+
 @pytest.mark.parametrize("names,suffix", [(("feature", "mean_abs_shap"), "csv"), (("Feature_Name", "SHAP"), "json"), (("feature", "importance"), "parquet")])
 def test_importance_sources(spark, tmp_path, names, suffix):
     path = str(tmp_path / f"imp.{suffix}")
