@@ -12,8 +12,8 @@ from gustline.functions.clock import normalise_tz
 from gustline.operators import clean, feeds
 from gustline.operators.splits import latest_row
 from gustline.operators.windows import out_of_order
-from gustline.plans.frames import CUT, SERIES, Query, dirty, existing, features, fetched, hourly, merged, sql, table
-from gustline.session import materialise, shared_dir
+from gustline.plans.frames import CUT, SERIES, Query, dirty, existing_and_fetched, features, hourly, merged, sql, table
+from gustline.session import shared_dir
 from gustline.sources import key_filters, payload, tables
 from gustline.spec import Contract
 
@@ -89,8 +89,9 @@ def snapshot_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
-    old = existing(spark, sf).withColumn("ingest", F.lit(1))
-    new = fetched(spark, sf).withColumn("pm25", F.col("pm25") + 1).withColumn("ingest", F.lit(2))
+    existing, fetched = existing_and_fetched(spark, sf)
+    old = existing.withColumn("ingest", F.lit(1))
+    new = fetched.withColumn("pm25", F.col("pm25") + 1).withColumn("ingest", F.lit(2))
     return tables.upsert_latest(old, new, [*SERIES, "datetime"], ["ingest"])
 
 
@@ -134,7 +135,8 @@ def contract_select(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def future_horizon(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.future_horizon(fetched(spark, sf), existing(spark, sf), SERIES).select(
+    existing, fetched = existing_and_fetched(spark, sf)
+    return feeds.future_horizon(fetched, existing, SERIES).select(
         *SERIES, "datetime", "step", "pm10")
 
 
@@ -154,22 +156,24 @@ def merge_feeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unseen_hours(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.unseen(fetched(spark, sf), existing(spark, sf), [*SERIES, "datetime"])
+    existing, fetched = existing_and_fetched(spark, sf)
+    return tables.unseen(fetched, existing, [*SERIES, "datetime"])
 
 
 def unseen_by_filters(spark: SparkSession, sf: str) -> DataFrame:
     """Fetched hours that a stored table lacks, by the filters of its keys per date."""
     keys, path = [*SERIES, "datetime"], f"{shared_dir(spark, 'filtered')}/hours"
     dated = lambda df: df.withColumn("date", F.to_date("datetime"))
-    stored = materialise(dated(existing(spark, sf)), "existing")
+    existing, fetched = existing_and_fetched(spark, sf)
+    stored = dated(existing)
     key_filters.add_filters(stored, path, keys, "date")
     tables.by_date(stored, "date").write.partitionBy("date").parquet(path)
-    rows = materialise(dated(fetched(spark, sf)), "fetched")
-    return key_filters.unseen_filtered(rows, path, keys, "date").drop("date")
+    return key_filters.unseen_filtered(dated(fetched), path, keys, "date").drop("date")
 
 
 def newest_unseen(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.unseen(fetched(spark, sf), existing(spark, sf), [*SERIES, "datetime"], latest_only=True,
+    existing, fetched = existing_and_fetched(spark, sf)
+    return tables.unseen(fetched, existing, [*SERIES, "datetime"], latest_only=True,
                          not_after=datetime(2024, 1, 29, 18))
 
 
@@ -181,20 +185,23 @@ def band_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
-    new = tables.unseen(fetched(spark, sf), existing(spark, sf), [*SERIES, "datetime"]).withColumns({
+    existing, fetched = existing_and_fetched(spark, sf)
+    new = tables.unseen(fetched, existing, [*SERIES, "datetime"]).withColumns({
         "pm10": F.when(F.hour("datetime") % 4 == 0, F.col("pm10")),
         "co": F.when(F.col("datetime") > F.lit("2024-01-26 00:00:00").cast("timestamp_ntz"), F.col("co"))})
-    return feeds.carry_forward(existing(spark, sf), new, ["pm10", "co"], SERIES).select(
+    return feeds.carry_forward(existing, new, ["pm10", "co"], SERIES).select(
         *SERIES, "datetime", "pm25", "pm10", "co")
 
 
 def append_union(spark: SparkSession, sf: str) -> DataFrame:
-    new = tables.unseen(fetched(spark, sf), existing(spark, sf), [*SERIES, "datetime"]).drop("co")
-    return existing(spark, sf).unionByName(new, allowMissingColumns=True)
+    existing, fetched = existing_and_fetched(spark, sf)
+    new = tables.unseen(fetched, existing, [*SERIES, "datetime"]).drop("co")
+    return existing.unionByName(new, allowMissingColumns=True)
 
 
 def conform_layout(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.conform(fetched(spark, sf).drop("co", "n"), existing(spark, sf))
+    existing, fetched = existing_and_fetched(spark, sf)
+    return clean.conform(fetched.drop("co", "n"), existing)
 
 
 def latest_rows(spark: SparkSession, sf: str) -> DataFrame:

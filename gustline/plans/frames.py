@@ -102,8 +102,16 @@ def existing(spark: SparkSession, sf: str) -> DataFrame:
     return hourly(spark, sf).where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz"))
 
 
-def fetched(spark: SparkSession, sf: str) -> DataFrame:
-    return hourly(spark, sf).where(F.col("datetime") >= F.lit("2024-01-24 00:00:00").cast("timestamp_ntz"))
+def stored_existing(spark: SparkSession, sf: str) -> DataFrame:
+    """The hours before the cut as written, for queries that read them more than once."""
+    return materialise(existing(spark, sf), "existing")
+
+
+def existing_and_fetched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Stored and fetched hours, which overlap, from one pass over the events."""
+    hours = materialise(hourly(spark, sf), "hourly")
+    return (hours.where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz")),
+            hours.where(F.col("datetime") >= F.lit("2024-01-24 00:00:00").cast("timestamp_ntz")))
 
 
 # -- the same frames in SQL -----------------------------------------------------------------

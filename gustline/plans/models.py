@@ -12,8 +12,8 @@ from gustline.operators import boosting, explain, inference, linear, metrics, re
 from gustline.operators.blocks import IDX, SIZE, with_row_index
 from gustline.operators.feeds import future_horizon
 from gustline.operators.splits import development, holdout, ts_folds
-from gustline.plans.frames import (CUT, MODEL_FEATURES, SERIES, Query, add_cte, existing, features, merged, sql,
-                                   stored_features, weather)
+from gustline.plans.frames import (CUT, MODEL_FEATURES, SERIES, Query, add_cte, features, merged, sql,
+                                   stored_existing, stored_features, weather)
 from gustline.plans.summaries import band_case, family_case, verdict_case
 from gustline.sources.models import Artefacts, load_models, save_models
 from gustline.spec import Contract, LinearModel
@@ -259,7 +259,7 @@ def backtest_mae(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _forecast(spark: SparkSession, sf: str) -> DataFrame:
-    history = existing(spark, sf)
+    history = stored_existing(spark, sf)
     future = future_horizon(weather(spark, sf), history, SERIES)
     return inference.forecast_linear(history, future, FORECASTER, SERIES)
 
@@ -275,7 +275,7 @@ def forecast_with_trees(spark: SparkSession, sf: str) -> DataFrame:
     model = trees.fit_forest(features(spark, sf).where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz")), "pm25", cols)
     folder = shared_dir(spark, "forest")
     model.stages[-1].write().save(folder)
-    history = existing(spark, sf)
+    history = stored_existing(spark, sf)
     future = future_horizon(weather(spark, sf), history, SERIES)
     return inference.forecast_trees(history, future, trees.forest_ensemble(spark, folder, cols), SERIES)
 
@@ -284,7 +284,7 @@ def forecast_boosted(spark: SparkSession, sf: str) -> DataFrame:
     """The whole horizon in one pass with boosted trees that saw the rows before the forecast only."""
     before = stored_features(spark, sf).where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz"))
     model = trees.fit_boosted_final(before, "pm25", KNOWN_AHEAD, SERIES, CHAIN_BOOST["boosted_a"])
-    history = existing(spark, sf)
+    history = stored_existing(spark, sf)
     return inference.forecast_trees(history, future_horizon(weather(spark, sf), history, SERIES), model, SERIES)
 
 
@@ -371,7 +371,7 @@ def promoted_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """The next hours of every series with its promoted model, fitted on rows before the forecast only."""
     table = stored_features(spark, sf)
     promoted = _promoted(spark, table.where(F.col("datetime") < F.lit(CUT).cast("timestamp_ntz")))
-    history = existing(spark, sf)
+    history = stored_existing(spark, sf)
     future = future_horizon(weather(spark, sf), history, SERIES)
     return inference.forecast_promoted(history, future, promoted, SERIES)
 
