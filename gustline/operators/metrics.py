@@ -27,6 +27,15 @@ def metric_columns(y: Column | str, yhat: Column | str, digits: int | None = 4)
     return [(F.round(c, digits) if digits is not None else c).alias(name) for name, c in out.items()]
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over the rows that hold both; null where either is constant, which ``F.corr`` takes for an error."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    shared = F.covar_pop(a, b)
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.when((spread > 0) & ~F.isnan(shared), F.least(F.greatest(shared / spread, F.lit(-1.0)), F.lit(1.0)))
+
+
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (),
                        digits: int | None = 4) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *metric_columns(y, yhat, digits))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.operators.blocks import salted_lookup
+from gustline.operators.metrics import correlation
 
 LINEAR_K = 12
 TREE_K = 15
@@ -20,13 +21,16 @@ SELECTION_FOREST = {"numTrees": 50, "maxDepth": 5, "minInstancesPerNode": 5, "se
 
 
 def f_regression(df: DataFrame, y: str, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """F of the univariate regression of ``y`` on each column, from one pass of correlations."""
-    wide = df.groupBy(*by).agg(F.count(y).alias("n"), *[F.corr(c, y).alias(c) for c in cols])
+    """F of the univariate regression of ``y`` on each column, from one pass of correlations.
+
+    A constant column has none (null), one that lies on a line with ``y`` an infinite one.
+    """
+    wide = df.groupBy(*by).agg(F.count(y).alias("n"), *[correlation(c, y).alias(c) for c in cols])
     long = wide.unpivot([*by, "n"], list(cols), "feature", "r")
     r2 = F.col("r") * F.col("r")
     place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
-    return long.withColumns({"r": F.nanvl("r", F.lit(None).cast("double")), "position": place}) \
-        .withColumn("f_score", r2 / (1 - r2) * (F.col("n") - 2))
+    return long.withColumn("position", place).withColumn(
+        "f_score", F.when(r2 == 1, F.lit(float("inf"))).otherwise(r2 / (1 - r2) * (F.col("n") - 2)))
 
 
 def select_f_regression(df: DataFrame, y: str, cols: Sequence[str], k: int = LINEAR_K,

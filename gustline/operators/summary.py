@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gustline.functions.bands import PM25_BANDS, feature_family, missing, pm25_band_order, pm25_category
 from gustline.operators.blocks import salted_lookup
 from gustline.operators.clean import numeric_columns
+from gustline.operators.metrics import correlation
 from gustline.operators.order_stats import group_quantiles
 
 # Order of the weekdays.
@@ -68,11 +69,10 @@ def daily_outlook(df: DataFrame, value: str = "pm25", by: Sequence[str] = (), ts
 
 def abs_correlations(df: DataFrame, target: str = "pm25", cols: Sequence[str] | None = None,
                      by: Sequence[str] = ()) -> DataFrame:
-    """|Pearson correlation| of every numeric column with the target, in one pass."""
+    """|Pearson correlation| of every numeric column with the target, in one pass; null for a constant column."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target, *by])
-    wide = df.groupBy(*by).agg(*[F.corr(c, target).alias(c) for c in cols])
-    return (wide.unpivot([*by], cols, "feature", "abs_corr")
-            .withColumn("abs_corr", F.abs(F.nanvl("abs_corr", F.lit(None).cast("double")))))
+    wide = df.groupBy(*by).agg(*[correlation(c, target).alias(c) for c in cols])
+    return wide.unpivot([*by], cols, "feature", "abs_corr").withColumn("abs_corr", F.abs("abs_corr"))
 
 
 def top_correlations(df: DataFrame, target: str = "pm25", cols: Sequence[str] | None = None,

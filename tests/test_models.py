@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from gustline.operators import explain, inference, linear, metrics, registry, splits
+from gustline.operators import explain, inference, linear, metrics, registry, selection, splits, summary
 from gustline.operators.explain import linear_attribution
 from gustline.operators.windows import build_features
 from gustline.spec import Contract, FeatureSpec, LinearModel
@@ -137,6 +137,21 @@ def test_ridge_two_closed_form(table):
     assert (got["coef_pm25_lag_1"], got["coef_temperature"]) == pytest.approx(tuple(want))
 
 
+def test_constant_columns_have_no_correlation(spark):
+    pdf = pd.DataFrame({"series": "a", "y": [1.0, 2.0, 4.0, 3.0, None], "flat": 99.0, "line": [2.0, 4.0, 8.0, 6.0, 1.0],
+                        "x": [1.0, 3.0, 2.0, 5.0, 9.0], "once": [7.0, 7.0, 7.0, 7.0, 8.0]})
+    df, cols = spark.createDataFrame(pdf).replace(float("nan"), None), ["flat", "line", "x", "once"]
+    r = np.corrcoef(pdf["x"][:4], pdf["y"][:4])[0, 1]
+    top = summary.top_correlations(df, "y", cols, k=4).collect()
+    assert [(c["feature"], c["abs_corr"]) for c in top] == [("line", pytest.approx(1)), ("x", pytest.approx(r)), ("flat", None), ("once", None)]
+    assert summary.abs_correlations(df, "y", cols, ["series"]).where("abs_corr is null").count() == 2
+    picked = selection.select_f_regression(df, "y", cols, k=2, must_have=["flat"], by=["series"])
+    found = {c["feature"]: c for c in picked.collect()}
+    assert found["line"]["f_score"] > 1e12 and found["x"]["f_score"] == pytest.approx(r * r / (1 - r * r) * 2)
+    assert (found["flat"]["r"], found["flat"]["f_score"], found["flat"]["place"]) == (None, None, 3)
+    assert selection.selected_names(picked, ["series"]).first()["features"] == ["line", "x", "flat"]
+
+
 # -- roll-ups and selection: known results ----------------------------------------------------
 # Fold results (train RMSE, validation RMSE, train R², validation R², ratio) of three
 # models and the roll-up they have to give.
