@@ -10,7 +10,7 @@ into more than k parts, a part that is not empty stays equal. The inverted lists
 parts. Lists over single shingles would hold every document with a common passage, while a part ties
 together near copies only. Sets on a list are compared with its most central member first; what then links is one
 class. Only members that lie outside the largest class of their list are compared with the
-others on it, behind filters that never lose a link (parities of the shingles in 256 cells, then in as many cells as a set has
+others on it, once for all lists of the same members, behind filters that never lose a link (parities of the shingles in 256 cells, then in as many cells as a set has
 shingles, differ in at most as many cells as the sets differ in shingles). A near-copy group of any size so costs about one comparison a member.
 
 A size is light where its subsets cost less than its parts, each of which may need a comparison
@@ -34,7 +34,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustline.llm.common import BROADCAST_ROWS, text_key
@@ -419,6 +419,33 @@ def _filter(plan: Plan):
         apart * (plan.num + plan.den) <= (plan.den - plan.num) * (small + large))
 
 
+def _words() -> Column:
+    """``parity`` as numbers of 64 bits, which Spark can compare."""
+    return F.expr("transform(sequence(0, length(parity) div 8 - 1), "
+                  "i -> cast(conv(hex(substring(parity, i * 8 + 1, 8)), 16, -10) as bigint))")
+
+
+def _close(plan: Plan) -> Column:
+    """``_filter``, then the parities in as many cells as the sets have shingles, the larger side folded once. Never false for a link."""
+    a, b = F.col("a.words"), F.col("b.words")
+
+    def odd(x, y):
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def folded(x):
+        half = F.expr(f"size({x}) div 2")
+        return odd(F.slice(F.col(x), F.lit(1), half), F.slice(F.col(x), half + 1, half))
+
+    def near(differ):
+        apart = F.aggregate(differ, F.lit(0), lambda total, x: total + F.bit_count(x))
+        return apart * (plan.num + plan.den) <= (plan.den - plan.num) * (F.col("a.n") + F.col("b.n"))
+
+    same, a_larger = F.size(a) == F.size(b), F.size(a) == F.size(b) * 2
+    b_larger = F.size(b) == F.size(a) * 2
+    return _filter(plan) & F.when(same, near(odd(a, b))).when(a_larger, near(odd(folded("a.words"), b))).when(
+        b_larger, near(odd(a, folded("b.words")))).otherwise(F.lit(True))
+
+
 def linked_documents(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for every row of ``docs``."""
     plan = Plan(num, den, shingle)
@@ -467,15 +494,18 @@ def linked_documents(docs: DataFrame, shingle: int, num: int, den: int) -> DataF
 
     labels = materialise(components(edges), "labels")
     labelled = heavy.join(labels, "v", "left").select("key", "v", F.coalesce("component", "v").alias("label"))
-    labelled = materialise(labelled, "labelled")
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-    largest = materialise(sizes.groupBy("key").agg(
-        F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1"),
-        "largest")
-    open_lists = labelled.join(largest.select("key", "largest"), "key").join(facts, "v")
-    open_lists = materialise(open_lists, "open-lists")
+    sizes = labelled.groupBy("key", "label").agg(
+        F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("v", F.lit(k))).alias(f"h{k}") for k in (1, 2)])
+    largest = sizes.groupBy("key").agg(
+        F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("labels"), F.sum("c").alias("members"),
+        *[F.bit_xor(h).alias(h) for h in ("h1", "h2")]).where("labels > 1")
+    # near copies share many lists; of lists with the same members one gives all the pairs
+    largest = materialise(largest.groupBy("h1", "h2", "members").agg(
+        F.min(F.struct("key", "largest")).alias("list")).select("list.*"), "largest")
+    open_lists = materialise(labelled.join(largest, "key"), "open-lists").join(
+        classes.select("v", "n", "s1", "s2", "s3", "s4", _words().alias("words")), "v")
     rest = (open_lists.where("label <> largest").alias("a").join(open_lists.alias("b"), "key")
-            .where((F.col("a.label") != F.col("b.label")) & _filter(plan)))
+            .where((F.col("a.label") != F.col("b.label")) & _close(plan)))
     rest = rest.select(F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v")).distinct()
     rest = _linked(docs, rest, classes, plan)
     # what is left to join are the classes found so far

@@ -135,6 +135,28 @@ def test_sized_parities_keep_linked_pairs(spark):
     assert {i for i, yes in enumerate(linked) if yes} <= kept and len(kept) < 40
 
 
+def test_pairs_that_cannot_link_do_not_leave_the_join(spark):
+    plan, rng = ngram_join.Plan(8, 10, 5), np.random.default_rng(5)
+    found, linked = [], set()
+    for i in range(240):
+        n, m = ((395, 395), (500, 530), (530, 500), (240, 270))[i % 4]
+        shared = plan.overlap(n, m) if i % 8 < 4 else round(0.7 * min(n, m))
+        x, y = (rng.integers(0, 2**63, size, np.uint64) for size in (n, m))
+        y[:shared] = x[:shared]
+        if i % 8 < 4:
+            linked.add(i)
+        for v, z in ((2 * i, x), (2 * i + 1, y)):
+            small = ngram_join._parities(z, 256).view(np.int64).tolist()
+            found.append((v, len(z), *small, bytearray(ngram_join._parities(z, ngram_join._cells(len(z))).tobytes())))
+    sets = spark.createDataFrame(found, "v long, n int, s1 long, s2 long, s3 long, s4 long, parity binary")
+    sets = sets.withColumn("words", ngram_join._words())
+    assert sets.where("size(words) * 8 <> length(parity)").count() == 0
+    pairs = sets.alias("a").join(sets.alias("b"), (F.col("a.v") + 1 == F.col("b.v")) & (F.col("a.v") % 2 == 0))
+    by_256 = {r.i for r in pairs.where(ngram_join._filter(plan)).select(F.expr("a.v div 2 as i")).collect()}
+    kept = {r.i for r in pairs.where(ngram_join._close(plan)).select(F.expr("a.v div 2 as i")).collect()}
+    assert linked <= kept <= by_256 and len(kept - linked) < len(by_256 - linked) / 3
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 9), (20, 21), (30, 30), (None, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "u long, v long")).collect()))
