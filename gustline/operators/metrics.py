@@ -28,12 +28,16 @@ def metric_columns(y: Column | str, yhat: Column | str, digits: int | None = 4)
 
 
 def correlation(a: Column | str, b: Column | str) -> Column:
-    """Pearson correlation over the rows that hold both; null where either is constant, which ``F.corr`` takes for an error."""
+    """Pearson correlation over the rows that hold both; null where either is constant, which ``F.corr`` takes for an error.
+
+    Smallest and largest value tell a constant: means merged from several tasks are rounded and leave it a spread.
+    """
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     both = a.isNotNull() & b.isNotNull()
-    shared = F.covar_pop(a, b)
-    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-    return F.when((spread > 0) & ~F.isnan(shared), F.least(F.greatest(shared / spread, F.lit(-1.0)), F.lit(1.0)))
+    x, y = F.when(both, a), F.when(both, b)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    shared, spread = F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(varies & (spread > 0) & ~F.isnan(shared), F.least(F.greatest(shared / spread, F.lit(-1.0)), F.lit(1.0)))
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (),

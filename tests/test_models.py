@@ -152,6 +152,21 @@ def test_constant_columns_have_no_correlation(spark):
     assert selection.selected_names(picked, ["series"]).first()["features"] == ["line", "x", "flat"]
 
 
+@pytest.fixture(scope="module")
+def flat_in_parts(spark):
+    """A constant column in 30 tasks of 23 rows: 99 / 23 * 23 is not 99, so that means merged from them leave it a spread."""
+    return spark.range(0, 690, 1, 30).select(
+        F.lit("a").alias("series"), F.lit(99.0).alias("humidity"), F.lit(0.5).alias("co"),
+        (F.col("id") % 7).cast("double").alias("pm25_lag_1"), (F.col("id") * F.col("id") % 101).cast("double").alias("y"))
+
+
+def test_selection_of_a_constant_column_in_parts(flat_in_parts):
+    picked = selection.select_f_regression(flat_in_parts, "y", ["humidity", "co", "pm25_lag_1"], k=3, must_have=[], by=["series"])
+    found = {c["feature"]: (c["r"], c["f_score"], c["rank"]) for c in picked.collect()}
+    assert found["humidity"] == (None, None, 3) and found["co"] == (None, None, 2)
+    assert found["pm25_lag_1"][2] == 1 and found["pm25_lag_1"][1] > 0
+
+
 # -- roll-ups and selection: known results ----------------------------------------------------
 # Fold results (train RMSE, validation RMSE, train R², validation R², ratio) of three
 # models and the roll-up they have to give.

@@ -22,6 +22,23 @@ def test_equals_sql(spark, duck, name):
     assert compare(entry.queries()[name](spark, SF), duck, SQL[name]) == []
 
 
+@pytest.fixture(scope="module")
+def flat_tables(tmp_path_factory):
+    """The tables with the same ``k`` in all events: temperature and humidity are constant."""
+    folder = tmp_path_factory.mktemp("flat")
+    for name in os.listdir(SF):
+        if name != "events.parquet":
+            os.symlink(f"{SF}/{name}", folder / name)
+    connect(SF).execute(f"COPY (SELECT * REPLACE ('{{\"k\": 99}}' AS props) FROM events) TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["select_f_regression"])
+def test_constant_columns_equal_sql(spark, flat_tables, name):
+    rows = entry.queries()[name](spark, flat_tables)
+    assert rows.count() > 0 and compare(rows, connect(flat_tables), SQL[name]) == []
+
+
 def test_names_are_consistent():
     assert set(SQL) <= set(entry.queries())
 
