@@ -167,6 +167,11 @@ def test_selection_of_a_constant_column_in_parts(flat_in_parts):
     assert found["pm25_lag_1"][2] == 1 and found["pm25_lag_1"][1] > 0
 
 
+def test_names_without_a_constant_column_in_parts(flat_in_parts):
+    picked = selection.select_f_regression(flat_in_parts, "y", ["humidity", "co", "pm25_lag_1"], k=2, must_have=[], by=["series"])
+    assert selection.selected_names(picked, ["series"]).first()["features"] == ["co", "pm25_lag_1"]
+
+
 # -- roll-ups and selection: known results ----------------------------------------------------
 # Fold results (train RMSE, validation RMSE, train R², validation R², ratio) of three
 # models and the roll-up they have to give.
