@@ -178,6 +178,12 @@ def test_importance_without_a_constant_column_in_parts(flat_in_parts):
     assert [(c["feature"], c["pct"], c["cumulative"], c["rank"]) for c in shares.collect()] == [("pm25_lag_1", 1.0, 1.0, 1)]
 
 
+def test_family_share_without_a_constant_column_in_parts(flat_in_parts):
+    found = summary.abs_correlations(flat_in_parts, "y", ["humidity", "co", "pm25_lag_1"], ["series"]).where("abs_corr is not null")
+    shares = summary.importance_share(found.withColumnRenamed("abs_corr", "importance"), ["series"])
+    assert [(c["series"], c["share"]) for c in summary.family_share(shares, ["series"]).collect()] == [("a", 1.0)]
+
+
 # -- roll-ups and selection: known results ----------------------------------------------------
 # Fold results (train RMSE, validation RMSE, train R², validation R², ratio) of three
 # models and the roll-up they have to give.

@@ -33,7 +33,7 @@ def flat_tables(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["select_f_regression", "selected_names", "cumulative_importance"])
+@pytest.mark.parametrize("name", ["select_f_regression", "selected_names", "cumulative_importance", "family_share"])
 def test_constant_columns_equal_sql(spark, flat_tables, name):
     rows = entry.queries()[name](spark, flat_tables)
     assert rows.count() > 0 and compare(rows, connect(flat_tables), SQL[name]) == []
